@@ -8,8 +8,12 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epiwake.operators import active, anomaly, counts, filters, outbreak, policy, reports, spatial, trend
+from epiwake.functions import clinical
+from epiwake.operators import (
+    active, anomaly, counts, datasets, filters, forest, outbreak, policy, quality, reports, risk, spatial, trend,
+)
 from epiwake.session import tune
+from epiwake.sources import fixes, load
 from epiwake.sources.adapter import StarSchemaSource
 from epiwake.tables import Tables
 
@@ -178,8 +182,135 @@ def alert_policies(s: StarSchemaSource) -> DataFrame:
     return policy.alert_policies(policy.classify_diseases(s.catalogue()))
 
 
+TODAY = date(2024, 6, 1)
+
+
+def dq_violations(s: StarSchemaSource) -> DataFrame:
+    t = s.tables()
+    checked = quality.check_all(t, TODAY)
+    listed = policy.classify_diseases(s.catalogue())
+    checked["catalogue"] = quality.check_diseases(listed)
+    return quality.summarise(checked)
+
+
+def duplicate_keys(s: StarSchemaSource) -> DataFrame:
+    return quality.duplicates(s.tables(), s.catalogue())
+
+
+def geodata_derivation(s: StarSchemaSource) -> DataFrame:
+    visits = s._read("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("patient_id"))
+    return load.derive_points(visits, s.patient(), s.geodata())
+
+
+def upsert_diseases(s: StarSchemaSource) -> DataFrame:
+    listed = policy.classify_diseases(s.catalogue()).drop("is_reference", "source_name", "symptoms")
+    incoming = load.last_row_wins(listed.withColumn("row_number", F.col("id")).drop("id"), ["disease_code"], "row_number")
+    return load.upsert(s.disease(), incoming, ["disease_code"])
+
+
+def fk_missing(s: StarSchemaSource) -> DataFrame:
+    incoming = s._read("lineitem").select(
+        F.col("l_partkey").alias("patient_id"), F.col("l_suppkey").alias("doctor_id"),
+        F.col("l_linenumber").cast("long").alias("disease_id"),
+    )
+    return load.missing_references(incoming, s.tables())
+
+
+def visit_import_plan(s: StarSchemaSource) -> DataFrame:
+    incoming = s._read("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("patient_id"))
+    return load.dry_run(load.plan_visits(incoming, s.visit(), replay_existing=True))
+
+
+def hospital_repair(s: StarSchemaSource) -> DataFrame:
+    """Doctors whose hospital is unknown get one of the known hospitals."""
+    doctors = s._read("part").select(
+        F.col("p_partkey").alias("id"), F.col("p_partkey").alias("user_id"),
+        F.col("p_type").alias("specialization"), F.col("p_size").cast("long").alias("hospital_id"),
+    )
+    fixed = load.repair_hospitals(doctors, s.hospital(), 1, 65)
+    known = s.hospital().select(F.col("id").alias("hospital_id"), F.lit(True).alias("known"))
+    return fixed.join(known, "hospital_id", "left").groupBy("known").agg(F.count(F.lit(1)).alias("doctors"))
+
+
+LEGACY_WORDS = ["F", " Female ", "m", "أنثى", "Recovered", "شفاء", "office", "عمل", "Widow(er)", "متزوج", "divorced", ""]
+
+
+def value_fixes(s: StarSchemaSource) -> DataFrame:
+    words = F.array(*[F.lit(w) for w in LEGACY_WORDS])
+    raw = s._read("customer").select(
+        F.col("c_custkey").alias("id"), F.element_at(words, (F.col("c_custkey") % 12 + 1).cast("int")).alias("word"),
+        F.lower("c_mktsegment").alias("segment"),
+    )
+    word = F.col("word")
+    return raw.select(
+        "id", fixes.fix_role(F.col("segment")).alias("role"), fixes.fix_gender(word).alias("gender"),
+        fixes.fix_status(word).alias("status"), fixes.fix_region(word).alias("region_type"),
+        fixes.fix_marital(word).alias("marital_status"), clinical.clean_text(word, 3).alias("short_word"),
+        load.import_marital(word).alias("imported_marital"), clinical.to_bool(F.col("id")).alias("truth"),
+    )
+
+
+def merge_histories(s: StarSchemaSource) -> DataFrame:
+    histories = s._read("customer").select(
+        F.col("c_custkey").alias("id"), F.floor(F.col("c_custkey") / 3).alias("patient_id"),
+        (F.col("c_acctbal") > 9000).alias("has_surgical_metal_plates"),
+    )
+    vaccines = s._read("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("history_id"))
+    merged, id_map = fixes.merge_histories(histories)
+    counts_ = fixes.repoint(vaccines, id_map).groupBy(F.col("history_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("vaccines")
+    )
+    return merged.join(counts_, "id", "left").select(
+        "id", "patient_id", "has_surgical_metal_plates", F.coalesce("vaccines", F.lit(0)).alias("vaccines")
+    )
+
+
+def visit_level_dataset(t: Tables) -> DataFrame:
+    return datasets.visit_level(t)
+
+
+def disease_region_day_dataset(t: Tables) -> DataFrame:
+    return datasets.disease_region_day(t)
+
+
+def risk_features(t: Tables) -> DataFrame:
+    return risk.visit_features(t)
+
+
+def risk_labels(t: Tables) -> DataFrame:
+    return risk.visit_labels(t, active.active_visits(t.visit))
+
+
+def risk_centroids(t: Tables) -> DataFrame:
+    return risk.centroid_rows(risk.train_centroids(risk.training_samples(t)))
+
+
+def risk_predictions(t: Tables) -> DataFrame:
+    artifact = risk.train_centroids(risk.training_samples(t))
+    return risk.predict_centroids(t, risk.visit_features(t), artifact).drop("class_distances")
+
+
+def forest_samples(t: Tables) -> DataFrame:
+    return forest.report_samples(t)
+
+
+def forest_predictions(t: Tables) -> DataFrame:
+    samples = forest.report_samples(t)
+    model, _ = forest.train_forest(samples, trees=20, max_depth=5)
+    return forest.predict_forest(samples, model).select("report_id", "label", "ml_alert_level", "ml_confidence")
+
+
+def outbreak_with_forest(t: Tables) -> DataFrame:
+    model, _ = forest.train_forest(forest.report_samples(t), trees=20, max_depth=5)
+    return outbreak.evaluate_outbreaks(
+        t, outbreak.contexts_of(t), policy.alert_policies(t.disease), predict=forest.predictor(t, model)
+    ).select("geodata_id", "alert_level", "score", "decision_source")
+
+
 def queries() -> dict[str, Query]:
     on_tables = [
+        visit_level_dataset, disease_region_day_dataset, risk_features, risk_labels,
+        risk_centroids, risk_predictions, forest_samples, forest_predictions, outbreak_with_forest,
         active_visits_global, active_visits_window, visit_activity, active_points_case_mode,
         active_point_list, map_active_cases, map_historical_cases, map_hospital_cases,
         patient_scope, hospital_scope, active_alerts, active_hotspots, patient_history,
@@ -189,7 +320,10 @@ def queries() -> dict[str, Query]:
         counts.cases_by_region_type, counts.disease_region_matrix, counts.alerts_by_disease,
         counts.dashboard_summary,
     ]
-    on_source = [disease_classification, alert_policies]
+    on_source = [
+        disease_classification, alert_policies, dq_violations, duplicate_keys, geodata_derivation,
+        upsert_diseases, fk_missing, visit_import_plan, hospital_repair, value_fixes, merge_histories,
+    ]
     return {
         **{f.__name__: _on_tables(f) for f in on_tables},
         **{f.__name__: _on_source(f) for f in on_source},

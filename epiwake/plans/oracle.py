@@ -321,6 +321,93 @@ levelled AS (SELECT *, CASE WHEN NOT context_active THEN 'no_alert'
     )
 
 
+EXPORT_ABNORMAL = """(contains(lower(result), 'abnormal') OR (NOT regexp_matches(lower(result), 'normal|negative|within range|within normal|not detected')
+  AND regexp_matches(lower(result), 'abnormal|positive|high|low|reactive|detected|critical|elevated')))"""
+RISK_ABNORMAL = """(contains(lower(result), 'abnormal') OR (NOT regexp_matches(lower(result), 'normal|negative|within range|not detected')
+  AND regexp_matches(lower(result), 'high|low|positive|critical|detected|elevated')))"""
+
+
+def per_visit(abnormal: str) -> str:
+    return f"""
+pts AS (SELECT visit_id, count(*) AS geodata_count, max((region_type = 'home')::INT) AS has_home, max((region_type = 'work')::INT) AS has_work,
+    string_agg(DISTINCT region_type, ',' ORDER BY region_type) AS regions,
+    arg_min(id, (region_type <> 'home')::INT::HUGEINT * 1000000000000 + id) AS pref FROM geodata GROUP BY 1),
+pref AS (SELECT p.*, g.region_type, g.latitude, g.longitude FROM pts p JOIN geodata g ON g.id = p.pref),
+labs AS (SELECT visit_id, count(*) AS labs, count(*) FILTER ({abnormal}) AS abnormal FROM lab_test GROUP BY 1),
+reps AS (SELECT trigger_visit_id AS visit_id, count(*) FILTER (status IN ('new','reviewed') AND alert_level IN ('medium','high','critical')) AS active_reports,
+    arg_max(id, (generated_at, id)) AS latest FROM report WHERE trigger_visit_id IS NOT NULL GROUP BY 1),
+lastrep AS (SELECT reps.*, r.alert_level, r.status, r.risk_score FROM reps JOIN report r ON r.id = reps.latest),
+age AS (SELECT v.id AS visit_id, year(diagnosis_date) - year(birth_date) - (strftime(diagnosis_date, '%m%d') < strftime(birth_date, '%m%d'))::INT AS years
+  FROM visit v JOIN patient p ON p.id = v.patient_id)"""
+
+
+RISK_FEATURES = [
+    "disease_risk_level", "disease_infection_score", "disease_high_priority", "disease_rare", "patient_age_years", "bmi",
+    "geodata_count", "has_home_geodata", "has_work_geodata", "total_lab_test_count", "abnormal_lab_test_count",
+    "latest_report_risk_score", "active_report_count", "has_active_alert", "primary_region_home", "primary_region_work",
+    "recent_cluster_distance_km", "hotspot_nearby", "profile_general", "profile_high_priority", "profile_rare",
+    "profile_cluster_sensitive", "profile_surge_sensitive", "profile_environmental_signal",
+]
+NEAR_CLUSTER = HAVERSINE.format(a="p", b="c")
+FEATURE_STEPS = f"""
+spots AS (SELECT *, center_lat AS latitude, center_long AS longitude FROM geocluster QUALIFY row_number() OVER (PARTITION BY disease_id ORDER BY generated_at DESC, id DESC) <= 5),
+reach AS (SELECT v.id AS visit_id, round(min({NEAR_CLUSTER}), 4) AS km, max(({NEAR_CLUSTER} <= greatest(c.radius, 3.0))::INT) AS hit
+  FROM visit v JOIN pref p ON p.visit_id = v.id JOIN spots c ON c.disease_id = v.disease_id GROUP BY 1),
+features AS (SELECT v.id AS visit_id, d.risk_level::DOUBLE AS disease_risk_level, d.infection_score::DOUBLE AS disease_infection_score, d.high_priority::INT::DOUBLE AS disease_high_priority,
+    d.rare_disease::INT::DOUBLE AS disease_rare, age.years::DOUBLE AS patient_age_years, coalesce(round(weight / ((height / 100.0::DOUBLE) * (height / 100.0::DOUBLE)), 4), 0)::DOUBLE AS bmi,
+    coalesce(p.geodata_count, 0)::DOUBLE AS geodata_count, coalesce(has_home, 0)::DOUBLE AS has_home_geodata, coalesce(has_work, 0)::DOUBLE AS has_work_geodata,
+    coalesce(labs, 0)::DOUBLE AS total_lab_test_count, coalesce(abnormal, 0)::DOUBLE AS abnormal_lab_test_count, coalesce(r.risk_score, 0)::DOUBLE AS latest_report_risk_score,
+    coalesce(active_reports, 0)::DOUBLE AS active_report_count, (coalesce(active_reports, 0) > 0)::INT::DOUBLE AS has_active_alert,
+    (coalesce(p.region_type, '') = 'home')::INT::DOUBLE AS primary_region_home, (coalesce(p.region_type, '') = 'work')::INT::DOUBLE AS primary_region_work,
+    coalesce(km, 0)::DOUBLE AS recent_cluster_distance_km, coalesce(hit, 0)::DOUBLE AS hotspot_nearby,
+    {", ".join(f"(d.policy_profile = '{x}')::INT::DOUBLE AS profile_{x}" for x in ["general", "high_priority", "rare", "cluster_sensitive", "surge_sensitive", "environmental_signal"])}
+  FROM visit v JOIN disease d ON d.id = v.disease_id JOIN age ON age.visit_id = v.id LEFT JOIN pref p ON p.visit_id = v.id LEFT JOIN labs l ON l.visit_id = v.id
+  LEFT JOIN lastrep r ON r.visit_id = v.id LEFT JOIN reach ON reach.visit_id = v.id)"""
+
+
+def label_steps() -> list[str]:
+    engine = outbreak_sql(False)
+    steps = engine[len("WITH ") + len(BASE.strip()) + 2 : engine.index("SELECT geodata_id, visit_id, disease_code")].strip()
+    return [
+        steps,
+        per_visit(RISK_ABNORMAL),
+        """worst AS (SELECT trigger_visit_id AS visit_id, max(list_position(['low','medium','high','critical'], alert_level)) AS w FROM report WHERE trigger_visit_id IS NOT NULL GROUP BY 1),
+labelled AS (SELECT a.id AS visit_id, CASE WHEN w IS NOT NULL THEN (['low','medium','high','critical'])[w::INT] WHEN l.level IS NULL OR l.level = 'no_alert' THEN 'low' ELSE l.level END AS label,
+    CASE WHEN w IS NOT NULL THEN 'report' WHEN l.level IS NOT NULL THEN 'engine' ELSE 'default' END AS label_source
+  FROM active a LEFT JOIN worst ON worst.visit_id = a.id LEFT JOIN pref ON pref.visit_id = a.id LEFT JOIN levelled l ON l.geodata_id = pref.pref)""",
+    ]
+
+
+def centroid_steps() -> list[str]:
+    names = ", ".join(f"'{f}'" for f in RISK_FEATURES)
+    return label_steps() + [
+        FEATURE_STEPS,
+        f"""long AS (SELECT visit_id, label, label_source, unnest([{names}]) AS feature, unnest([{", ".join(RISK_FEATURES)}]) AS value FROM features JOIN labelled USING (visit_id)),
+ranges AS (SELECT feature, min(value) AS feature_min, max(value) AS feature_max FROM long GROUP BY 1),
+scaled AS (SELECT visit_id, label, feature, feature_min, feature_max, CASE WHEN feature_max = feature_min THEN 0 ELSE round((value - feature_min) / (feature_max - feature_min), 6) END AS x FROM long JOIN ranges USING (feature)),
+centroids AS (SELECT label, count(*) AS label_count, feature, round(avg(x), 6) AS centroid, feature_min, feature_max FROM scaled GROUP BY label, feature, feature_min, feature_max)""",
+    ]
+
+
+def dq_sql() -> str:
+    checks = [
+        ("users", "role", "users", "role NOT IN ('admin','doctor')"),
+        ("report", "period", "report", "analysis_period_start > analysis_period_end"),
+        ("report", "trigger_visit", "report r JOIN visit v ON v.id = r.trigger_visit_id", "v.disease_id <> r.disease_id"),
+        ("visit", "weight", "visit", "weight < 0.1 OR weight > 500"),
+        ("visit", "height", "visit", "height < 30 OR height > 250"),
+        ("visit", "before_birth", "visit v JOIN patient p ON p.id = v.patient_id", "diagnosis_date < birth_date"),
+        ("patient", "residence_lat", "patient", "residence_lat NOT BETWEEN -90 AND 90"),
+        ("patient", "work_pair", "patient", "(work_lat IS NULL) <> (work_long IS NULL)"),
+        ("geodata", "patient", "geodata g JOIN visit v ON v.id = g.visit_id", "g.patient_id <> v.patient_id"),
+        ("geocluster", "risk_level", "geocluster", "risk_level NOT BETWEEN 0 AND 5"),
+        ("disease", "infection_score", "disease", "infection_score < 0"),
+        ("catalogue", "risk_level", "classified", "risk_level NOT BETWEEN 0 AND 5"),
+    ]
+    parts = [f"SELECT '{a}' AS table_name, '{b}' AS rule, count(*) AS violations FROM {c} WHERE {d} HAVING count(*) > 0" for a, b, c, d in checks]
+    return statement(" UNION ALL ".join(parts), CLASSIFIED)
+
+
 def oracle_sql() -> dict[str, str]:
     window14 = f"windowed AS (SELECT * FROM visit WHERE diagnosis_date BETWEEN {NEWEST} - 14 AND {NEWEST})"
     sql = {
@@ -382,5 +469,63 @@ two AS (SELECT p.*, (SELECT count(*) FROM cur WHERE cur.disease_id = p.disease_i
 rated AS (SELECT two.*, c * d.infection_score * d.risk_level AS risk_score,
   round(CASE WHEN p > 0 THEN (c - p)::DOUBLE / p::DOUBLE WHEN c > 0 THEN 1.0 ELSE 0.0 END::DOUBLE, 4) AS growth_rate,
   round(CASE WHEN p > 0 THEN c::DOUBLE / p::DOUBLE WHEN c > 0 THEN c ELSE 0 END::DOUBLE, 4) AS surge_ratio FROM two JOIN disease d ON d.id = two.disease_id)"""),
+    }
+    sql |= {
+        "dq_violations": dq_sql(),
+        "duplicate_keys": statement("""SELECT 'disease_code' AS rule, disease_code AS key_value, count(*) AS occurrences FROM classified GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'national_number', national_number, count(*) FROM patient GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'email', lower(email), count(*) FROM users WHERE email <> '' GROUP BY 2 HAVING count(*) > 1""", CLASSIFIED),
+        "geodata_derivation": statement("""SELECT o.o_custkey AS patient_id, o.o_orderkey AS visit_id, p.lat AS latitude, p.lon AS longitude, p.region_type FROM orders o JOIN (
+  SELECT id, residence_lat AS lat, residence_long AS lon, 'home' AS region_type FROM patient UNION ALL SELECT id, work_lat, work_long, 'work' FROM patient) p ON p.id = o.o_custkey
+WHERE p.lat BETWEEN -90 AND 90 AND p.lon BETWEEN -180 AND 180 AND NOT EXISTS (SELECT 1 FROM geodata g WHERE g.visit_id = o.o_orderkey AND g.region_type = p.region_type)"""),
+        "upsert_diseases": statement("""SELECT d.id, coalesce(n.disease_code, d.disease_code) AS disease_code, coalesce(n.name, d.name) AS name, coalesce(n.type, d.type) AS type,
+  coalesce(n.transmission_vector, d.transmission_vector) AS transmission_vector, coalesce(n.risk_level, d.risk_level) AS risk_level, coalesce(n.infection_score, d.infection_score)::DOUBLE AS infection_score,
+  coalesce(n.policy_profile, d.policy_profile) AS policy_profile, coalesce(n.high_priority, d.high_priority) AS high_priority, coalesce(n.rare_disease, d.rare_disease) AS rare_disease,
+  CASE WHEN n.disease_code IS NULL THEN 'kept' WHEN d.disease_code IS NULL THEN 'created' ELSE 'updated' END AS change
+FROM disease d FULL JOIN (SELECT * FROM classified QUALIFY row_number() OVER (PARTITION BY disease_code ORDER BY id DESC) = 1) n ON n.disease_code = d.disease_code""", CLASSIFIED),
+        "fk_missing": statement("""SELECT DISTINCT 'patient_id' AS reference, l_partkey AS missing_id FROM lineitem WHERE l_partkey NOT IN (SELECT id FROM patient)
+UNION ALL SELECT DISTINCT 'doctor_id', l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT id FROM doctor) UNION ALL SELECT DISTINCT 'disease_id', l_linenumber::BIGINT FROM lineitem WHERE l_linenumber NOT IN (SELECT id FROM disease)"""),
+        "visit_import_plan": statement("""SELECT 'insert' AS action, count(*) AS visits FROM orders WHERE o_orderkey NOT IN (SELECT id FROM visit) UNION ALL SELECT 'replay', count(*) FROM orders WHERE o_orderkey IN (SELECT id FROM visit) UNION ALL SELECT 'skip', 0"""),
+        "hospital_repair": statement("SELECT true AS known, count(*) AS doctors FROM part"),
+        "value_fixes": statement("""SELECT id, CASE WHEN segment IN ('admin','doctor') THEN segment ELSE 'doctor' END AS role, CASE WHEN w IN ('female','f','أنثى','انثى') THEN 'female' ELSE 'male' END AS gender,
+  CASE WHEN w IN ('cured','recovered','recovery','healed','شفاء','متعافي') THEN 'cured' ELSE 'infected' END AS status, CASE WHEN w IN ('work','office','job','عمل') THEN 'work' ELSE 'home' END AS region_type,
+  CASE WHEN w IN ('divorced','مطلق','مطلقة') THEN 'divorced' WHEN w IN ('married','متزوج','متزوجة') THEN 'married' WHEN w IN ('widow(er)','widow','widower','widowed','ارمل','أرمل','ارملة','أرملة') THEN 'widow' ELSE 'single' END AS marital_status,
+  left(trim(word), 3) AS short_word, CASE w WHEN 'divorce' THEN 'divorced' WHEN 'widow(er)' THEN 'widow' ELSE w END AS imported_marital, id = 1 AS truth FROM words""",
+            """words AS (SELECT c_custkey AS id, lower(c_mktsegment) AS segment, word, lower(trim(word)) AS w FROM (SELECT *,
+  (['F',' Female ','m','أنثى','Recovered','شفاء','office','عمل','Widow(er)','متزوج','divorced',''])[(c_custkey % 12 + 1)::INT] AS word FROM customer))"""),
+        "merge_histories": statement("""SELECT k.id, k.patient_id, k.flag AS has_surgical_metal_plates, coalesce(n, 0) AS vaccines FROM
+  (SELECT c_custkey // 3 AS patient_id, min(c_custkey) AS id, bool_or(c_acctbal > 9000) AS flag FROM customer GROUP BY 1) k
+  LEFT JOIN (SELECT o_custkey // 3 AS patient_id, count(*) AS n FROM orders GROUP BY 1) o ON o.patient_id = k.patient_id"""),
+        "visit_level_dataset": statement("""SELECT v.id AS visit_id, v.diagnosis_date, v.patient_id, pa.gender AS patient_gender, age.years AS patient_age_years, v.doctor_id, doc.hospital_id, h.city AS hospital_city,
+  v.disease_id, d.disease_code, d.name AS disease_name, d.type AS disease_type, d.policy_profile, d.risk_level AS disease_risk_level, d.infection_score::DOUBLE AS disease_infection_score,
+  d.high_priority::INT AS disease_high_priority, d.rare_disease::INT AS disease_rare, v.status AS visit_status, v.marital_status, v.weight, v.height,
+  round(weight / ((height / 100.0::DOUBLE) * (height / 100.0::DOUBLE)), 2) AS bmi, p.region_type AS primary_region_type, round(p.latitude, 4) AS primary_latitude, round(p.longitude, 4) AS primary_longitude,
+  coalesce(geodata_count, 0) AS geodata_count, coalesce(has_home, 0) AS has_home_geodata, coalesce(has_work, 0) AS has_work_geodata, coalesce(regions, '') AS available_region_types,
+  coalesce(labs, 0) AS total_lab_test_count, coalesce(abnormal, 0) AS abnormal_lab_test_count, r.alert_level AS latest_report_alert_level, r.status AS latest_report_status, r.risk_score AS latest_report_risk_score,
+  coalesce(active_reports, 0) AS active_report_count, (coalesce(active_reports, 0) > 0)::INT AS has_active_alert
+FROM visit v JOIN patient pa ON pa.id = v.patient_id JOIN age ON age.visit_id = v.id JOIN doctor doc ON doc.id = v.doctor_id JOIN hospital h ON h.id = doc.hospital_id JOIN disease d ON d.id = v.disease_id
+LEFT JOIN pref p ON p.visit_id = v.id LEFT JOIN labs l ON l.visit_id = v.id LEFT JOIN lastrep r ON r.visit_id = v.id""", per_visit(EXPORT_ABNORMAL)),
+        "disease_region_day_dataset": statement("""SELECT g.*, d.disease_code, d.name AS disease_name, d.type AS disease_type, d.policy_profile, d.high_priority::INT AS disease_high_priority, d.rare_disease::INT AS disease_rare,
+  (coalesce(n, 0) * visit_count)::BIGINT AS active_report_count, (coalesce(cr, 0) * visit_count)::BIGINT AS critical_alert_count, (coalesce(hi, 0) * visit_count)::BIGINT AS high_alert_count, (coalesce(me, 0) * visit_count)::BIGINT AS medium_alert_count,
+  greatest(coalesce(risk, 0), 0)::DOUBLE AS max_report_risk_score, (SELECT count(*) FROM geocluster c WHERE c.disease_id = g.disease_id AND risk_level >= 2) AS active_hotspot_count
+FROM grouped g JOIN disease d ON d.id = g.disease_id LEFT JOIN days USING (disease_id, diagnosis_date)""", per_visit(EXPORT_ABNORMAL),
+            """placed AS (SELECT v.id, v.patient_id, v.doctor_id, v.disease_id, v.diagnosis_date, coalesce(g.region_type, 'unknown') AS region_type, count(g.id) AS pts, sum(g.latitude) AS lat, sum(g.longitude) AS lon FROM visit v LEFT JOIN geodata g ON g.visit_id = v.id GROUP BY ALL),
+grouped AS (SELECT diagnosis_date, disease_id, region_type, count(*) AS visit_count, count(DISTINCT patient_id) AS unique_patient_count, count(DISTINCT doctor_id) AS doctor_count, count(DISTINCT hospital_id) AS hospital_count,
+  round(sum(lat) / sum(pts), 4) AS avg_latitude, round(sum(lon) / sum(pts), 4) AS avg_longitude, coalesce(sum(labs), 0)::BIGINT AS total_lab_test_count, coalesce(sum(abnormal), 0)::BIGINT AS abnormal_lab_test_count
+  FROM placed p JOIN doctor doc ON doc.id = p.doctor_id LEFT JOIN labs ON labs.visit_id = p.id GROUP BY 1, 2, 3),
+days AS (SELECT v.disease_id, v.diagnosis_date, count(*) AS n, count(*) FILTER (alert_level = 'critical') AS cr, count(*) FILTER (alert_level = 'high') AS hi, count(*) FILTER (alert_level = 'medium') AS me, max(risk_score) AS risk
+  FROM (SELECT DISTINCT disease_id, diagnosis_date FROM visit) v JOIN report r ON r.disease_id = v.disease_id AND v.diagnosis_date BETWEEN analysis_period_start AND analysis_period_end
+  WHERE status IN ('new','reviewed') AND alert_level IN ('medium','high','critical') GROUP BY 1, 2)"""),
+        "risk_features": statement("SELECT * FROM features", per_visit(RISK_ABNORMAL), FEATURE_STEPS),
+        "risk_labels": statement("SELECT * FROM labelled", *label_steps()),
+        "risk_centroids": statement("SELECT * FROM centroids", *centroid_steps()),
+        "risk_predictions": statement("""SELECT f.visit_id, CASE WHEN a.id IS NULL THEN 'low' ELSE label END AS predicted_label, CASE WHEN a.id IS NULL THEN 1.0 ELSE round((1.0::DOUBLE / (dist + 1e-6::DOUBLE)) / whole, 4) END::DOUBLE AS confidence,
+  CASE WHEN a.id IS NULL THEN 'inactive_status' WHEN w IS NOT NULL THEN 'report' END AS label_source
+FROM features f LEFT JOIN active a ON a.id = f.visit_id LEFT JOIN worst ON worst.visit_id = f.visit_id JOIN best ON best.visit_id = f.visit_id""", *centroid_steps(),
+            f"""every AS (SELECT visit_id, unnest([{", ".join(f"'{f}'" for f in RISK_FEATURES)}]) AS feature, unnest([{", ".join(RISK_FEATURES)}]) AS value FROM features),
+dists AS (SELECT visit_id, label, round(sqrt(sum(pow(CASE WHEN feature_max = feature_min THEN 0 ELSE round((value - feature_min) / (feature_max - feature_min), 6) END - centroid, 2))), 6) AS dist FROM every JOIN centroids USING (feature) GROUP BY 1, 2),
+best AS (SELECT visit_id, arg_min(label, (dist, list_position(['low','medium','high','critical'], label))) AS label, min(dist) AS dist, sum(1.0::DOUBLE / (dist + 1e-6::DOUBLE)) AS whole FROM dists GROUP BY 1)"""),
+        "forest_samples": statement("""SELECT r.id AS report_id, alert_level AS label, nearby_case_count::DOUBLE AS nearby_case_count, current_case_count::DOUBLE AS current_case_count, previous_case_count::DOUBLE AS previous_case_count,
+  growth_rate, surge_ratio, risk_score AS rule_based_risk_score, d.risk_level::DOUBLE AS disease_risk_level, d.infection_score::DOUBLE AS infection_score, d.high_priority::INT::DOUBLE AS high_priority, d.rare_disease::INT::DOUBLE AS rare_disease,
+  0.0::DOUBLE AS hdbscan_cluster_detected, 0.0::DOUBLE AS hdbscan_cluster_size, 0.0::DOUBLE AS hdbscan_cluster_probability, 0.0::DOUBLE AS hdbscan_cluster_radius_km FROM report r JOIN disease d ON d.id = r.disease_id"""),
     }
     return sql
