@@ -40,14 +40,11 @@ def cell_of(lat: Column, lon: Column, side: Column) -> Column:
 
 def cells_around(cell: Column, reach: int = 1) -> Column:
     """The cell itself and all cells up to ``reach`` steps away, as an array to explode."""
-    steps = range(-reach, reach + 1)
-    return F.array(
-        *[
-            F.struct(
-                (cell.cx + dx).alias("cx"), (cell.cy + dy).alias("cy"), (cell.cz + dz).alias("cz")
-            )
-            for dx in steps
-            for dy in steps
-            for dz in steps
-        ]
+    span = range(-reach, reach + 1)
+    steps = ",".join(f"struct({x} as x, {y} as y, {z} as z)" for x in span for y in span for z in span)
+    return F.transform(
+        F.expr(f"array({steps})"),
+        lambda s: F.struct(
+            (cell.cx + s.x).alias("cx"), (cell.cy + s.y).alias("cy"), (cell.cz + s.z).alias("cz")
+        ),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from epiwake.functions import clinical
 from epiwake.operators import (
-    active, anomaly, counts, datasets, filters, forest, outbreak, policy, quality, reports, risk, spatial, trend,
+    active, anomaly, counts, datasets, dbscan, filters, forest, outbreak, policy, quality, reports, risk, spatial, trend,
 )
 from epiwake.session import tune
 from epiwake.sources import fixes, load
@@ -307,8 +307,22 @@ def outbreak_with_forest(t: Tables) -> DataFrame:
     ).select("geodata_id", "alert_level", "score", "decision_source")
 
 
+def _recent_clusters(t: Tables) -> DataFrame:
+    return dbscan.dbscan(active.collect_points(t, lookback_days=14), eps_km=1.0, min_samples=3)
+
+
+def dbscan_labels(t: Tables) -> DataFrame:
+    return _recent_clusters(t).select("geodata_id", "disease_id", "cluster_id")
+
+
+def dbscan_summary(t: Tables) -> DataFrame:
+    summary = dbscan.summarise_clusters(_recent_clusters(t), t)
+    return summary.withColumn("region_types", F.array_join("region_types", ","))
+
+
 def queries() -> dict[str, Query]:
     on_tables = [
+        dbscan_labels, dbscan_summary,
         visit_level_dataset, disease_region_day_dataset, risk_features, risk_labels,
         risk_centroids, risk_predictions, forest_samples, forest_predictions, outbreak_with_forest,
         active_visits_global, active_visits_window, visit_activity, active_points_case_mode,

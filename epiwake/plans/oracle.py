@@ -389,6 +389,19 @@ centroids AS (SELECT label, count(*) AS label_count, feature, round(avg(x), 6) A
     ]
 
 
+DBSCAN = f"""
+pts AS MATERIALIZED (SELECT g.id, g.visit_id, g.patient_id, a.disease_id, a.diagnosis_date, g.latitude, g.longitude, g.region_type,
+    row_number() OVER (PARTITION BY a.disease_id ORDER BY a.diagnosis_date, g.id) AS pos
+  FROM active a JOIN geodata g ON g.visit_id = a.id WHERE a.diagnosis_date BETWEEN {NEWEST} - 14 AND {NEWEST}),
+nb AS MATERIALIZED (SELECT p.disease_id, p.pos, q.pos AS other FROM pts p JOIN pts q ON p.disease_id = q.disease_id AND abs(p.latitude - q.latitude) < 0.02 WHERE {HAVERSINE.format(a='p', b='q')} <= 1.0),
+core AS MATERIALIZED (SELECT disease_id, pos FROM nb GROUP BY 1, 2 HAVING count(*) >= 3),
+link AS MATERIALIZED (SELECT nb.disease_id, nb.pos, nb.other FROM nb JOIN core c ON c.disease_id = nb.disease_id AND c.pos = nb.pos JOIN core d ON d.disease_id = nb.disease_id AND d.pos = nb.other),
+walk(disease_id, pos, other) AS (SELECT disease_id, pos, other FROM link UNION SELECT w.disease_id, w.pos, l.other FROM walk w JOIN link l ON l.disease_id = w.disease_id AND l.pos = w.other),
+rooted AS (SELECT disease_id, pos, min(other) AS root FROM walk GROUP BY 1, 2),
+labelled AS (SELECT nb.disease_id, nb.pos, min(r.root) FILTER (nb.pos = nb.other) AS own, min(r.root) AS adjacent FROM nb JOIN rooted r ON r.disease_id = nb.disease_id AND r.pos = nb.other GROUP BY 1, 2),
+clustered AS (SELECT p.*, f.id AS cluster_id FROM labelled l JOIN pts p ON p.disease_id = l.disease_id AND p.pos = l.pos JOIN pts f ON f.disease_id = l.disease_id AND f.pos = coalesce(own, adjacent))"""
+
+
 def dq_sql() -> str:
     checks = [
         ("users", "role", "users", "role NOT IN ('admin','doctor')"),
@@ -524,6 +537,13 @@ FROM features f LEFT JOIN active a ON a.id = f.visit_id LEFT JOIN worst ON worst
             f"""every AS (SELECT visit_id, unnest([{", ".join(f"'{f}'" for f in RISK_FEATURES)}]) AS feature, unnest([{", ".join(RISK_FEATURES)}]) AS value FROM features),
 dists AS (SELECT visit_id, label, round(sqrt(sum(pow(CASE WHEN feature_max = feature_min THEN 0 ELSE round((value - feature_min) / (feature_max - feature_min), 6) END - centroid, 2))), 6) AS dist FROM every JOIN centroids USING (feature) GROUP BY 1, 2),
 best AS (SELECT visit_id, arg_min(label, (dist, list_position(['low','medium','high','critical'], label))) AS label, min(dist) AS dist, sum(1.0::DOUBLE / (dist + 1e-6::DOUBLE)) AS whole FROM dists GROUP BY 1)"""),
+        "dbscan_labels": statement("SELECT id AS geodata_id, disease_id, cluster_id FROM clustered", DBSCAN, recursive=True),
+        "dbscan_summary": statement(f"""SELECT t.disease_id, t.cluster_id, d.disease_code, point_count, unique_visit_count, unique_patient_count, round(lat, 6) AS center_lat, round(lon, 6) AS center_long,
+  round(greatest(km, 0.1::DOUBLE), 4) AS radius_km, CASE WHEN d.rare_disease THEN 5 WHEN d.high_priority AND point_count >= 2 THEN greatest(4, least(5, d.risk_level)) WHEN point_count >= 6 THEN 5
+    WHEN point_count >= 4 THEN greatest(4, least(5, d.risk_level)) ELSE greatest(2, least(5, d.risk_level)) END AS risk_level, diagnosis_start, diagnosis_end, region_types
+FROM totals t JOIN disease d ON d.id = t.disease_id JOIN (SELECT c.cluster_id, max({HAVERSINE.format(a='m', b='c')}) AS km FROM clustered c JOIN (SELECT cluster_id, lat AS latitude, lon AS longitude FROM totals) m ON m.cluster_id = c.cluster_id GROUP BY 1) r ON r.cluster_id = t.cluster_id""",
+            DBSCAN, """totals AS (SELECT disease_id, cluster_id, count(*) AS point_count, count(DISTINCT visit_id) AS unique_visit_count, count(DISTINCT patient_id) AS unique_patient_count, avg(latitude) AS lat, avg(longitude) AS lon,
+  min(diagnosis_date) AS diagnosis_start, max(diagnosis_date) AS diagnosis_end, string_agg(DISTINCT region_type, ',' ORDER BY region_type) AS region_types FROM clustered GROUP BY 1, 2)""", recursive=True),
         "forest_samples": statement("""SELECT r.id AS report_id, alert_level AS label, nearby_case_count::DOUBLE AS nearby_case_count, current_case_count::DOUBLE AS current_case_count, previous_case_count::DOUBLE AS previous_case_count,
   growth_rate, surge_ratio, risk_score AS rule_based_risk_score, d.risk_level::DOUBLE AS disease_risk_level, d.infection_score::DOUBLE AS infection_score, d.high_priority::INT::DOUBLE AS high_priority, d.rare_disease::INT::DOUBLE AS rare_disease,
   0.0::DOUBLE AS hdbscan_cluster_detected, 0.0::DOUBLE AS hdbscan_cluster_size, 0.0::DOUBLE AS hdbscan_cluster_probability, 0.0::DOUBLE AS hdbscan_cluster_radius_km FROM report r JOIN disease d ON d.id = r.disease_id"""),
