@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiwake.functions import clinical
 from epiwake.operators import (
-    active, anomaly, counts, datasets, dbscan, filters, forest, outbreak, policy, quality, reports, risk, spatial, trend,
+    active, anomaly, counts, datasets, dbscan, filters, forest, hdbscan, hotspots, outbreak, policy, quality,
+    report_upkeep, reports, risk, spatial, trend,
 )
-from epiwake.session import tune
+from epiwake.plans import jobs
+from epiwake.session import shared_dir, tune
 from epiwake.sources import fixes, load
 from epiwake.sources.adapter import StarSchemaSource
+from epiwake.streaming import case_events as feed
+from epiwake.streaming import monitoring
 from epiwake.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -320,8 +325,79 @@ def dbscan_summary(t: Tables) -> DataFrame:
     return summary.withColumn("region_types", F.array_join("region_types", ","))
 
 
+AS_OF = datetime(2024, 1, 31)
+
+
+def hotspot_merge(t: Tables) -> DataFrame:
+    summary = jobs.cut_lineage(dbscan.summarise_clusters(_recent_clusters(t), t))
+    return hotspots.merge_hotspots(hotspots.candidates_from_clusters(summary), t.geocluster, AS_OF)
+
+
+def report_merge(t: Tables) -> DataFrame:
+    """The first monitoring run over all points: the alert table starts empty."""
+    analyses = jobs.cut_lineage(
+        outbreak.evaluate_outbreaks(t, outbreak.contexts_of(t), policy.alert_policies(t.disease))
+    )
+    return report_upkeep.merge_reports(t, analyses, t.report.filter(F.lit(False)), AS_OF).drop("reasons", "summary")
+
+
+def cluster_from_analysis(t: Tables) -> DataFrame:
+    policies = policy.alert_policies(t.disease)
+    analyses = jobs.cut_lineage(outbreak.evaluate_outbreaks(t, outbreak.contexts_of(t), policies))
+    nearby = spatial.nearby_cases(t, analyses.filter("should_create_cluster"), policies)
+    return hotspots.clusters_from_analyses(t, analyses, nearby)
+
+
+def hdbscan_summary(t: Tables) -> DataFrame:
+    points = active.collect_points(t, lookback_days=14)
+    labelled = hdbscan.hdbscan(points, min_cluster_size=3)
+    return dbscan.summarise_clusters(labelled.filter("cluster_id is not null"), t)
+
+
+def _stream_visits(s: StarSchemaSource) -> DataFrame:
+    return s.visit(s.event_stream(), F.lit(s._read("supplier").count()))
+
+
+def case_events(s: StarSchemaSource) -> DataFrame:
+    """All saved points as a stream of changes, through keyed state, into an event table."""
+    visits = _stream_visits(s)
+    carried = ("disease_id", "doctor_id", "diagnosis_date", "status")
+    points = s.geodata(visits, keep=carried)
+    changes = points.select(
+        F.col("id").alias("seq"), F.lit("geodata").alias("kind"), F.lit(True).alias("created"),
+        "visit_id", "patient_id", *carried, F.col("id").alias("geodata_id"), "region_type",
+        "latitude", "longitude",
+    )
+    out = feed.run_to_table(changes, f"{shared_dir(s.spark)}/case-events-{uuid.uuid4().hex}")
+    return out.select("seq", "event_type", "geodata_id", "visit_id", "patient_id", "disease_id", "status")
+
+
+def case_event_routing(s: StarSchemaSource) -> DataFrame:
+    """Events per subscriber group and type, for one hospital's subscribers."""
+    described = feed.describe(case_events_full(s), s.tables())
+    seen = feed.for_subscriber(described, hospital_id=HOSPITAL, start=date(2024, 1, 10))
+    return feed.route(seen).groupBy("group_name", "event_type").agg(F.count(F.lit(1)).alias("events"))
+
+
+def case_events_full(s: StarSchemaSource) -> DataFrame:
+    """The same feed computed on stored points; used where no stream is needed."""
+    changes = feed.changes_from_points(s.geodata(), s.visit())
+    return feed.events_of_saved_points(changes)
+
+
+def monitor_stream(s: StarSchemaSource) -> DataFrame:
+    """Saved points as a stream; each micro-batch writes new alert and hotspot versions."""
+    base = f"{shared_dir(s.spark)}/monitor-{uuid.uuid4().hex}"
+    points = s.geodata(_stream_visits(s))
+    query = monitoring.start_monitoring(points, s.tables, base, lambda: AS_OF, f"{base}/checkpoint")
+    query.awaitTermination()
+    table = monitoring.VersionedTable(s.spark, base, "report")
+    return table.before(table.versions()[-1] + 1).drop("reasons", "summary")
+
+
 def queries() -> dict[str, Query]:
     on_tables = [
+        hotspot_merge, report_merge, cluster_from_analysis, hdbscan_summary,
         dbscan_labels, dbscan_summary,
         visit_level_dataset, disease_region_day_dataset, risk_features, risk_labels,
         risk_centroids, risk_predictions, forest_samples, forest_predictions, outbreak_with_forest,
@@ -336,7 +412,7 @@ def queries() -> dict[str, Query]:
     ]
     on_source = [
         disease_classification, alert_policies, dq_violations, duplicate_keys, geodata_derivation,
-        upsert_diseases, fk_missing, visit_import_plan, hospital_repair, value_fixes, merge_histories,
+        case_events, case_event_routing, monitor_stream, upsert_diseases, fk_missing, visit_import_plan, hospital_repair, value_fixes, merge_histories,
     ]
     return {
         **{f.__name__: _on_tables(f) for f in on_tables},

@@ -402,6 +402,15 @@ labelled AS (SELECT nb.disease_id, nb.pos, min(r.root) FILTER (nb.pos = nb.other
 clustered AS (SELECT p.*, f.id AS cluster_id FROM labelled l JOIN pts p ON p.disease_id = l.disease_id AND p.pos = l.pos JOIN pts f ON f.disease_id = l.disease_id AND f.pos = coalesce(own, adjacent))"""
 
 
+FEED = """
+saved AS (SELECT g.id AS seq, g.id AS geodata_id, g.visit_id, g.patient_id, v.disease_id, v.doctor_id, v.diagnosis_date, v.status FROM geodata g JOIN visit v ON v.id = g.visit_id),
+stood AS (SELECT s.*, s.visit_id = (max((diagnosis_date, visit_id)) OVER (PARTITION BY patient_id, disease_id ORDER BY seq))[2] AS latest FROM saved s),
+feed AS (
+  SELECT seq, CASE WHEN latest AND status = 'infected' THEN 'case.added' ELSE 'case.removed' END AS event_type, geodata_id, visit_id, patient_id, disease_id, doctor_id, diagnosis_date, status FROM stood
+  UNION ALL SELECT n.seq, 'case.removed', o.geodata_id, o.visit_id, o.patient_id, o.disease_id, o.doctor_id, o.diagnosis_date, o.status
+  FROM stood n JOIN saved o ON o.patient_id = n.patient_id AND o.disease_id = n.disease_id AND o.seq < n.seq AND o.visit_id <> n.visit_id WHERE n.latest)"""
+
+
 def dq_sql() -> str:
     checks = [
         ("users", "role", "users", "role NOT IN ('admin','doctor')"),
@@ -537,6 +546,9 @@ FROM features f LEFT JOIN active a ON a.id = f.visit_id LEFT JOIN worst ON worst
             f"""every AS (SELECT visit_id, unnest([{", ".join(f"'{f}'" for f in RISK_FEATURES)}]) AS feature, unnest([{", ".join(RISK_FEATURES)}]) AS value FROM features),
 dists AS (SELECT visit_id, label, round(sqrt(sum(pow(CASE WHEN feature_max = feature_min THEN 0 ELSE round((value - feature_min) / (feature_max - feature_min), 6) END - centroid, 2))), 6) AS dist FROM every JOIN centroids USING (feature) GROUP BY 1, 2),
 best AS (SELECT visit_id, arg_min(label, (dist, list_position(['low','medium','high','critical'], label))) AS label, min(dist) AS dist, sum(1.0::DOUBLE / (dist + 1e-6::DOUBLE)) AS whole FROM dists GROUP BY 1)"""),
+        "case_events": statement("SELECT seq, event_type, geodata_id, visit_id, patient_id, disease_id, status FROM feed", FEED),
+        "case_event_routing": statement("""SELECT group_name, event_type, count(*) AS events FROM (SELECT event_type, unnest(['map.active.all', 'map.active.disease.' || upper(disease_code), 'map.active.type.' || lower(d.type)]) AS group_name
+FROM feed f JOIN disease d ON d.id = f.disease_id JOIN doctor doc ON doc.id = f.doctor_id WHERE hospital_id = 3 AND diagnosis_date >= DATE '2024-01-10') GROUP BY 1, 2""", FEED),
         "dbscan_labels": statement("SELECT id AS geodata_id, disease_id, cluster_id FROM clustered", DBSCAN, recursive=True),
         "dbscan_summary": statement(f"""SELECT t.disease_id, t.cluster_id, d.disease_code, point_count, unique_visit_count, unique_patient_count, round(lat, 6) AS center_lat, round(lon, 6) AS center_long,
   round(greatest(km, 0.1::DOUBLE), 4) AS radius_km, CASE WHEN d.rare_disease THEN 5 WHEN d.high_priority AND point_count >= 2 THEN greatest(4, least(5, d.risk_level)) WHEN point_count >= 6 THEN 5

@@ -51,10 +51,17 @@ class StarSchemaSource:
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def visit(self) -> DataFrame:
+    def event_stream(self) -> DataFrame:
+        """The events file as a stream; its schema is taken from the stored file."""
+        schema = self._read("events").schema
+        reader = self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+        return reader.parquet(self.folder)
+
+    def visit(self, events: DataFrame | None = None, doctors: Column | None = None) -> DataFrame:
         k = F.get_json_object("props", "$.k").cast("long")
-        doctors = self._read("supplier").agg(F.count(F.lit(1))).scalar()
-        events = self._read("events").withColumn("k", k)
+        if doctors is None:
+            doctors = self._read("supplier").agg(F.count(F.lit(1))).scalar()
+        events = (self._read("events") if events is None else events).withColumn("k", k)
         disease = F.create_map(*[F.lit(x) for kv in EVENT_DISEASE.items() for x in kv])
         return events.select(
             F.col("event_id").alias("id"),
@@ -113,8 +120,8 @@ class StarSchemaSource:
             F.when(works, lon + F.lit(0.004)).alias("work_long"),
         )
 
-    def geodata(self) -> DataFrame:
-        visit = self.visit().select("id", "patient_id")
+    def geodata(self, visit: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+        visit = (self.visit() if visit is None else visit).select("id", "patient_id", *keep)
         pid = F.col("patient_id")
         lat, lon = _home(pid)
 
@@ -128,8 +135,8 @@ class StarSchemaSource:
 
         home, work = point("home", 0.0, 0), point("work", 0.004, 1)
         points = F.when(pid % 3 != 0, F.array(home, work)).otherwise(F.array(home))
-        return visit.select("id", "patient_id", F.explode(points).alias("p")).select(
-            F.col("p.gid").alias("id"), "patient_id", F.col("id").alias("visit_id"),
+        return visit.select("id", "patient_id", *keep, F.explode(points).alias("p")).select(
+            *keep, F.col("p.gid").alias("id"), "patient_id", F.col("id").alias("visit_id"),
             F.col("p.lat").alias("latitude"), F.col("p.lon").alias("longitude"),
             F.col("p.region").alias("region_type"),
         )
