@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,8 +34,11 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints and intermediate tables.
+    """The folder for intermediate tables.
 
     ``spark.checkpoint.dir`` names it on a cluster. Only a local master may fall back to a
     folder of its own, because nothing else there outlives the process anyway.
@@ -42,15 +46,22 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    existing = spark.sparkContext.getCheckpointDir()
-    return existing or tempfile.mkdtemp(prefix="epiwake-")
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="epiwake-")
+    return _local_dirs[context.applicationId]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in reliable storage so that a lost executor never replays the loop."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and go on from the stored table.
+
+    A lost executor then re-reads files instead of replaying the loop so far, and the planner
+    starts afresh: a checkpoint keeps the constraints of its plan, which grow without bound in
+    long loops.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
