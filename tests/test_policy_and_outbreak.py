@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epiwake.operators import outbreak, policy, spatial
-from world import D, World, rows
+from world import D, World, base, rows
 
 POLICY_IN = "id long, disease_code string, risk_level int, infection_score double, high_priority boolean, rare_disease boolean, policy_profile string"
 
@@ -130,8 +130,12 @@ def test_single_polio_case_is_critical(spark):
 
 
 def test_two_measles_cases(spark):
-    w = World().visit(1, 1, 1, "2026-04-18", points=[(33.5000, 36.2500, "home")]).visit(2, 2, 1, "2026-04-20", points=[(33.5005, 36.2505, "home")])
-    r = evaluate(spark, w, 2)
+    # The two measles visits of the base tables are the previous window: trend 2 against 2.
+    w = base()
+    w.visit(11, 11, 1, "2026-04-18", points=[(33.5000, 36.2500, "home")])
+    w.visit(12, 12, 1, "2026-04-20", points=[(33.5005, 36.2505, "home")])
+    r = evaluate(spark, w, 12)
+    assert (r["current_count"], r["previous_count"]) == (2, 2)
     assert (r["alert_level"], r["nearby_case_count"], r["should_create_report"], r["should_create_cluster"]) == ("critical", 1, True, True)
     assert r["score"] == pytest.approx(53.68, abs=0.011)
 
