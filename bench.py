@@ -14,7 +14,7 @@ from epiwake.session import build_session  # noqa: E402
 
 HEADLINE = [
     "cases_by_disease", "disease_region_matrix", "active_visits_global", "map_active_cases",
-    "dashboard_summary", "anomalies", "trend_snapshots", "nearby_cases", "outbreak_evaluation",
+    "dashboard_summary", "anomalies", "trend_snapshots", "outbreak_evaluation",
     "visit_level_dataset", "disease_region_day_dataset", "risk_features", "dbscan_summary",
 ]
 
