@@ -91,6 +91,7 @@ def test_nearby_counts_equal_brute_force(spark, own_region):
     for i in range(1, 140):
         home, work = rng.choice(spots), rng.choice(spots)
         points = [(*home, "home")] + ([(*work, "work")] if rng.random() < 0.6 else [])
+        points += [(*rng.choice(spots), rng.choice(["home", "work"])) for _ in range(rng.choice([0, 0, 1, 3]))]
         w.visit(i, rng.randint(1, 40), rng.randint(1, 2), f"2026-04-{rng.randint(1, 25):02d}", rng.choice(["infected", "infected", "cured"]), points)
     t = w.tables(spark)
     policies = spark.createDataFrame([(1, 7, 2.0), (2, 12, 0.8)], "disease_id long, lookback_days int, radius_km double")
