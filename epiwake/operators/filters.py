@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from epiwake.functions.clinical import is_active_report
-from epiwake.operators.active import active_points, active_visits
+from epiwake.operators.active import active_points, active_visits, apply_point_mode
 from epiwake.tables import Tables
 
 MAP_LIMIT_DEFAULT, MAP_LIMIT_MAX = 5000, 10000
@@ -167,8 +167,6 @@ def active_point_list(t: Tables, *, region=None, mode=None, hospital_id=None, **
     points = filter_visits(points, **visit_filter)
     if hospital_id is not None:
         points = in_hospital(points, t.doctor, hospital_id)
-    from epiwake.operators.active import apply_point_mode
-
     return apply_point_mode(points, mode).orderBy("diagnosis_date", "id")
 
 
