@@ -2,11 +2,12 @@
 
 Each document gets ``rows * bands`` minima of universal hashes over its word shingles. Documents
 that agree on all minima of a band share a bucket. Equal shingle sets are one representative from
-the start. In a bucket not all pairs are compared: each round every member is compared with one
-pivot of its bucket, confirmed links are joined to components, and only buckets that still span
-several components go on. What is left in the end is compared in full, so no link between two
-components that share a bucket is lost. With 40 bands of 6 rows a pair of similarity 0.8 shares no
-bucket with probability 5e-6.
+the start. Texts with more shingles of their own than the similarity allows are like no other and
+drop out. In a bucket not all pairs are compared: first every member meets the pivot with the least
+of its own, which in a group of copies is nearest to their origin, and only buckets that still span
+several components go on, if need be with further pivots. What is left in the end is compared in
+full, so no link between two components that share a bucket is lost. With 40 bands of 6 rows a pair
+of similarity 0.8 shares no bucket with probability 5e-6.
 
 Defined results: a null or blank text has no shingles, is linked with nothing and is its own
 component. A text with fewer words than a shingle is one shingle. Repeated rows of one id count
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Steps, WordHashes, arrow_rows, mixed, shingle_hashes
+from .common import LOWER, Steps, WordHashes, arrow_rows, bucket_of, mixed, pack_planes, shingle_hashes, split_by, unpack_planes
 from .components import connected_components
 
 ROWS, BANDS = 6, 40
@@ -123,18 +124,69 @@ def _packed_texts(docs: DataFrame) -> DataFrame:
     return arrow_rows(docs, ["doc_id", "text"], run, "doc_id long, ztext binary")
 
 
-def _signature_filter(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
-    """Drop pairs whose signatures and sizes rule the similarity out.
+def _private_counts(texts: DataFrame, width: int) -> DataFrame:
+    """(doc_id, private): how many shingles of each text no other of these texts has."""
+    buckets = max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    Signature agreement is a mean of ``rows * bands`` trials; the cut lies five deviations below
-    the expected agreement at the threshold.
+    def spread(stream: Iterator[tuple]) -> Iterable[tuple]:
+        import zstandard
+
+        cache, opened = WordHashes(), zstandard.ZstdDecompressor()
+        held, size = [], 0
+
+        def flush() -> Iterable[tuple]:
+            ids = np.repeat(np.array([h[0] for h in held], dtype=np.int64), [h[1].size for h in held])
+            hashes = np.concatenate([h[1] for h in held])
+            for bucket, h, d in split_by((hashes % np.uint64(buckets)).astype(np.int64), hashes, ids):
+                yield bucket, h.tobytes(), pack_planes(d)
+
+        for doc_id, packed in stream:
+            hashes = np.unique(shingle_hashes(cache.of(opened.decompress(packed).translate(LOWER).split()), width))
+            held.append((doc_id, hashes))
+            size += hashes.size
+            if size >= 4_000_000:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
+
+    def single(stream: Iterator[tuple]) -> Iterable[tuple]:
+        blocks = [(np.frombuffer(h, np.uint64), unpack_planes(d)) for _, h, d in stream]
+        if not blocks:
+            return
+        hashes, ids = (np.concatenate(x) for x in zip(*blocks))
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        alone = np.ones(hashes.size, dtype=bool)
+        alone[1:] &= hashes[1:] != hashes[:-1]
+        alone[:-1] &= hashes[1:] != hashes[:-1]
+        docs, counts = np.unique(ids[order][alone], return_counts=True)
+        for bucket, d, c in split_by(bucket_of(docs, buckets), docs, counts):
+            yield bucket, pack_planes(d), pack_planes(c)
+
+    def total(stream: Iterator[tuple]) -> Iterable[tuple]:
+        blocks = [(unpack_planes(d), unpack_planes(c)) for _, d, c in stream]
+        if not blocks:
+            return
+        docs, counts = (np.concatenate(x) for x in zip(*blocks))
+        found, at = np.unique(docs, return_inverse=True)
+        yield from zip(found.tolist(), np.bincount(at, weights=counts).astype(np.int64).tolist())
+
+    packed_schema = "bucket long, a binary, b binary"
+    dealt = arrow_rows(texts, ["doc_id", "ztext"], spread, packed_schema).repartition(buckets, "bucket")
+    counted = arrow_rows(dealt, ["bucket", "a", "b"], single, packed_schema).repartition(buckets, "bucket")
+    return arrow_rows(counted, ["bucket", "a", "b"], total, "doc_id long, private long")
+
+
+def _promising(pairs: DataFrame, few: DataFrame, percent: int) -> DataFrame:
+    """Drop pairs whose sizes, private shingles or signatures rule the similarity out.
+
+    A common part is at most what is not private in either text: an exact bound. Signature agreement
+    is a mean of ``rows * bands`` trials; its cut lies five deviations below the threshold.
     """
-    sig = sketched.select("doc_id", "sig", "n_shingles")
-    wide = (
-        pairs.join(sig.select(F.col("doc_id").alias("u"), F.col("sig").alias("su"), F.col("n_shingles").alias("nu")), "u")
-        .join(sig.select(F.col("doc_id").alias("v"), F.col("sig").alias("sv"), F.col("n_shingles").alias("nv")), "v")
-        .where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
-    )
+    side = [few.select(F.col("doc_id").alias(k), F.col("sig").alias(f"s{k}"), F.col("n_shingles").alias(f"n{k}"), F.col("shared").alias(f"m{k}")) for k in "uv"]
+    most = F.least("mu", "mv")
+    wide = pairs.join(side[0], "u").join(side[1], "v").where(most * 100 >= (F.col("nu") + F.col("nv") - most) * percent)
 
     def run(stream: Iterator[tuple]) -> Iterable[tuple]:
         p = percent / 100
@@ -151,7 +203,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     """(doc_id, n_shingles, component_id, kept, n_links) per document of (doc_id, text).
 
     ``n_links`` counts the confirmed links of the document's representative that were needed to
-    find the component; it is at least 1 exactly if the document is linked to another text.
+    find the component; it is at least 1 exactly if the document is linked to another document.
     """
     spark: SparkSession = docs.sparkSession
     steps = Steps(spark, "near-dup")
@@ -162,71 +214,77 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     chosen = first.select(F.col("rep").alias("doc_id"), "set_key")
     single = sets.join(chosen, ["doc_id", "set_key"]).dropDuplicates(["doc_id"])
     banded = single.select("doc_id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    buckets = steps.save(banded.join(shared, "band"), "buckets")
-    members = buckets.select("doc_id").distinct()
-    few = steps.save(sketched.drop("bands", "set_key").join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sketched-members")
-    # One text per id: a repeated id with several texts is represented by the first of them.
+    in_common = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    met = steps.save(banded.join(in_common, "band"), "met")
+    members = met.select("doc_id").distinct()
+    # One text per id: a repeated id with several texts is represented by one of them.
     texts = steps.save(_packed_texts(docs.select("doc_id", "text").join(members, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "texts")
-
-    tried: DataFrame | None = None
-    links: DataFrame | None = None
-    component: DataFrame | None = None
-    total = few.count()
-    turn = 0
+    few = steps.save(
+        sketched.select("doc_id", "n_shingles", "sig").join(texts.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        .join(_private_counts(texts, width), "doc_id", "left")
+        .withColumn("shared", F.col("n_shingles") - F.coalesce("private", F.lit(0)))
+        # A text with more private shingles than this is like no other text.
+        .where(F.col("shared") * 100 >= F.col("n_shingles") * percent), "members",
+    )
+    buckets = steps.save(met.join(few.select("doc_id", (F.col("n_shingles") - F.col("shared")).alias("private")), "doc_id"), "buckets")
+    steps.drop(met)
+
+    # First round: each member meets the pivot of its buckets that has the least of its own.
+    rank = F.struct("private", "doc_id")
+    pivots = buckets.groupBy("band").agg(F.min(rank).alias("pivot"))
+    best = buckets.join(pivots, "band").groupBy("doc_id").agg(F.min("pivot").alias("pivot"))
+    tried = steps.save(_new_pairs(best.select(F.col("pivot.doc_id").alias("u"), F.col("doc_id").alias("v")), None), "pairs")
+    links = steps.save(confirm(tried, texts, width, percent).select("u", "v"), "links")
+    # Each member has at most one link so far but its pivot may have one too: follow twice.
+    led = best.select("doc_id", F.col("pivot.doc_id").alias("led")).where("doc_id <> led").join(
+        links.select(F.explode(F.array(F.struct(F.col("u").alias("doc_id"), F.col("v").alias("led")), F.struct(F.col("v").alias("doc_id"), F.col("u").alias("led")))).alias("l")).select("l.*"), ["doc_id", "led"], "left_semi")
+    component = steps.save(
+        led.alias("x").join(led.select(F.col("doc_id").alias("led"), F.col("led").alias("up")), "led", "left")
+        .select("doc_id", F.coalesce("up", "led").alias("component")), "led")
+    total, turn = few.count(), 1
     while True:
-        placed = buckets if component is None else buckets.join(component, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        if component is None:
-            placed = placed.withColumn("component", F.col("doc_id"))
+        placed = buckets.select("band", "doc_id").join(component, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
+        open_bands = steps.save(
+            sizes.groupBy("band").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("c")).where("c > 1"), "open")
+        left = open_bands.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
+        if not left:
+            break
+        placed = placed.join(open_bands.select("band"), "band")
+        last = left <= per_round * max(total, 1) * 2 ** turn
+        if last:
+            proposed = placed.alias("x").join(placed.alias("y"), "band").where("x.component < y.component").select(
+                F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v"))
         else:
-            sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
-            open_bands = sizes.groupBy("band").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("c")).where("c > 1")
-            left = open_bands.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
-            if not left:
-                break
-            placed = placed.join(open_bands.select("band"), "band")
-            if left <= per_round * max(total, 1) * 2 ** turn:
-                rest = placed.alias("x").join(placed.alias("y"), "band").where("x.component < y.component").select(
-                    F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v"))
-                new = _new_pairs(rest, tried)
-                links, component = _linked(new, few, texts, width, percent, links, steps)
-                break
-        # The pivot of a bucket is its smallest member by a hash that changes every round.
-        order = F.struct(F.lit(0) if turn == 0 else F.xxhash64("doc_id", F.lit(turn)), F.col("doc_id"), F.col("component"))
-        pivots = placed.groupBy("band").agg(F.min(order).alias("p")).select("band", F.col("p.doc_id").alias("u"), F.col("p.component").alias("pc"))
-        proposed = placed.join(pivots, "band").where("component <> pc").select("u", F.col("doc_id").alias("v"))
-        if turn == 0:
-            # At first a member only meets the smallest pivot of its buckets.
-            proposed = proposed.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+            # The pivot of a bucket is its smallest member by a hash that changes every round.
+            order = F.struct(F.xxhash64("doc_id", F.lit(turn)), F.col("doc_id"), F.col("component"))
+            pivot = placed.groupBy("band").agg(F.min(order).alias("p")).select("band", F.col("p.doc_id").alias("u"), F.col("p.component").alias("pc"))
+            proposed = placed.join(pivot, "band").where("component <> pc").select("u", F.col("doc_id").alias("v"))
         new = steps.save(_new_pairs(proposed, tried), "pairs")
-        tried = new if tried is None else steps.save(tried.unionAll(new), "tried")
-        links, component = _linked(new, few, texts, width, percent, links, steps)
+        found = confirm(steps.save(_promising(new, few, percent), "promising"), texts, width, percent).select("u", "v")
+        links = steps.save(links.unionAll(found), "links")
+        if last:
+            break
+        tried = steps.save(tried.unionAll(new), "tried")
+        component = steps.save(connected_components(links, steps).withColumnRenamed("node", "doc_id"), "component")
         turn += 1
+    component = steps.save(connected_components(links, steps).withColumnRenamed("node", "rep"), "component")
 
     degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    about = component.join(degree, "rep")
     copied = first.where("copies > 1").select(F.col("set_key").alias("k"), F.col("rep"))
     result = (
         sketched.select("doc_id", "n_shingles", "set_key").join(copied, F.col("set_key") == F.col("k"), "left")
-        .withColumn("rep", F.coalesce("rep", "doc_id"))
-        .join(component.withColumnRenamed("doc_id", "rep"), "rep", "left")
-        .join(degree, "rep", "left")
+        .withColumn("rep", F.coalesce("rep", "doc_id")).join(about, "rep", "left")
+        .join(copied.select(F.col("rep"), F.lit(1).alias("has_copies")).distinct(), "rep", "left")
     )
     own = F.coalesce("component", "rep")
     return result.select(
         "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"),
-        (F.coalesce("n_links", F.lit(0)) + F.when(F.col("rep") != F.col("doc_id"), 1).otherwise(0)).alias("n_links"),
+        (F.coalesce("n_links", F.lit(0)) + F.when(F.col("has_copies") == 1, 1).otherwise(0)).alias("n_links"),
     )
 
 
 def _new_pairs(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
     fresh = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     return fresh if tried is None else fresh.join(tried, ["u", "v"], "left_anti")
-
-
-def _linked(pairs: DataFrame, few: DataFrame, texts: DataFrame, width: int, percent: int,
-            links: DataFrame | None, steps: Steps) -> tuple[DataFrame, DataFrame]:
-    """All confirmed links so far, and their components."""
-    found = confirm(_signature_filter(pairs, few, percent), texts, width, percent).select("u", "v")
-    links = steps.save(found if links is None else links.unionAll(found), "links")
-    component = steps.save(connected_components(links, steps).withColumnRenamed("node", "doc_id"), "component")
-    return links, component

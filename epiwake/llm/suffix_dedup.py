@@ -125,6 +125,17 @@ def _ranges_in(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, low, low + size
 
 
+def _six_bytes(hashes: np.ndarray) -> bytes:
+    """The low 48 bits. An anchor and its context are compared by 96 bits besides the bucket."""
+    return hashes.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six_bytes(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
+
+
 def _anchor_rows(docs: DataFrame, buckets: int) -> DataFrame:
     """Blocks of anchors by anchor bucket ('a') and of window ranges known to repeat ('r')."""
 
@@ -144,7 +155,7 @@ def _anchor_rows(docs: DataFrame, buckets: int) -> DataFrame:
             rows = (x[first] for x in (hashes, contexts, keys, places, left, right))
             hashes, *rest = rows
             for bucket, h, c, k, p, a, b in split_by(bucket_of(hashes.view(np.int64), buckets), hashes, *rest):
-                yield "a", bucket, pickle.dumps((h.tobytes(), c.tobytes(), pack_planes(k), pack_planes(p), a.tobytes(), b.tobytes()))
+                yield "a", bucket, pickle.dumps((_six_bytes(h), _six_bytes(c), pack_planes(k), pack_planes(p), a.tobytes(), b.tobytes()))
 
         held, size = [], 0
         for key, text in stream:
@@ -177,7 +188,7 @@ def _judged_anchors(dealt: DataFrame, buckets: int, many: int) -> DataFrame:
                 yield "0r", bucket, data
             else:
                 h, c, k, p, a, b = pickle.loads(data)
-                blocks.append((np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint64), unpack_planes(k), unpack_planes(p), np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)))
+                blocks.append((_from_six_bytes(h), _from_six_bytes(c), unpack_planes(k), unpack_planes(p), np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)))
         if not blocks:
             return
         hashes, contexts, keys, places, left, right = (np.concatenate(x) for x in zip(*blocks))
@@ -204,9 +215,12 @@ def _group_blocks(records: list[tuple], buckets: int) -> Iterator[tuple[int, byt
     groups = np.array([r[0] for r in records], dtype=np.uint64)
     keys, starts = (np.array([r[k] for r in records], dtype=np.int64) for k in (1, 2))
     windows = np.array([r[3] for r in records], dtype=np.uint8)
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=1)
     for bucket, rows in split_by(bucket_of(groups.view(np.int64), buckets), np.arange(len(records))):
         text = b"".join(records[r][4] + b"\xfe" for r in rows.tolist())
-        yield bucket, pickle.dumps((groups[rows].tobytes(), pack_planes(keys[rows]), pack_planes(starts[rows]), windows[rows].tobytes(), text))
+        yield bucket, pickle.dumps((groups[rows].tobytes(), pack_planes(keys[rows]), pack_planes(starts[rows]), windows[rows].tobytes(), packer.compress(text)))
 
 
 def _fetched(dealt: DataFrame, buckets: int) -> DataFrame:
@@ -345,6 +359,9 @@ def _expanded(dealt: DataFrame, buckets: int) -> DataFrame:
     """Ranges of repeated windows by document bucket, from the contexts of whole groups."""
 
     def run(stream: Iterator[tuple]) -> Iterable[tuple]:
+        import zstandard
+
+        opened = zstandard.ZstdDecompressor()
         groups, keys, starts, windows, texts = [], [], [], [], []
         for (data,) in stream:
             g, k, s, w, text = pickle.loads(data)
@@ -352,7 +369,7 @@ def _expanded(dealt: DataFrame, buckets: int) -> DataFrame:
             keys.append(unpack_planes(k))
             starts.append(unpack_planes(s))
             windows.append(np.frombuffer(w, np.uint8))
-            texts.extend(text.split(b"\xfe")[:-1])
+            texts.extend(opened.decompress(text).split(b"\xfe")[:-1])
         if not texts:
             return
         groups, keys, starts, windows = (np.concatenate(x) for x in (groups, keys, starts, windows))
