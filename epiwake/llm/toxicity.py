@@ -6,6 +6,7 @@
    lexicon, so misspelled terms are found without listing variants.
 3. Each hit is weighed by a window of words around it: inside quotation marks or after a word of
    reporting it counts as quotation, next to a word of address as abuse.
+   Words that clean labelled rows use as well are no misspellings.
 4. A logistic model over the sums of hits gives the score. Its features come from lexicons of the
    other half of the labelled rows, so terms that are frequent by chance earn no trust.
 
@@ -34,7 +35,9 @@ from .common import Steps, WordHashes, arrow_rows, shingle_hashes
 #: Bounds of the fit: labelled rows read, and terms of a lexicon.
 FIT_ROWS, LEXICON_TERMS = 20_000, 1_000
 #: A term must be this much more frequent in toxic rows, and this unlikely to be so by chance.
-MIN_LIFT, MIN_EVIDENCE, MIN_ROWS = 3.0, 16.0, 3
+MIN_LIFT, MIN_EVIDENCE, MIN_ROWS = 6.0, 20.0, 3
+#: Words near a term that clean labelled rows use as well, left out of inexact matching.
+EXCEPTIONS = 20_000
 WINDOW = 6
 THRESHOLD = 0.3
 
@@ -48,7 +51,7 @@ STEMS = (4, 5, 6)
 
 
 def allowed_errors(length: int) -> int:
-    return 0 if length < 5 else 1 if length < 9 else 2
+    return 0 if length < 5 else 1 if length < 10 else 2
 
 
 class Trie:
@@ -58,7 +61,6 @@ class Trie:
         self.root: dict = {}
         self.weight = terms
         self.starts, self.ends, self.inner = set(), set(), set()
-        self.shortest = 99
         for term in terms:
             stem = term.endswith("*")
             plain = term[:-1] if stem else term
@@ -66,48 +68,54 @@ class Trie:
             for letter in plain:
                 node = node.setdefault(letter, {})
             node.setdefault("", []).append(term)
-            # With at most one error a half of the term stays as it is, with two a third does.
-            self.starts.add(plain[:2])
-            self.shortest = min(self.shortest, len(plain))
+            # With one error a half of the term stays as it is, with two a third does.
+            self.starts.add(plain[:3] if stem or len(plain) != 5 else plain[:2])
             if not stem:
-                self.ends.add(plain[-2:])
+                self.ends.add(plain[-3:])
                 if allowed_errors(len(plain)) > 1:
                     self.inner.update(plain[k:k + 3] for k in range(len(plain) - 2))
 
     def possible(self, word: str) -> bool:
         """A quick test that every word with a match passes."""
-        if word[:2] in self.starts or word[-2:] in self.ends:
+        if word[:3] in self.starts or word[:2] in self.starts or word[-3:] in self.ends:
             return True
-        return len(word) > 6 and bool(self.inner) and any(word[k:k + 3] in self.inner for k in range(len(word) - 2))
+        return len(word) > 7 and bool(self.inner) and any(word[k:k + 3] in self.inner for k in range(len(word) - 2))
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """The term nearest to ``word`` within its allowed errors, and their number."""
-        if len(word) + 2 < self.shortest or not self.possible(word):
+        """The term nearest to ``word`` within its allowed errors, and their number.
+
+        The automaton's states are bit sets: bit i of the set for j errors says that the letters
+        of the trie read so far can be the first i letters of the word with j errors.
+        """
+        if not self.possible(word):
             return None
+        places: dict[str, int] = {}
+        for k, letter in enumerate(word):
+            places[letter] = places.get(letter, 0) | 1 << k
+        size = len(word)
+        full, accept = (1 << size + 1) - 1, 1 << size
         best: tuple | None = None
-        most = 2
-        # State of the automaton: errors needed to have read each prefix of the word, at most ``most``.
-        pending = [(self.root, tuple(k if k <= most else most + 1 for k in range(len(word) + 1)), 0)]
+        pending = [(self.root, 1, 3 & full, 7 & full if size > 7 else 0, 0)]
         while pending:
-            node, state, depth = pending.pop()
+            node, none, one, two, depth = pending.pop()
             for letter, child in node.items():
                 if letter == "":
+                    errors = 0 if none & accept else 1 if one & accept else 2 if two & accept else 9
                     for term in child:
                         if term.endswith("*"):
-                            errors = 0 if state[min(depth, len(word))] == 0 and len(word) >= depth else 9
+                            found = (0, 1, -self.weight[term], term) if none else None
                         else:
-                            errors = state[-1]
-                        if errors <= (0 if term.endswith("*") else allowed_errors(depth)):
-                            found = (errors, -self.weight[term], term)
-                            if best is None or found < best:
-                                best = found
+                            found = (errors, 0, -self.weight[term], term) if errors <= allowed_errors(depth) else None
+                        if found and (best is None or found < best):
+                            best = found
                     continue
-                row = [min(state[0] + 1, most + 1)]
-                for k, other in enumerate(word):
-                    row.append(min(state[k] + (letter != other), state[k + 1] + 1, row[k] + 1, most + 1))
-                if min(row) <= most:
-                    pending.append((child, tuple(row), depth + 1))
-        return (best[2], best[0]) if best else None
+                at = places.get(letter, 0)
+                none_next = (none & at) << 1
+                one_next = ((one & at) << 1 | none | none << 1 | none_next << 1) & full
+                two_next = ((two & at) << 1 | one | one << 1 | one_next << 1) & full if size > 7 else 0
+                if none_next or one_next or two_next:
+                    pending.append((child, none_next, one_next, two_next, depth + 1))
+        return (best[3], best[0]) if best else None
 
 
 @dataclass
@@ -116,6 +124,7 @@ class Scorer:
 
     terms: dict[str, float]
     weights: list[float] = field(default_factory=list)
+    exceptions: frozenset = frozenset()
 
     def __post_init__(self) -> None:
         self.trie = Trie(self.terms)
@@ -123,13 +132,14 @@ class Scorer:
         self.hits: dict[str, tuple[str, int]] = {}
 
     def __reduce__(self):
-        return Scorer, (self.terms, self.weights)
+        return Scorer, (self.terms, self.weights, self.exceptions)
 
     def found_in(self, words: list[str]) -> bool:
         if not self.terms:
             return False
-        distinct = set(words)
-        unknown = distinct - self.clean
+        if len(self.hits) > 200_000:
+            self.hits.clear()
+        unknown = set(words) - self.clean
         if not unknown:
             return False
         if len(self.clean) > 1_000_000:
@@ -138,26 +148,28 @@ class Scorer:
         for word in unknown:
             if word in self.hits:
                 hit = True
-            elif (match := self.trie.match(word) if len(word) <= 40 else None) is None:
+            elif (match := self.matched(word)) is None:
                 self.clean.add(word)
             else:
-                if len(self.hits) > 200_000:
-                    self.hits.clear()
                 self.hits[word] = match
                 hit = True
         return hit
 
+    def matched(self, word: str) -> tuple[str, int] | None:
+        if word in self.terms:
+            return word, 0
+        return None if len(word) > 40 or word in self.exceptions else self.trie.match(word)
+
     def features(self, text: str | None) -> list[float]:
         text = (text or "").lower()
         words = _WORD.findall(text)
         if not self.found_in(words):
             return [0.0] * 6
         spans = [m.span() for m in _WORD.finditer(text)]
-        abuse = loose = quoted = strongest = 0.0
+        exact = stems = misspelled = quoted = 0.0
         seen: Counter = Counter()
         for k, word in enumerate(words):
-            match = self.hits.get(word) or (self.trie.match(word) if word not in self.clean and len(word) <= 40 else None)
-            if match is None:
+            if (match := self.hits.get(word)) is None:
                 continue
             term, errors = match
             weight = self.terms[term]
@@ -171,12 +183,13 @@ class Scorer:
             if not ADDRESS.isdisjoint(around):
                 weight *= 1.3
             seen[term] += 1
-            if errors or term.endswith("*"):
-                loose += weight * 0.7 ** errors
+            if errors:
+                misspelled += weight * 0.7 ** errors
+            elif term.endswith("*"):
+                stems += weight
             else:
-                abuse += weight
-                strongest = max(strongest, self.terms[term])
-        return [math.log1p(abuse), math.log1p(loose), math.log1p(quoted), math.log1p(len(seen)), strongest, 10 * sum(seen.values()) / (len(words) + 20)]
+                exact += weight
+        return [math.log1p(exact), math.log1p(stems), math.log1p(misspelled), math.log1p(quoted), math.log1p(len(seen)), 10 * sum(seen.values()) / (len(words) + 20)]
 
     def score(self, text: str | None) -> float:
         total = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.features(text)))
@@ -243,6 +256,20 @@ def _lexicon(counts: DataFrame, toxic: Column, clean: Column, n_toxic: int, n_cl
     return {r.term: float(r.lift) for r in top}
 
 
+def _exceptions(counts: DataFrame, lexicon: dict[str, float], toxic: Column, clean: Column) -> frozenset:
+    """Words that match a term inexactly but stand in clean rows as often as in toxic ones."""
+    trie = Trie(lexicon)
+
+    def run(stream: Iterator[tuple]) -> Iterable[tuple]:
+        for term, n in stream:
+            if not term.endswith("*") and term not in trie.weight and trie.match(term):
+                yield term, n
+
+    common = counts.select("term", toxic.alias("p"), clean.alias("n")).where((F.col("n") > 0) & (F.col("n") >= F.col("p")))
+    near = arrow_rows(common, ["term", "n"], run, "term string, n long")
+    return frozenset(r.term for r in near.orderBy(F.desc("n"), "term").limit(EXCEPTIONS).collect())
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 50) -> np.ndarray:
     """Weights of a ridge logistic model by Newton steps; the first weight is the constant."""
     x = np.hstack([np.ones((len(x), 1)), x])
@@ -267,10 +294,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
     if not (n[0, 1] + n[1, 1]) or not (n[0, 0] + n[1, 0]):
         steps.drop(sample)
         return Scorer({}, [math.log(0.1 / 0.9)] + [0.0] * 6)
-    counts = steps.save(_term_counts(sample).where(F.col("n01") + F.col("n11") >= MIN_ROWS), "terms")
+    all_counts = steps.save(_term_counts(sample).where(F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11") > 1), "terms")
+    counts = all_counts.where(F.col("n01") + F.col("n11") >= MIN_ROWS)
     c = F.col
     full = _lexicon(counts, c("n01") + c("n11"), c("n00") + c("n10"), n[0, 1] + n[1, 1], n[0, 0] + n[1, 0], terms)
-    halves = [Scorer(_lexicon(counts, c(f"n{h}1"), c(f"n{h}0"), n[h, 1], n[h, 0], terms)) for h in (0, 1)]
+    halves = []
+    for h in (0, 1):
+        lexicon = _lexicon(counts, c(f"n{h}1"), c(f"n{h}0"), n[h, 1], n[h, 0], terms)
+        halves.append(Scorer(lexicon, [], _exceptions(all_counts, lexicon, c(f"n{h}1"), c(f"n{h}0"))))
 
     def run(stream: Iterator[tuple]) -> Iterable[tuple]:
         for toxic, half, text in stream:
@@ -284,8 +315,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
         partial = _logistic(np.array([r.x for r in rows])[:, used], np.array([float(r.toxic) for r in rows]))
         weights = np.zeros(7)
         weights[0], weights[1 + used] = partial[0], np.maximum(partial[1:], 0)
-    steps.drop(sample, counts)
-    return Scorer(full, [float(w) for w in weights])
+    exceptions = _exceptions(all_counts, full, c("n01") + c("n11"), c("n00") + c("n10"))
+    steps.drop(sample, all_counts)
+    return Scorer(full, [float(w) for w in weights], exceptions)
 
 
 def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
