@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cost_packing, decontaminate, fingerprint, near_dup, pii, suffix_dedup, token_output, toxicity
+import corpus_pipeline
+
+from . import cost_packing, decontaminate, fingerprint, license_scan, near_dup, pii, suffix_dedup, token_output, toxicity, warc
 from .common import table
 
 
@@ -15,10 +17,20 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    spans = F.transform("matches", lambda m: F.format_string("%s:%d:%d:%.4f", m["license"], m["start"], m["end"], m["coverage"]))
+    return found.withColumn("matches", F.concat_ws(",", spans))
+
+
 def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
 
@@ -49,8 +61,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = globals()
     named = [name for name in own if name.startswith("op")]
-    return {name: own[name] for name in sorted(named, key=lambda n: int(n[2:].split("_")[0]))}
+    ordered = {name: own[name] for name in sorted(named, key=lambda n: int(n[2:].split("_")[0]))}
+    return {**ordered, "pipeline": corpus_pipeline.run}
+
+
+# Rows of ``op4_warc`` by SQL; the other operators cannot be stated in it and are tested by brute force.
+WARC_SQL = """
+WITH own AS (
+    SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+    FROM pages
+), first AS (
+    SELECT payload_digest, min(page_id) AS first_id FROM own WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT own.page_id, own.payload_bytes, own.payload_digest,
+       CASE WHEN first.first_id < own.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first.first_id < own.page_id THEN first.first_id END AS refers_to, own.url
+FROM own LEFT JOIN first USING (payload_digest)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": WARC_SQL}

@@ -139,7 +139,7 @@ def write_packed(docs: DataFrame, folder: str | None = None, length: int = LENGT
             starts = np.searchsorted(row_of, np.arange(rows + 1))
             resets = np.array([p[3] * length + p[4] for p in pieces], dtype=np.int64)
             name = f"block-{context.partitionId():06d}-{number:05d}-{context.taskAttemptId()}.npz"
-            with store.open_output_stream(f"{path}/{name}") as out:
+            with store.open_output_stream(f"{path}/{name}", compression=None) as out:
                 out.write(file_bytes(matrix, starts, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), resets))
             for k, start, tokens, row, offset in pieces:
                 doc_id, ids = held[k]

@@ -35,7 +35,7 @@ from .common import Steps, WordHashes, arrow_rows, shingle_hashes
 #: Bounds of the fit: labelled rows read, and terms of a lexicon.
 FIT_ROWS, LEXICON_TERMS = 20_000, 1_000
 #: A term must be this much more frequent in toxic rows, and this unlikely to be so by chance.
-MIN_LIFT, MIN_EVIDENCE, MIN_ROWS = 6.0, 20.0, 3
+MIN_LIFT, MIN_EVIDENCE, MIN_ROWS = 12.0, 20.0, 3
 #: Words near a term that clean labelled rows use as well, left out of inexact matching.
 EXCEPTIONS = 20_000
 WINDOW = 6
@@ -251,7 +251,7 @@ def _lexicon(counts: DataFrame, toxic: Column, clean: Column, n_toxic: int, n_cl
     rate = F.col("p") / both
     evidence = 2 * (F.col("p") * F.log(rate / base) + F.when(F.col("n") > 0, F.col("n") * F.log((1 - rate) / (1 - base))).otherwise(0.0))
     lift = F.log((F.col("p") + 0.5) / (n_toxic + 1)) - F.log((F.col("n") + 0.5) / (n_clean + 1))
-    best = rows.where((rate > MIN_LIFT * base) & (evidence >= MIN_EVIDENCE) & (lift > math.log(MIN_LIFT)))
+    best = rows.where((evidence >= MIN_EVIDENCE) & (lift > math.log(MIN_LIFT)))
     top = best.select("term", lift.alias("lift"), evidence.alias("evidence")).orderBy(F.desc("evidence"), "term").limit(size).collect()
     return {r.term: float(r.lift) for r in top}
 
