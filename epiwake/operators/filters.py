@@ -12,7 +12,8 @@ from epiwake.functions.clinical import is_active_report
 from epiwake.operators.active import active_points, active_visits, apply_point_mode
 from epiwake.tables import Tables
 
-MAP_LIMIT_DEFAULT, MAP_LIMIT_MAX = 5000, 10000
+# Fixed value: the most rows that a caller may ask for in one page of the map feed.
+MAP_LIMIT_MAX = 10000
 PAGE_SIZE_DEFAULT, PAGE_SIZE_MAX = 100, 1000
 
 
@@ -97,10 +98,11 @@ class MapFilter:
     end_date: date | None = None
     region: str | None = None
     status: str | None = None
-    limit: int = MAP_LIMIT_DEFAULT
+    #: Rows of a page; the whole feed without one.
+    limit: int | None = None
 
     def __post_init__(self):
-        if not 1 <= self.limit <= MAP_LIMIT_MAX:
+        if self.limit is not None and not 1 <= self.limit <= MAP_LIMIT_MAX:
             raise ValueError(f"limit lies between 1 and {MAP_LIMIT_MAX}")
         if self.start_date and self.end_date and self.start_date > self.end_date:
             raise ValueError("end_date lies before start_date")
@@ -147,7 +149,7 @@ def map_cases(
     hospital_id: int | None = None,
     active: bool = True,
 ) -> DataFrame:
-    """The active or historical map feed, oldest first, cut to the requested page."""
+    """The active or historical map feed: all of it, or the oldest cases up to a limit the caller sets."""
     if active:
         points = active_points(t)
     else:
@@ -158,6 +160,8 @@ def map_cases(
     cases = _all(map_case_columns(points, t), filters.tests())
     if hospital_id is not None:
         cases = cases.filter(F.col("doctor_hospital_id") == hospital_id)
+    if filters.limit is None:
+        return cases
     return cases.orderBy("diagnosis_date", "geodata_id").limit(filters.limit)
 
 

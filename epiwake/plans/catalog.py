@@ -76,7 +76,12 @@ MAP_COLUMNS = [
 
 
 def map_active_cases(t: Tables) -> DataFrame:
-    return filters.map_cases(t, filters.MapFilter(limit=10000)).select(*MAP_COLUMNS)
+    return filters.map_cases(t).select(*MAP_COLUMNS)
+
+
+def map_page(t: Tables) -> DataFrame:
+    """The feed as a caller asks for it with a limit."""
+    return filters.map_cases(t, filters.MapFilter(limit=500)).select(*MAP_COLUMNS)
 
 
 def map_historical_cases(t: Tables) -> DataFrame:
@@ -87,7 +92,7 @@ def map_historical_cases(t: Tables) -> DataFrame:
 
 
 def map_hospital_cases(t: Tables) -> DataFrame:
-    chosen = filters.MapFilter(disease_type="VIRAL", limit=10000)
+    chosen = filters.MapFilter(disease_type="VIRAL")
     return filters.map_cases(t, chosen, hospital_id=HOSPITAL).select(*MAP_COLUMNS)
 
 
@@ -402,7 +407,7 @@ def queries() -> dict[str, Query]:
         visit_level_dataset, disease_region_day_dataset, risk_features, risk_labels,
         risk_centroids, risk_predictions, forest_samples, forest_predictions, outbreak_with_forest,
         active_visits_global, active_visits_window, visit_activity, active_points_case_mode,
-        active_point_list, map_active_cases, map_historical_cases, map_hospital_cases,
+        active_point_list, map_active_cases, map_page, map_historical_cases, map_hospital_cases,
         patient_scope, hospital_scope, active_alerts, active_hotspots, patient_history,
         visit_page, generated_reports, anomalies, trend_snapshots, trend_snapshots_by_region,
         nearby_cases, outbreak_evaluation, exposure_evaluation,

@@ -97,7 +97,7 @@ MAP_SELECT = """SELECT g.id AS geodata_id, g.visit_id, g.patient_id, d.disease_c
   v.doctor_id, doc.hospital_id AS doctor_hospital_id, v.diagnosis_date, v.status, g.region_type
 FROM geodata g JOIN {visits} v ON v.id = g.visit_id JOIN disease d ON d.id = v.disease_id
 JOIN doctor doc ON doc.id = v.doctor_id {where}
-ORDER BY v.diagnosis_date, g.id LIMIT {limit}"""
+{page}"""
 
 NEWEST = "(SELECT max(diagnosis_date) FROM visit WHERE id IN (SELECT visit_id FROM geodata))"
 
@@ -446,9 +446,10 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT min(g.id) AS geodata_id, visit_id, disease_id, diagnosis_date, min_by(region_type, g.id) AS region_type FROM active a JOIN geodata g ON g.visit_id = a.id WHERE diagnosis_date BETWEEN {NEWEST} - 14 AND {NEWEST} GROUP BY 2, 3, 4"),
         "active_point_list": statement(
             "SELECT g.id AS geodata_id, g.visit_id, g.patient_id, a.diagnosis_date FROM active a JOIN geodata g ON g.visit_id = a.id JOIN doctor d ON d.id = a.doctor_id WHERE g.region_type = 'home' AND hospital_id = 3 AND disease_id = 2 AND diagnosis_date >= DATE '2024-01-05'"),
-        "map_active_cases": statement(MAP_SELECT.format(visits="active", where="", limit=10000)),
-        "map_historical_cases": statement(MAP_SELECT.format(visits="visit", where="WHERE upper(disease_code) = 'MEA' AND diagnosis_date >= DATE '2024-01-05' AND region_type = 'work' AND status = 'infected'", limit=5000)),
-        "map_hospital_cases": statement(MAP_SELECT.format(visits="active", where="WHERE upper(type) = 'VIRAL' AND doc.hospital_id = 3", limit=10000)),
+        "map_active_cases": statement(MAP_SELECT.format(visits="active", where="", page="")),
+        "map_page": statement(MAP_SELECT.format(visits="active", where="", page="ORDER BY v.diagnosis_date, g.id LIMIT 500")),
+        "map_historical_cases": statement(MAP_SELECT.format(visits="visit", where="WHERE upper(disease_code) = 'MEA' AND diagnosis_date >= DATE '2024-01-05' AND region_type = 'work' AND status = 'infected'", page="")),
+        "map_hospital_cases": statement(MAP_SELECT.format(visits="active", where="WHERE upper(type) = 'VIRAL' AND doc.hospital_id = 3", page="")),
         "patient_scope": statement("SELECT p.id, p.national_number FROM patient p WHERE id NOT IN (SELECT patient_id FROM visit) OR id IN (SELECT patient_id FROM visit v JOIN doctor d ON d.id = v.doctor_id WHERE hospital_id = 3)"),
         "hospital_scope": statement("""SELECT 'visit' AS table_name, count(*) AS visible_rows FROM seen UNION ALL SELECT 'geodata', count(*) FROM geodata WHERE visit_id IN (SELECT id FROM seen)
 UNION ALL SELECT 'lab_test', count(*) FROM lab_test WHERE visit_id IN (SELECT id FROM seen) UNION ALL SELECT 'doctor', count(*) FROM doctor WHERE hospital_id = 3 UNION ALL SELECT 'hospital', count(*) FROM hospital WHERE id = 3""",

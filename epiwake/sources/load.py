@@ -37,7 +37,9 @@ def read_csv(spark: SparkSession, path: str, header: list[str], sep: str = ",")
     The position is built from two parts: a count per input partition, and the sum of the
     earlier partitions' counts. No task sees more than its own rows.
     """
-    raw = spark.read.csv(path, header=True, sep=sep, multiLine=False, encoding="UTF-8")
+    # A quoted field may hold separators, doubled quotes and line breaks; for these a file is one
+    # record stream, and many files are read in parallel.
+    raw = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, encoding="UTF-8")
     names = [c.lstrip("﻿").strip() for c in raw.columns]
     missing = sorted(set(header) - set(names))
     if missing:

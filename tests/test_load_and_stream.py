@@ -133,3 +133,9 @@ def test_registered_query_equals_sql(spark, name):
 def test_every_sql_statement_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert datetime(2026, 1, 1)
+
+
+def test_csv_fields_with_quotes_and_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,name\n1,"say ""x, y"" now"\n2,"two\nlines"\n3,plain\n', encoding="utf-8")
+    rows = load.read_csv(spark, str(tmp_path / "a.csv"), ["id", "name"]).orderBy("row_number").collect()
+    assert [(r.row_number, r.id, r.name) for r in rows] == [(1, "1", 'say "x, y" now'), (2, "2", "two\nlines"), (3, "3", "plain")]
