@@ -5,8 +5,10 @@ that agree on all minima of a band share a bucket. Equal shingle sets are one re
 the start. Texts with more shingles of their own than the similarity allows are like no other and
 drop out. In a bucket not all pairs are compared: first every member meets the pivot with the least
 of its own, which in a group of copies is nearest to their origin, and only buckets that still span
-several components go on, if need be with further pivots. What is left in the end is compared in
-full, so no link between two components that share a bucket is lost. With 40 bands of 6 rows a pair
+several components go on, with further pivots while a round settles half of the pairs. Then the
+signatures of what is left are compared in blocks inside the tasks, members outside a bucket's
+largest component against all, and only pairs that agree leave a task. So no link between two
+components that share a bucket is lost. With 40 bands of 6 rows a pair
 of similarity 0.8 shares no bucket with probability 5e-6.
 
 Defined results: a null or blank text has no shingles, is linked with nothing and is its own
@@ -29,9 +31,9 @@ from .components import connected_components
 ROWS, BANDS = 6, 40
 #: Members of one pivot that share a copy of its text in the comparison.
 PER_PIVOT = 1000
-#: The pivot rounds end when this many pairs per document are left for the full comparison, counted
-#: once per shared bucket. The bound doubles every round, so the rounds end for any input.
-LEFT_PER_DOC = 8
+#: Members of a bucket outside its largest component, and all of its members, that share one task's
+#: comparison of signatures, about.
+OUTSIDE, ALL = 512, 8192
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -198,8 +200,51 @@ def _promising(pairs: DataFrame, few: DataFrame, percent: int) -> DataFrame:
     return arrow_rows(wide, ["u", "v", "su", "sv"], run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS,
-                    per_round: int = LEFT_PER_DOC) -> DataFrame:
+def _left_over(here: DataFrame, open_bands: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of different components that share an open band and may be alike by size and signature.
+
+    The members outside a band's largest component are dealt to blocks of about ``OUTSIDE``; each
+    block meets all members of the band, in parts of about ``ALL``. Rows repeat once per block they
+    meet, and the pairs themselves exist only as arrays of a task.
+    """
+    blocks, parts = F.ceil((F.col("m") - F.col("largest.n")) / OUTSIDE), F.ceil(F.col("m") / ALL)
+    placed = here.select("doc_id", "component", "n_shingles", "shared", "sig", F.explode("bands").alias("band")).join(
+        open_bands.select("band", F.col("largest.component").alias("main"), blocks.alias("blocks"), parts.alias("parts")), "band")
+    about = ["band", "doc_id", "component", "n_shingles", "shared", "sig"]
+    outside = placed.where("component <> main").select(
+        *about, F.lit(0).alias("side"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    everyone = placed.select(
+        *about, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).alias("part"))
+    dealt = outside.unionByName(everyone).repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", "side")
+
+    def run(stream: Iterator[tuple]) -> Iterable[tuple]:
+        p = percent / 100
+        key, rows, held = None, [], None
+        for band, block, part, side, doc_id, component, n, shared, sig in stream:
+            if (band, block, part) != key:
+                key, rows, held = (band, block, part), [], None
+            if side == 0:
+                rows.append((doc_id, component, n, shared, sig))
+                continue
+            if held is None:
+                if not rows:
+                    continue
+                numbers = np.array([r[:4] for r in rows], dtype=np.int64)
+                held = (*numbers.T, np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1))
+            ids, components, sizes, common, signatures = held
+            most = np.minimum(common, shared)
+            at = np.flatnonzero((components != component) & (most * 100 >= (sizes + n - most) * percent))
+            if at.size:
+                agree = (signatures[at] == np.frombuffer(sig, np.uint8)).mean(axis=1)
+                for other in ids[at[agree >= p - 5 * (p * (1 - p) / signatures.shape[1]) ** 0.5]].tolist():
+                    yield min(doc_id, other), max(doc_id, other)
+
+    return arrow_rows(dealt, ["band", "block", "part", "side", "doc_id", "component", "n_shingles", "shared", "sig"], run, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, n_links) per document of (doc_id, text).
 
     ``n_links`` counts the confirmed links of the document's representative that were needed to
@@ -216,9 +261,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     banded = single.select("doc_id", F.explode("bands").alias("band"))
     in_common = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     met = steps.save(banded.join(in_common, "band"), "met")
-    members = met.select("doc_id").distinct()
+    sharing = met.select("doc_id").distinct()
     # One text per id: a repeated id with several texts is represented by one of them.
-    texts = steps.save(_packed_texts(docs.select("doc_id", "text").join(members, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "texts")
+    texts = steps.save(_packed_texts(docs.select("doc_id", "text").join(sharing, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "texts")
     few = steps.save(
         sketched.select("doc_id", "n_shingles", "sig").join(texts.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         .join(_private_counts(texts, width), "doc_id", "left")
@@ -226,48 +271,50 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
         # A text with more private shingles than this is like no other text.
         .where(F.col("shared") * 100 >= F.col("n_shingles") * percent), "members",
     )
-    buckets = steps.save(met.join(few.select("doc_id", (F.col("n_shingles") - F.col("shared")).alias("private")), "doc_id"), "buckets")
+    # One row per document with the bands it shares, at most ``bands`` of them.
+    members = steps.save(
+        few.withColumn("private", F.col("n_shingles") - F.col("shared"))
+        .join(met.groupBy("doc_id").agg(F.collect_list("band").alias("bands")), "doc_id"), "in-bands")
     steps.drop(met)
+    buckets = members.select("doc_id", "private", F.explode("bands").alias("band"))
 
     # First round: each member meets the pivot of its buckets that has the least of its own.
-    rank = F.struct("private", "doc_id")
-    pivots = buckets.groupBy("band").agg(F.min(rank).alias("pivot"))
+    pivots = buckets.groupBy("band").agg(F.min(F.struct("private", "doc_id")).alias("pivot"))
     best = buckets.join(pivots, "band").groupBy("doc_id").agg(F.min("pivot").alias("pivot"))
     tried = steps.save(_new_pairs(best.select(F.col("pivot.doc_id").alias("u"), F.col("doc_id").alias("v")), None), "pairs")
     links = steps.save(confirm(tried, texts, width, percent).select("u", "v"), "links")
-    # Each member has at most one link so far but its pivot may have one too: follow twice.
-    led = best.select("doc_id", F.col("pivot.doc_id").alias("led")).where("doc_id <> led").join(
-        links.select(F.explode(F.array(F.struct(F.col("u").alias("doc_id"), F.col("v").alias("led")), F.struct(F.col("v").alias("doc_id"), F.col("u").alias("led")))).alias("l")).select("l.*"), ["doc_id", "led"], "left_semi")
-    component = steps.save(
-        led.alias("x").join(led.select(F.col("doc_id").alias("led"), F.col("led").alias("up")), "led", "left")
-        .select("doc_id", F.coalesce("up", "led").alias("component")), "led")
-    total, turn = few.count(), 1
+    before = buckets.groupBy("band").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
+    turn = 1
     while True:
-        placed = buckets.select("band", "doc_id").join(component, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        component = steps.save(connected_components(links, steps).withColumnRenamed("node", "doc_id"), "component")
+        # A band whose members are one component stays so: only open bands are kept.
+        here = steps.save(
+            members.join(component, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "here")
+        placed = here.select("doc_id", "component", F.explode("bands").alias("band"))
         sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
         open_bands = steps.save(
-            sizes.groupBy("band").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("c")).where("c > 1"), "open")
+            sizes.groupBy("band").agg(
+                F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("c"),
+                F.max(F.struct("n", "component")).alias("largest")).where("c > 1"), "open")
         left = open_bands.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
         if not left:
             break
-        placed = placed.join(open_bands.select("band"), "band")
-        last = left <= per_round * max(total, 1) * 2 ** turn
+        last = left > before / 2
         if last:
-            proposed = placed.alias("x").join(placed.alias("y"), "band").where("x.component < y.component").select(
-                F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v"))
+            # Pivots no longer settle most of the pairs: compare the signatures of all that is left.
+            promising = _left_over(here, open_bands, percent)
         else:
             # The pivot of a bucket is its smallest member by a hash that changes every round.
             order = F.struct(F.xxhash64("doc_id", F.lit(turn)), F.col("doc_id"), F.col("component"))
             pivot = placed.groupBy("band").agg(F.min(order).alias("p")).select("band", F.col("p.doc_id").alias("u"), F.col("p.component").alias("pc"))
             proposed = placed.join(pivot, "band").where("component <> pc").select("u", F.col("doc_id").alias("v"))
-        new = steps.save(_new_pairs(proposed, tried), "pairs")
-        found = confirm(steps.save(_promising(new, few, percent), "promising"), texts, width, percent).select("u", "v")
-        links = steps.save(links.unionAll(found), "links")
+            promising = _promising(steps.save(_new_pairs(proposed, tried), "pairs"), few, percent)
+        new = steps.save(_new_pairs(promising, tried), "promising")
+        links = steps.save(links.unionAll(confirm(new, texts, width, percent).select("u", "v")), "links")
         if last:
             break
         tried = steps.save(tried.unionAll(new), "tried")
-        component = steps.save(connected_components(links, steps).withColumnRenamed("node", "doc_id"), "component")
-        turn += 1
+        before, turn = left, turn + 1
     component = steps.save(connected_components(links, steps).withColumnRenamed("node", "rep"), "component")
 
     degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))

@@ -66,13 +66,15 @@ def near_copies():
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("per_round", [near_dup.LEFT_PER_DOC, 0.001])
-def test_near_duplicates_equal_brute_force(spark, per_round):
+@pytest.mark.parametrize(("outside", "everyone"), [(near_dup.OUTSIDE, near_dup.ALL), (2, 3)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, outside, everyone):
+    monkeypatch.setattr(near_dup, "OUTSIDE", outside)
+    monkeypatch.setattr(near_dup, "ALL", everyone)
     docs = near_copies()
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     sets = {i: shingles(t, 4) for i, t in docs}
     expected = smallest_linked(sets, 80)
-    rows = near_dup.near_duplicates(frame, width=4, per_round=per_round).collect()
+    rows = near_dup.near_duplicates(frame, width=4).collect()
     assert {r.doc_id: r.component_id for r in rows} == expected
     assert all(r.kept == (r.doc_id == r.component_id) and r.n_shingles == len(sets[r.doc_id]) for r in rows)
     lonely = {i for i in sets if sum(c == expected[i] for c in expected.values()) == 1}
