@@ -7,8 +7,9 @@ drop out. In a bucket not all pairs are compared: first every member meets the p
 of its own, which in a group of copies is nearest to their origin, and only buckets that still span
 several components go on, with further pivots while a round settles half of the pairs. Then the
 signatures of what is left are compared in blocks inside the tasks, members outside a bucket's
-largest component against all, and only pairs that agree leave a task. So no link between two
-components that share a bucket is lost. With 40 bands of 6 rows a pair
+largest component against all; pairs that agree have their whole sets intersected there, as 32-bit
+hashes that can only overstate the common part, and only what still is alike leaves a task to be
+confirmed. So no link between two components that share a bucket is lost. With 40 bands of 6 rows a pair
 of similarity 0.8 shares no bucket with probability 5e-6.
 
 Defined results: a null or blank text has no shingles, is linked with nothing and is its own
@@ -200,17 +201,41 @@ def _promising(pairs: DataFrame, few: DataFrame, percent: int) -> DataFrame:
     return arrow_rows(wide, ["u", "v", "su", "sv"], run, "u long, v long")
 
 
-def _left_over(here: DataFrame, open_bands: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of different components that share an open band and may be alike by size and signature.
+def _short_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(doc_id, short): the sorted upper halves of the shingle hashes of each text, repeats included."""
+
+    def run(stream: Iterator[tuple]) -> Iterable[tuple]:
+        import zstandard
+
+        cache, opened = WordHashes(), zstandard.ZstdDecompressor()
+        for doc_id, packed in stream:
+            hashes = np.unique(shingle_hashes(cache.of(opened.decompress(packed).translate(LOWER).split()), width))
+            yield doc_id, (hashes >> np.uint64(32)).astype(np.uint32).tobytes()
+
+    return arrow_rows(texts, ["doc_id", "ztext"], run, "doc_id long, short binary")
+
+
+def _at_most_common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many hashes of ``b`` are in the sorted ``a``: at least the common part of the two sets."""
+    at = np.searchsorted(a, b)
+    at[at == a.size] = 0
+    return int(np.count_nonzero(a[at] == b))
+
+
+def _left_over(here: DataFrame, open_bands: DataFrame, texts: DataFrame, width: int, percent: int, steps: Steps) -> DataFrame:
+    """(u, v) of different components that share an open band and are alike by their short sets.
 
     The members outside a band's largest component are dealt to blocks of about ``OUTSIDE``; each
     block meets all members of the band, in parts of about ``ALL``. Rows repeat once per block they
-    meet, and the pairs themselves exist only as arrays of a task.
+    meet, and pairs that are not alike exist only as arrays of a task.
     """
+    in_open = here.select("doc_id", "component", "n_shingles", "shared", "sig", F.explode("bands").alias("band")).join(open_bands.select("band"), "band", "left_semi")
+    short = steps.save(_short_sets(texts.join(in_open.select("doc_id").distinct(), "doc_id", "left_semi"), width), "short")
+    here = here.join(short, "doc_id")
     blocks, parts = F.ceil((F.col("m") - F.col("largest.n")) / OUTSIDE), F.ceil(F.col("m") / ALL)
-    placed = here.select("doc_id", "component", "n_shingles", "shared", "sig", F.explode("bands").alias("band")).join(
+    placed = here.select("doc_id", "component", "n_shingles", "shared", "sig", "short", F.explode("bands").alias("band")).join(
         open_bands.select("band", F.col("largest.component").alias("main"), blocks.alias("blocks"), parts.alias("parts")), "band")
-    about = ["band", "doc_id", "component", "n_shingles", "shared", "sig"]
+    about = ["band", "doc_id", "component", "n_shingles", "shared", "sig", "short"]
     outside = placed.where("component <> main").select(
         *about, F.lit(0).alias("side"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
@@ -222,11 +247,11 @@ def _left_over(here: DataFrame, open_bands: DataFrame, percent: int) -> DataFram
     def run(stream: Iterator[tuple]) -> Iterable[tuple]:
         p = percent / 100
         key, rows, held = None, [], None
-        for band, block, part, side, doc_id, component, n, shared, sig in stream:
+        for band, block, part, side, doc_id, component, n, shared, sig, short in stream:
             if (band, block, part) != key:
                 key, rows, held = (band, block, part), [], None
             if side == 0:
-                rows.append((doc_id, component, n, shared, sig))
+                rows.append((doc_id, component, n, shared, sig, np.frombuffer(short, np.uint32)))
                 continue
             if held is None:
                 if not rows:
@@ -238,10 +263,14 @@ def _left_over(here: DataFrame, open_bands: DataFrame, percent: int) -> DataFram
             at = np.flatnonzero((components != component) & (most * 100 >= (sizes + n - most) * percent))
             if at.size:
                 agree = (signatures[at] == np.frombuffer(sig, np.uint8)).mean(axis=1)
-                for other in ids[at[agree >= p - 5 * (p * (1 - p) / signatures.shape[1]) ** 0.5]].tolist():
-                    yield min(doc_id, other), max(doc_id, other)
+                own = np.frombuffer(short, np.uint32)
+                for k in at[agree >= p - 5 * (p * (1 - p) / signatures.shape[1]) ** 0.5].tolist():
+                    both = _at_most_common(rows[k][5], own)
+                    if 100 * both >= percent * (int(sizes[k]) + n - both):
+                        other = rows[k][0]
+                        yield min(doc_id, other), max(doc_id, other)
 
-    return arrow_rows(dealt, ["band", "block", "part", "side", "doc_id", "component", "n_shingles", "shared", "sig"], run, "u long, v long")
+    return arrow_rows(dealt, ["band", "block", "part", "side", "doc_id", "component", "n_shingles", "shared", "sig", "short"], run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -302,7 +331,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
         last = left > before / 2
         if last:
             # Pivots no longer settle most of the pairs: compare the signatures of all that is left.
-            promising = _left_over(here, open_bands, percent)
+            promising = _left_over(here, open_bands, texts, width, percent, steps)
         else:
             # The pivot of a bucket is its smallest member by a hash that changes every round.
             order = F.struct(F.xxhash64("doc_id", F.lit(turn)), F.col("doc_id"), F.col("component"))
