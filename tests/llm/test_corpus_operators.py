@@ -81,6 +81,16 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, outside, everyone
     assert all((r.n_links == 0) == (r.doc_id in lonely) for r in rows)
 
 
+def test_short_sets_never_understate_the_common_part():
+    rng = random.Random(3)
+    for _ in range(200):
+        # Few upper halves, so that different hashes often share one.
+        a, b = ({rng.randrange(12) << 32 | rng.randrange(3) for _ in range(rng.randrange(1, 12))} for _ in range(2))
+        upper = [np.sort(np.array([h >> 32 for h in x], dtype=np.uint32)) for x in (a, b)]
+        assert near_dup._at_most_common(*upper) >= len(a & b)
+    assert near_dup._at_most_common(np.array([1, 5], np.uint32), np.array([0, 5, 9], np.uint32)) == 1
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = near_dup.near_duplicates(odd_docs(spark)).collect()
     assert len(rows) == len(ODD) and all(r.component_id == r.doc_id and r.kept for r in rows)
