@@ -2,16 +2,17 @@
 
 A seed hashes the words at the ones of a fixed mask and ignores those at the zeros, so one replaced
 word spoils few seeds. Seeds of the benchmark are joined with the seeds of every position of every
-document; around each hit the words of document and item are compared on that diagonal, and a
-segment counts while matches outweigh replaced words.
+document; around each hit the words of document and item are compared on that diagonal, and all
+segments in which matches outweigh replaced words count together.
 
 The benchmark is taken in blocks of bounded size, each of which is sent to the tasks and meets all
 documents in one pass without a shuffle, so a benchmark of any size is covered.
 
 Defined results: a null or empty text, or an item without words, matches nothing. Items shorter
-than every mask match by all their words. Repeated items count once per id; rows that repeat a
-doc_id share what is found in any of them; a null doc_id is never reported as contaminated by
-``flags`` but its row is kept. Other columns are ignored; empty tables give no hits.
+than every mask match by all their words. All texts under an item_id are searched and count as one
+item; an item without id goes by the 64-bit hash of its text. Rows that repeat a doc_id share what is
+found in any of them; a null doc_id is never reported as contaminated by ``flags`` but its row is
+kept. Other columns are ignored; empty tables give no hits.
 """
 
 from __future__ import annotations
@@ -87,14 +88,14 @@ class Block:
         """(item_id, matched, item words, replaced, first document word, last + 1) per item that is found."""
         by_item: dict[int, list[tuple]] = {}
         for k, shift in self.diagonals(words):
-            if segment := best_segment(words, self.items[k][1], shift):
-                by_item.setdefault(k, []).append(segment)
-        for k, segments in sorted(by_item.items()):
+            if found := segments(words, self.items[k][1], shift):
+                by_item.setdefault(k, []).extend(found)
+        for k, parts in sorted(by_item.items()):
             item_id, item = self.items[k]
             least = min(MIN_MATCHED, int(np.ceil(item.size * MIN_SHARE)))
             covered = np.zeros(item.size, dtype=bool)
             replaced, first, last = 0, len(words), 0
-            for matched, low, high, shift in segments:
+            for matched, low, high, shift in parts:
                 covered[low:high] |= matched
                 replaced += int((~matched).sum())
                 first, last = min(first, low + shift), max(last, high + shift)
@@ -124,29 +125,51 @@ def _masks_of(items: list[tuple]) -> list[tuple]:
     return masks
 
 
-def best_segment(words: np.ndarray, item: np.ndarray, shift: int) -> tuple | None:
-    """The heaviest run on a diagonal: (matches, item start, item end, shift), or None if too short."""
+def segments(words: np.ndarray, item: np.ndarray, shift: int) -> list[tuple]:
+    """All maximal runs on a diagonal that hold enough words: (matches, item start, item end, shift).
+
+    A match counts 1, a replaced word ``-REPLACED_COST``. A run is maximal if all its beginnings and ends
+    weigh more than nothing and no longer run has this property (Ruzzo and Tompa), so the runs are apart.
+    """
     low, high = max(0, -shift), min(item.size, words.size - shift)
     same = item[low:high] == words[low + shift:high + shift]
+    least = min(MIN_SEGMENT, item.size)
+    if np.count_nonzero(same) < least:
+        return []
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]])))
     total = np.concatenate([[0], np.cumsum(np.where(same, 1, -REPLACED_COST))])
-    lowest = np.minimum.accumulate(total)
-    end = int(np.argmax(total - lowest))
-    start = int(np.argmin(total[:end + 1]))
-    matched = same[start:end]
-    if int(matched.sum()) < min(MIN_SEGMENT, item.size):
-        return None
-    return matched, low + start, low + end, shift
+    # (start, end, weight before, weight after, place of the last run before that begins with less weight)
+    runs: list[tuple[int, int, int, int, int]] = []
+    for start, end in edges.reshape(-1, 2).tolist():
+        before, after = int(total[start]), int(total[end])
+        at = len(runs) - 1
+        while at >= 0:
+            if runs[at][2] >= before:
+                at = runs[at][4]
+            elif runs[at][3] < after:
+                # Joined to what stands between; the search goes on from the run it now begins with.
+                start, _, before, _, back = runs[at]
+                del runs[at:]
+                at = back
+            else:
+                break
+        runs.append((start, end, before, after, at))
+    return [(same[a:b], low + a, low + b, shift) for a, b, *_ in runs if np.count_nonzero(same[a:b]) >= least]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """A row for each document of (doc_id, text) and item of (item_id, text) that it holds."""
+    """A row for each document of (doc_id, text) and item of (item_id, text) that it holds.
+
+    Each text under an item_id is searched and gives a row of its own.
+    """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    # A missing id is replaced by a number of the text's own.
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.xxhash64("text")).alias("item_id"), "text").where("text is not null").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // block_chars)
     found: DataFrame | None = None
     for number in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number)
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number)
         # About ``block_chars`` characters, so a bounded side.
         shared = spark.sparkContext.broadcast(Block([(r.item_id, r.text) for r in own.collect()]))
         part = _pass_over(docs, shared)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from epiwake.llm import decontaminate, license_scan, pii, toxicity
@@ -185,3 +186,42 @@ def test_decontaminate_odd_rows(spark, benchmark):
     assert {r.doc_id for r in decontaminate.find(short, table).collect()} == {1}
     assert decontaminate.find(short, table.limit(0)).count() == 0
     assert decontaminate.find(short.limit(0), table).count() == 0
+
+
+def test_decontaminate_counts_all_runs_of_a_diagonal(spark):
+    item = [f"w{k}" for k in range(30)]
+    holed = item[:12] + [f"x{k}" for k in range(6)] + item[18:]
+    # After 9 replaced words the weight is still above zero, so the last run belongs to the same rise.
+    longer = [f"v{k}" for k in range(41)]
+    risen = longer[:20] + [f"x{k}" for k in range(9)] + longer[29:]
+    docs = spark.createDataFrame([(1, " ".join(holed)), (2, " ".join(risen)), (3, " ".join(item[:12]))], "doc_id long, text string")
+    table = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(longer))], "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.matched, r.replaced, r.doc_word_start, r.doc_word_end) for r in decontaminate.find(docs, table).collect()}
+    assert found == {(1, 7, 24, 0, 0, 30), (2, 8, 32, 0, 0, 41)}
+
+
+def test_decontaminate_segments_equal_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        same = [rng.random() < rng.choice((0.4, 0.7, 0.9)) for _ in range(rng.randint(1, 40))]
+
+        def heaviest(low, high):
+            spans = [(sum(1 if x else -decontaminate.REPLACED_COST for x in same[a:b]), -(b - a), -a) for a in range(low, high) for b in range(a + 1, high + 1)]
+            weight, length, start = max(spans, default=(0, 0, 0))
+            if weight <= 0:
+                return []
+            return heaviest(low, -start) + [(-start, -start - length)] + heaviest(-start - length, high)
+
+        item = np.arange(len(same), dtype=np.uint64)
+        words = np.where(same, item, item + np.uint64(1000))
+        expected = [(a, b) for a, b in heaviest(0, len(same)) if sum(same[a:b]) >= min(decontaminate.MIN_SEGMENT, len(same))]
+        assert [(a, b) for _, a, b, _ in decontaminate.segments(words, item, 0)] == expected
+
+
+def test_decontaminate_searches_every_text_of_the_benchmark(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(20)) for c in "abcd"]
+    table = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[3])], "item_id long, text string")
+    docs = spark.createDataFrame([*enumerate(texts), (4, " ".join(texts))], "doc_id long, text string")
+    for chars in (100, decontaminate.BLOCK_CHARS):
+        rows = {r.doc_id: r for r in decontaminate.flags(docs, decontaminate.find(docs, table, block_chars=chars)).collect()}
+        assert [rows[k].n_items for k in range(5)] == [1, 1, 1, 1, 3]
