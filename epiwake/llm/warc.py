@@ -5,9 +5,11 @@ least ``MIN_SHARED`` bytes the one with the smallest page_id is a response, the
 that refer to it and hold no payload. Payload digests are grouped with a pre-aggregated minimum; the
 pages themselves are not shuffled by payload, only joined with their revisit target by id.
 
-Reading: records are read one by one. If a member or record fails its checks, the reader searches
-for the next gzip member (or, in uncompressed archives, the next version line) that starts a valid
-record, goes on there, and logs the skipped bytes as a quarantined gap.
+Reading: records are read one by one, also from a gzip member of several records. If a member or
+record fails its checks, the reader searches for the next gzip member (or, in uncompressed archives
+and inside a member, the next version line) that starts a valid record, goes on there, and logs the
+skipped bytes as a quarantined gap. ``round_trip`` fails if an archive gives back another number of
+records than its manifest states.
 
 An archive is written under a name of its own task attempt, and the manifest names the archives of
 the attempts that counted, so files of lost attempts are never read.
@@ -20,6 +22,7 @@ is a response. Other columns are ignored; an empty table gives no archives.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
 import uuid
@@ -39,8 +42,6 @@ MIN_SHARED = 100
 #: A new archive is begun after so many compressed bytes.
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 1 << 16
-#: Headers longer than this are damage.
-MOST_HEADER = 1 << 16
 
 _MEMBER = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -105,7 +106,7 @@ def _parsed(raw: bytes, offset: int) -> tuple[Record, int]:
     version = _VERSION.match(raw)
     if not version:
         raise Damage("no version line")
-    end = raw.find(b"\r\n\r\n", 0, MOST_HEADER)
+    end = raw.find(b"\r\n\r\n")
     if end < 0:
         raise Damage("header does not end")
     headers: dict[str, str] = {}
@@ -131,19 +132,71 @@ def _parsed(raw: bytes, offset: int) -> tuple[Record, int]:
     return record, stop + 4
 
 
+class _Inflated:
+    """The unpacked bytes of the gzip member at the start of a reader's buffer, as a source.
+
+    It ends at the end of the member or where the member is damaged; ``error`` then says how.
+    """
+
+    def __init__(self, reader: "SalvageReader"):
+        self.reader, self.opened = reader, zlib.decompressobj(31)
+        self.at, self.made, self.error = 0, 0, ""
+        #: (bytes made, bytes taken) after each part that was unpacked.
+        self.parts: list[tuple[int, int]] = []
+
+    def read(self, size: int) -> bytes:
+        while not self.error and not self.opened.eof:
+            if not self.reader._fill(self.at + 1):
+                self.error = "member is cut off"
+                break
+            part = bytes(self.reader.buffer[self.at:self.at + READ_BYTES])
+            before = self.opened.copy() if self.at else zlib.decompressobj(31)
+            try:
+                out = self.opened.decompress(part)
+            except zlib.error as error:
+                self.error = f"gzip: {error}"
+                return self._up_to_damage(before, part)
+            self.at, self.made = self.at + len(part), self.made + len(out)
+            self.parts.append((self.made, self.at))
+            if out:
+                return out
+        return b""
+
+    @staticmethod
+    def _up_to_damage(opened, part: bytes) -> bytes:  # noqa: ANN001
+        out = bytearray()
+        with contextlib.suppress(zlib.error):
+            for k in range(len(part)):
+                out += opened.decompress(part[k:k + 1])
+        return bytes(out)
+
+    def release(self, made: int) -> None:
+        """Drop the parts that only hold bytes before ``made``."""
+        done = [at for end, at in self.parts if end <= made]
+        if done and not self.opened.eof:
+            self.reader._drop(done[-1])
+            self.at -= done[-1]
+            self.parts = [(end, at - done[-1]) for end, at in self.parts[len(done):]]
+
+
 @dataclass
 class SalvageReader:
-    """Reads an archive from a stream of bytes; memory holds one record and a read buffer.
+    """Reads an archive from a stream of bytes; memory holds two records and a read buffer.
 
-    ``most_record`` bounds what a damaged length can make it hold.
+    ``most_record`` bounds what a damaged length or header can make it hold. Records of one member
+    have the member's offset. A member's only record counts if the member ends well; of several, each
+    counts whose own digests agree.
     """
 
     source: object
     most_record: int = 1 << 30
     gaps: list[Gap] = field(default_factory=list)
+    #: Whether gzip members are opened; not inside of one.
+    members: bool = True
 
     def __post_init__(self) -> None:
         self.buffer, self.base, self.ended = bytearray(), 0, False
+        self.gap: tuple[int, str] | None = None
 
     def _fill(self, size: int) -> bool:
         """Whether the buffer holds ``size`` bytes after reading on."""
@@ -157,37 +210,61 @@ class SalvageReader:
         del self.buffer[:size]
         self.base += size
 
-    def _member(self) -> tuple[Record, int]:
-        """The record in the gzip member at the start of the buffer and the member's length."""
-        opened, out, at = zlib.decompressobj(31), bytearray(), 0
-        try:
-            while not opened.eof:
-                if not self._fill(at + 1):
-                    raise Damage("member is cut off")
-                part = bytes(self.buffer[at:at + READ_BYTES])
-                at += len(part)
-                out += opened.decompress(part)
-                if len(out) > self.most_record:
-                    raise Damage("record too long")
-        except zlib.error as error:
-            raise Damage(f"gzip: {error}") from None
-        record, used = _parsed(bytes(out), self.base)
-        if used != len(out):
-            raise Damage("member holds more than a record")
-        return record, at - len(opened.unused_data)
-
-    def _plain(self) -> tuple[Record, int]:
-        """The uncompressed record at the start of the buffer and its length."""
-        self._fill(MOST_HEADER)
-        end = self.buffer.find(b"\r\n\r\n", 0, MOST_HEADER)
-        size = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]+)[ \t]*\r\n", self.buffer[:end + 2]) if end >= 0 else None
+    def _sound(self, offset: int) -> None:
+        """A gap ends where the next sound record starts."""
+        if self.gap:
+            self.gaps.append(Gap(self.gap[0], offset, self.gap[1]))
+            self.gap = None
+
+    def _member(self) -> Iterator[Record]:
+        """The records in the gzip member at the start of the buffer, which is dropped."""
+        start, packed = self.base, _Inflated(self)
+        inside = SalvageReader(packed, self.most_record, members=False)
+        held, several = None, False
+        for record in inside:
+            record.offset = start
+            if held is not None:
+                self._sound(start)
+                several = True
+                yield held
+                packed.release(inside.base)
+            held = record
+        if packed.error and not several:
+            raise Damage(packed.error)
+        if held is None:
+            self.gap = self.gap or (start, inside.gaps[0].reason if inside.gaps else "member is empty")
+        else:
+            self._sound(start)
+            yield held
+        if packed.error:
+            packed.release(inside.base)
+        else:
+            self._drop(packed.at - len(packed.opened.unused_data))
+        if held is not None:
+            # Where the member breaks off, the last gap goes on outside.
+            inner = inside.gaps[:-1] if packed.error and inside.gaps and inside.gaps[-1].end == inside.base else inside.gaps
+            self.gaps += [Gap(start, self.base, f"inside of a member: {gap.reason}") for gap in inner]
+        if packed.error:
+            raise Damage(packed.error)
+
+    def _plain(self) -> Iterator[Record]:
+        """The uncompressed record at the start of the buffer, which is dropped."""
+        at = 0
+        while (end := self.buffer.find(b"\r\n\r\n", at)) < 0:
+            at = max(0, len(self.buffer) - 3)
+            if len(self.buffer) > self.most_record or not self._fill(len(self.buffer) + 1):
+                raise Damage("header does not end")
+        size = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]+)[ \t]*\r\n", self.buffer[:end + 2])
         if size is None or int(size.group(1)) > self.most_record:
             raise Damage("no usable length")
         self._fill(end + 8 + int(size.group(1)))
-        return _parsed(bytes(self.buffer[:end + 8 + int(size.group(1))]), self.base)
+        record, used = _parsed(bytes(self.buffer[:end + 8 + int(size.group(1))]), self.base)
+        self._sound(self.base)
+        self._drop(used)
+        yield record
 
-    def _one(self) -> tuple[Record, int]:
-        if self.buffer[:3] == _MEMBER:
+    def _here(self) -> Iterator[Record]:
+        if self.members and self.buffer[:3] == _MEMBER:
             return self._member()
         if _VERSION.match(self.buffer):
             return self._plain()
@@ -197,32 +274,27 @@ class SalvageReader:
         """Offset in the buffer of the next possible start after its first byte; its end if there is none."""
         at = 1
         while True:
-            packed, plain = self.buffer.find(_MEMBER, at), _VERSION.search(self.buffer, at)
+            packed, plain = self.buffer.find(_MEMBER, at) if self.members else -1, _VERSION.search(self.buffer, at)
             found = ([packed] if packed >= 0 else []) + ([plain.start()] if plain else [])
             if found:
                 return min(found)
             # A start can lie across the end of what was read.
-            at = max(1, len(self.buffer) - 9)
+            self._drop(max(at, len(self.buffer) - 9))
+            at = 0
             if not self._fill(len(self.buffer) + 1):
                 return len(self.buffer)
 
     def __iter__(self) -> Iterator[Record]:
-        gap: tuple[int, str] | None = None
         while self._fill(1):
             self._fill(16)
             try:
-                record, used = self._one()
+                yield from self._here()
             except Damage as damage:
-                gap = gap or (self.base, str(damage))
-                self._drop(self._next_start())
-                continue
-            if gap:
-                self.gaps.append(Gap(gap[0], self.base, gap[1]))
-                gap = None
-            self._drop(used)
-            yield record
-        if gap:
-            self.gaps.append(Gap(gap[0], self.base, gap[1]))
+                self.gap = self.gap or (self.base, str(damage))
+                # What is left of a broken member may be used up.
+                if self._fill(1):
+                    self._drop(self._next_start())
+        self._sound(self.base)
 
 
 def revisits(pages: DataFrame, least: int = MIN_SHARED) -> DataFrame:
@@ -270,21 +342,24 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
     return Steps(spark, "warc-manifest").save(manifest, "manifest")
 
 
-def read_archives(manifest: DataFrame, paths: str = "path") -> DataFrame:
+def read_archives(manifest: DataFrame, paths: str = "path", counts: str | None = None) -> DataFrame:
     """Every record of the archives, and a row for each quarantined gap.
 
-    Archives are dealt out one by one and streamed, so a task holds one record at a time.
+    Archives are dealt out one by one and streamed, so a task holds few records at a time. With
+    ``counts``, a column of the manifest, an archive that gives another number of records is an error.
     """
     spread = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), manifest.rdd.getNumPartitions())
 
     def run(stream: Iterator[tuple]) -> Iterable[tuple]:
         from pyarrow import fs
 
-        for (uri,) in stream:
+        for uri, *expected in stream:
             store, path = fs.FileSystem.from_uri(uri)
+            read = 0
             with store.open_input_stream(path, compression=None) as source:
                 reader = SalvageReader(source)
                 for record in reader:
+                    read += 1
                     if record.kind == "response":
                         size, digest = len(record.payload), hashlib.sha256(record.payload).hexdigest()
                     else:
@@ -294,13 +369,15 @@ def read_archives(manifest: DataFrame, paths: str = "path") -> DataFrame:
                     yield uri, record.offset, None, None, record.page(), record.headers.get("warc-target-uri"), record.kind, size, digest, record.page("warc-refers-to"), record.payload if record.kind == "response" else None
                 for gap in reader.gaps:
                     yield uri, gap.start, gap.end, gap.reason, None, None, "gap", None, None, None, None
+            if expected and expected[0] != read:
+                raise ValueError(f"{uri}: {read} of {expected[0]} records could be read; {reader.gaps[:3]}")
 
-    return arrow_rows(manifest.repartition(spread, paths), [paths], run,
+    return arrow_rows(manifest.repartition(spread, paths), [paths, *([counts] if counts else [])], run,
                       "path string, at long, gap_end long, reason string, page_id long, url string, record_type string, "
                       "payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write the pages to archives, read these back, and return a row per page."""
-    records = read_archives(write_archives(pages))
+    records = read_archives(write_archives(pages), counts="n_records")
     return records.where("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")

@@ -304,6 +304,53 @@ def test_salvage_recovers_what_follows_damage():
     assert 0 in ids and 1 in ids and 3 in ids and gaps[0] == (len(records[0]), len(records[0]) + 8)
 
 
+def test_long_urls_round_trip(spark):
+    pages = [(k, "data:" + "u" * size, "<p>" + str(k)) for k, size in enumerate((10, 65_000, 66_000, 300_000))]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {(r.page_id, r.url) for r in warc.round_trip(frame).collect()} == {(k, url) for k, url, _ in pages}
+    plain = b"".join(warc.record_bytes(k, url, html.encode(), None) for k, url, html in pages)
+    assert [r.page() for r in warc.SalvageReader(io.BytesIO(plain))] == [0, 1, 2, 3]
+
+
+def test_members_of_several_records_are_read():
+    rng = random.Random(1)
+    records = [warc.record_bytes(k, "http://x", rng.randbytes(50_000), None) for k in range(20)]
+
+    def read(data):
+        reader = warc.SalvageReader(io.BytesIO(data))
+        return [r.page() for r in reader], reader.gaps
+
+    whole, single = warc.member(b"".join(records[:19])), warc.member(records[19])
+    assert read(whole + single) == (list(range(20)), [])
+    # A bad record inside of a sound member costs only itself.
+    spoiled = bytearray(b"".join(records[:19]))
+    spoiled[spoiled.index(b"<urn:page:7>") + 5_000] ^= 0xFF
+    ids, gaps = read(warc.member(bytes(spoiled)) + single)
+    assert ids == [k for k in range(20) if k != 7]
+    assert [(g.start, g.end, "digest differs" in g.reason) for g in gaps] == [(0, len(warc.member(bytes(spoiled))), True)]
+    # A member that breaks off gives the records before.
+    ids, gaps = read(whole[:len(whole) // 2] + single)
+    assert ids[:-1] == list(range(len(ids) - 1)) and len(ids) > 9 and ids[-1] == 19
+    assert len(gaps) == 1 and 0 < gaps[0].start < gaps[0].end == len(whole) // 2
+    # Also where the damage lies in the same piece that was read.
+    small = [warc.record_bytes(k, "http://x", b"%d" % k * 200, None) for k in range(20)]
+    whole = bytearray(warc.member(b"".join(small)))
+    whole[-6] ^= 0xFF
+    ids, gaps = read(bytes(whole) + single)
+    assert ids == [*range(20), 19] and [g.end for g in gaps] == [len(whole)]
+
+
+def test_round_trip_fails_on_lost_records(spark, tmp_path):
+    frame = spark.createDataFrame([(k, "http://x", "y" * 50) for k in range(5)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(frame, f"file://{tmp_path}")
+    assert warc.read_archives(manifest, counts="n_records").count() == 5
+    (row,) = manifest.where("n_records > 0").collect()
+    more = spark.createDataFrame([(row.path, row.n_records + 1)], "path string, n_records long")
+    with pytest.raises(Exception, match="5 of 6 records"):
+        warc.read_archives(more, counts="n_records").count()
+
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
