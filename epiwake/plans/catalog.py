@@ -306,12 +306,12 @@ def forest_samples(t: Tables) -> DataFrame:
 
 def forest_predictions(t: Tables) -> DataFrame:
     samples = forest.report_samples(t)
-    model, _ = forest.train_forest(samples, trees=20, max_depth=5)
+    model, _ = forest.train_forest(samples)
     return forest.predict_forest(samples, model).select("report_id", "label", "ml_alert_level", "ml_confidence")
 
 
 def outbreak_with_forest(t: Tables) -> DataFrame:
-    model, _ = forest.train_forest(forest.report_samples(t), trees=20, max_depth=5)
+    model, _ = forest.train_forest(forest.report_samples(t))
     return outbreak.evaluate_outbreaks(
         t, outbreak.contexts_of(t), policy.alert_policies(t.disease), predict=forest.predictor(t, model)
     ).select("geodata_id", "alert_level", "score", "decision_source")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from compare import compare, connect
 from epiwake.operators import datasets, filters, forest, quality, risk
+from epiwake.plans import catalog
 from epiwake.session import shared_dir
 from epiwake.sources import load, sinks
 from epiwake.streaming import case_events as feed
@@ -139,3 +140,13 @@ def test_csv_fields_with_quotes_and_line_breaks(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,name\n1,"say ""x, y"" now"\n2,"two\nlines"\n3,plain\n', encoding="utf-8")
     rows = load.read_csv(spark, str(tmp_path / "a.csv"), ["id", "name"]).orderBy("row_number").collect()
     assert [(r.row_number, r.id, r.name) for r in rows] == [(1, "1", 'say "x, y" now'), (2, "2", "two\nlines"), (3, "3", "plain")]
+
+
+def test_forest_queries_train_the_whole_forest(spark, monkeypatch):
+    w, models, train = World(), [], forest.train_forest
+    w.visit(1, 1, 1, "2026-04-18", points=[(33.5, 36.25, "home")]).report(1, 1, "low", 5, "new").report(2, 1, "high", 70, "new")
+    monkeypatch.setattr(forest, "train_forest", lambda *a, **k: models.append(train(*a, **k)) or models[-1])
+    t = w.tables(spark)
+    assert catalog.forest_predictions(t).count() == 2
+    assert catalog.outbreak_with_forest(t).count() == 1
+    assert [(m.getNumTrees, m.getMaxDepth(), meta["n_estimators"]) for m, meta in models] == [(100, 10, 100)] * 2
