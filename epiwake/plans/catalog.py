@@ -339,11 +339,11 @@ def hotspot_merge(t: Tables) -> DataFrame:
 
 
 def report_merge(t: Tables) -> DataFrame:
-    """The first monitoring run over all points: the alert table starts empty."""
+    """A monitoring run over all points, merged into the stored alert table."""
     analyses = jobs.cut_lineage(
         outbreak.evaluate_outbreaks(t, outbreak.contexts_of(t), policy.alert_policies(t.disease))
     )
-    return report_upkeep.merge_reports(t, analyses, t.report.filter(F.lit(False)), AS_OF).drop("reasons", "summary")
+    return report_upkeep.merge_reports(t, analyses, t.report, AS_OF).drop("reasons", "summary")
 
 
 def cluster_from_analysis(t: Tables) -> DataFrame:
