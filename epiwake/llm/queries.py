@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import cost_packing, decontaminate, fingerprint, license_scan, near_dup, pii, secrets, suffix_dedup, token_output, toxicity, warc
+from . import cost_packing, decontaminate, fingerprint, license_scan, near_dup, pii, secrets, suffix_dedup, token_alignment, token_output, toxicity, warc
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.flags(docs, decontaminate.find(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 

@@ -38,9 +38,17 @@ class Encoder:
         # Only a run of several white-space characters needs the look-ahead; without it the
         # splitting is a plain automaton.
         plain = pattern.replace(r"\s+(?!\S)|", "")
+        self._ranks = ranks
         self._any = tiktoken.Encoding("any", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._plain = tiktoken.Encoding("plain", pat_str=plain, mergeable_ranks=ranks, special_tokens={})
 
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of every id; ids are the ranks."""
+        out = [b""] * (max(self._ranks.values()) + 1)
+        for token, rank in self._ranks.items():
+            out[rank] = token
+        return out
+
     def ids(self, text: str) -> bytes:
         # Enough to see a run: of two neighbours one is a space, a line feed, or a rarer character.
         simple = text.isprintable() if "\n" not in text else text.replace("\n", "").isprintable()
