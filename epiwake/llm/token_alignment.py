@@ -225,5 +225,6 @@ def align(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, pieces: str = D
                                   schema=out))
         return pa.concat_tables(found) if found else out.empty_table()
 
-    heads = blocks.drop("a", "b", "times")
+    # Read anew, so that the two sides of the cogroup do not share their columns.
+    heads = docs.sparkSession.read.schema(blocks.schema).parquet(blocks._step_path).drop("a", "b", "times")
     return heads.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(finish, f"{_DOC}, n_best long, count_sum long, groups_sha256 string")
