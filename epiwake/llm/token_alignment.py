@@ -46,41 +46,42 @@ def matched_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np
 
     Both arrays rise strictly and end with the same offset.
     """
-    size_a, size_b = len(ends_a), len(ends_b)
-    bytes_a, bytes_b = ends_a.astype("<u4").tobytes(), ends_b.astype("<u4").tobytes()
-    list_a, list_b = ends_a.tolist(), ends_b.tolist()
+    size = len(ends_a)
+    # Unequal ends after the last ones stop every probe, so no index has to be checked.
+    list_a, list_b = ends_a.tolist() + [-1], ends_b.tolist() + [-2]
+    bytes_a, bytes_b = array("q", list_a).tobytes(), array("q", list_b).tobytes()
     starts, shifts, lengths = [], [], []
     i = j = 0
-    while i < size_a and j < size_b:
+    while i < size:
+        a, b = list_a[i], list_b[j]
+        # Irregular group: the side behind moves on until the ends meet.
+        while a != b:
+            if a < b:
+                i += 1
+                a = list_a[i]
+            else:
+                j += 1
+                b = list_b[j]
+        # One-to-one stretch at this shift: probe with doubling, then halving steps.
         first = i
+        i += 1
+        j += 1
         if list_a[i] == list_b[j]:
-            # One-to-one stretch: probe at this shift with doubling, then halving steps.
             i += 1
             j += 1
-            step = 1
-            while i + step <= size_a and j + step <= size_b and bytes_a[4 * i:4 * (i + step)] == bytes_b[4 * j:4 * (j + step)]:
+            step = 2
+            while bytes_a[8 * i:8 * (i + step)] == bytes_b[8 * j:8 * (j + step)]:
                 i += step
                 j += step
                 step *= 2
-            step //= 2
-            while step:
-                if i + step <= size_a and j + step <= size_b and bytes_a[4 * i:4 * (i + step)] == bytes_b[4 * j:4 * (j + step)]:
+            while step > 1:
+                step //= 2
+                if bytes_a[8 * i:8 * (i + step)] == bytes_b[8 * j:8 * (j + step)]:
                     i += step
                     j += step
-                step //= 2
-            starts.append(first)
-            shifts.append(j - i)
-            lengths.append(i - first)
-        else:
-            # Irregular group: the side behind moves on until the ends meet.
-            a, b = list_a[i], list_b[j]
-            while a != b:
-                if a < b:
-                    i += 1
-                    a = list_a[i]
-                else:
-                    j += 1
-                    b = list_b[j]
+        starts.append(first)
+        shifts.append(j - i)
+        lengths.append(i - first)
     count = np.asarray(lengths, dtype=np.int64)
     if not count.size:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -133,9 +134,10 @@ class Aligner:
         ids_a = np.frombuffer(self.encoder.ids(" " + text), dtype="<u4")
         list_b = self.pieces.encode(text, num_threads=1)
         plain = (" " + text).encode()
-        if b"".join(map(self.bytes_b.__getitem__, list_b)) != plain or b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) != plain:
+        # The rank form only cuts the bytes, so for A their number decides.
+        if self.length_a[ids_a].sum() != len(plain) or b"".join(map(self.bytes_b.__getitem__, list_b)) != plain:
             return None
-        return ids_a, np.fromiter(list_b, dtype=np.int64, count=len(list_b))
+        return ids_a, np.array(list_b, dtype=np.int64)
 
     def align(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids of A, ids of B, and the indexes of linked tokens in both."""
