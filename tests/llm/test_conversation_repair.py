@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-import sys
 import zlib
 from functools import lru_cache
 
@@ -12,9 +11,6 @@ from epiwake.llm import conversation_repair as repair
 from epiwake.llm import queries
 
 
-sys.setrecursionlimit(50_000)
-
-
 def cheapest(roles, faults):
     """(cost, audit) by dynamic programming over rows from the end."""
     follow = {"": "u", "s": "u", "u": "a", "a": "u"}
@@ -41,6 +37,9 @@ def cheapest(roles, faults):
             options.append((c + 3 + stay, "R" + t))
         return min(options)
 
+    for k in range(len(roles), 0, -10):
+        for before in ("", "s", "u", "a"):
+            best(k, before, 0)  # from the end, so that no call goes deep
     return best(0, "", 0)
 
 
