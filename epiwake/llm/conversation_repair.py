@@ -117,14 +117,15 @@ def lower_bounds(rows: list[Row], after: tuple, last: bool) -> list[float]:
     return table
 
 
-def search(rows: list[Row], state: int, after: tuple = AT_END, last: bool = True) -> tuple[float, str, int]:
+def search(rows: list[Row], state: int, after: tuple = AT_END, last: bool = True, need: list[float] | None = None) -> tuple[float, str, int]:
     """Cost (what follows included), edits and final role of the cheapest path, least in ASCII.
 
     ``after`` is what remains to be paid from each role after these rows; only after the ``last`` rows
-    may more be inserted. Cost is infinite if no path exists.
+    may more be inserted. Cost is infinite if no path exists. ``need`` is the table of failed states, which
+    searches of the same rows and remaining costs may share.
     """
     size = len(rows)
-    need = lower_bounds(rows, after, last)
+    need = lower_bounds(rows, after, last) if need is None else need
     path: list[str] = []
     end = state
 
@@ -333,8 +334,10 @@ def _costs(parts: DataFrame) -> DataFrame:
             faults = faults_of(texts, digests, set(seen or ()))
             rows = [Row(r, f) for r, f in zip(roles, faults)]
             one = [tuple(0 if s == to else math.inf for s in STATES) for to in STATES]
-            through = [float(search(rows, state, one[to], last=False)[0]) for state in STATES for to in STATES]
-            yield conv_id, part, chunk, faults, through, [float(search(rows, state)[0]) for state in STATES]
+            failed = [lower_bounds(rows, after, False) for after in one]
+            through = [float(search(rows, state, one[to], False, failed[to])[0]) for state in STATES for to in STATES]
+            ending = lower_bounds(rows, AT_END, True)
+            yield conv_id, part, chunk, faults, through, [float(search(rows, state, need=ending)[0]) for state in STATES]
 
     return arrow_rows(parts, ["conv_id", "part", "chunk", "roles", "texts", "digests", "seen"], run,
                       "conv_id long, part long, chunk long, faults array<string>, through array<double>, ending array<double>")
@@ -363,7 +366,9 @@ def _with_edits(parts: DataFrame) -> DataFrame:
     def run(stream: Iterator[tuple]) -> Iterable[tuple]:
         for conv_id, part, chunk, turns, roles, texts, faults, last, after in stream:
             rows = [Row(r, f) for r, f in zip(roles, faults)]
-            found = [search(rows, s) if last else search(rows, s, tuple(after), last=False) for s in STATES]
+            after = AT_END if last else tuple(after)
+            failed = lower_bounds(rows, after, last)
+            found = [search(rows, s, after, last, failed) for s in STATES]
             yield conv_id, part, chunk, turns, roles, texts, faults, [f[1] for f in found], [f[2] for f in found]
 
     return arrow_rows(parts, ["conv_id", "part", "chunk", "turns", "roles", "texts", "faults", "last", "after"], run,
