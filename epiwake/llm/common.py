@@ -60,21 +60,26 @@ def bucket_count(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * df.rdd.getNumPartitions())
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id``, ``key``, ``text``): ``key`` is a unique long that follows the order of (id, text).
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nulls_last: bool = False, carry: bool = False) -> DataFrame:
+    """(``id``, ``key``, ``text``): ``key`` is a unique long that follows the order of the ids.
 
-    Nearly always the id itself. Only where ids repeat or are missing, rows are numbered by
-    (id with nulls first, text); equal rows then are separate documents.
+    Nearly always the id itself. Only where ids repeat or are missing, rows are numbered by id (missing
+    ones first, or last), then the first 64 characters of the text, then a hash of it; equal rows then
+    are separate documents. ``carry`` adds the whole input row as ``row``.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
+                        *([F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []))
+    more = ["row"] if carry else []
     odd = plain.groupBy("id").count().where((F.col("count") > 1) | F.col("id").isNull()).limit(1)
     if not odd.take(1):
-        return plain.select("id", F.col("id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+        return plain.select("id", F.col("id").alias("key"), F.coalesce("text", F.lit("")).alias("text"), *more)
     steps = Steps(spark, "keyed")
+    by_id = F.col("id").asc_nulls_last() if nulls_last else F.col("id").asc_nulls_first()
+    order = [by_id, "_head", "_hash"]
     ordered = steps.save(
-        plain.repartitionByRange(F.col("id").asc_nulls_first(), F.xxhash64("text"))
-        .sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+        plain.withColumns({"_head": F.substring("text", 1, 64), "_hash": F.xxhash64("text")})
+        .repartitionByRange(*order).sortWithinPartitions(*order, "text")
         .withColumn("_m", F.monotonically_increasing_id()), "ordered",
     )
     # The high bits of the counter are the range partition, so counts per partition give offsets.
@@ -83,7 +88,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     offsets = sizes.withColumn("_o", F.sum("count").over(Window.orderBy("_p")) - F.col("count")).select("_p", "_o")
     return (
         ordered.withColumn("_p", part).join(offsets, "_p")
-        .select("id", (F.col("_o") + F.col("_m").bitwiseAND((1 << 33) - 1)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+        .select("id", (F.col("_o") + F.col("_m").bitwiseAND((1 << 33) - 1)).alias("key"), F.coalesce("text", F.lit("")).alias("text"), *more)
     )
 
 

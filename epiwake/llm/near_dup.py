@@ -13,9 +13,11 @@ confirmed. So no link between two components that share a bucket is lost. With 4
 of similarity 0.8 shares no bucket with probability 5e-6.
 
 Defined results: a null or blank text has no shingles, is linked with nothing and is its own
-component. A text with fewer words than a shingle is one shingle. Repeated rows of one id count
-as one document for links. Rows with a null id are returned with a null component, unlinked.
-An empty table gives an empty result, and other columns of the input are ignored.
+component. A text with fewer words than a shingle is one shingle. Where ids repeat or are missing,
+every row is a document of its own (``common.keyed``, missing ids last): each text under an id is
+linked, a component has the smallest id of its rows, which is null only if all of them are, and of
+rows with a null id the first of a component is kept. An empty table gives an empty result, and other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Steps, WordHashes, arrow_rows, bucket_of, mixed, pack_planes, shingle_hashes, split_by, unpack_planes
+from .common import LOWER, Steps, WordHashes, arrow_rows, bucket_count, bucket_of, keyed, mixed, pack_planes, shingle_hashes, split_by, unpack_planes
 from .components import connected_components
 
 ROWS, BANDS = 6, 40
@@ -60,9 +62,9 @@ def _hash_functions(count: int, seed: int = 20240501) -> tuple[np.ndarray, np.nd
 
 
 def sketches(docs: DataFrame, width: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, n_shingles, set_key, sig, bands): one byte of each minimum and a key per band.
+    """(doc_id, id, n_shingles, set_key, sig, bands): one byte of each minimum and a key per band.
 
-    ``set_key`` is a 128-bit digest of the whole set, null without shingles.
+    ``set_key`` is a 128-bit digest of the whole set, null without shingles; ``id`` passes through.
     """
 
     def run(stream: Iterator[tuple]) -> Iterable[tuple]:
@@ -70,20 +72,20 @@ def sketches(docs: DataFrame, width: int, rows: int = ROWS, bands: int = BANDS)
 
         cache, (factors, shifts) = WordHashes(), _hash_functions(rows * bands)
         salt = np.arange(bands, dtype=np.uint64)[:, None] << np.uint64(40)
-        for doc_id, text in stream:
+        for doc_id, own_id, text in stream:
             hashes = np.unique(shingle_hashes(cache.of(words_of(text)), width))
             if not hashes.size:
-                yield doc_id, 0, None, None, None
+                yield doc_id, own_id, 0, None, None, None
                 continue
             least = signature(hashes, factors, shifts)
             keys = np.zeros(bands, dtype=np.uint64)
             for column in (least.reshape(bands, rows).astype(np.uint64) + salt).T:
                 keys = mixed(keys ^ column)
-            yield (doc_id, hashes.size, xxhash.xxh3_128_digest(hashes.tobytes()),
+            yield (doc_id, own_id, hashes.size, xxhash.xxh3_128_digest(hashes.tobytes()),
                    (least & np.uint32(255)).astype(np.uint8).tobytes(), keys.view(np.int64).tolist())
 
-    return arrow_rows(docs, ["doc_id", "text"], run,
-                      "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>")
+    return arrow_rows(docs, ["doc_id", "id", "text"], run,
+                      "doc_id long, id long, n_shingles long, set_key binary, sig binary, bands array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -129,7 +131,7 @@ def _packed_texts(docs: DataFrame) -> DataFrame:
 
 def _private_counts(texts: DataFrame, width: int) -> DataFrame:
     """(doc_id, private): how many shingles of each text no other of these texts has."""
-    buckets = max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = bucket_count(texts)
 
     def spread(stream: Iterator[tuple]) -> Iterable[tuple]:
         import zstandard
@@ -140,6 +142,9 @@ def _private_counts(texts: DataFrame, width: int) -> DataFrame:
         def flush() -> Iterable[tuple]:
             ids = np.repeat(np.array([h[0] for h in held], dtype=np.int64), [h[1].size for h in held])
             hashes = np.concatenate([h[1] for h in held])
+            # A shingle of several texts leaves the block as one row that names none of them.
+            hashes, first, times = np.unique(hashes, return_index=True, return_counts=True)
+            ids = np.where(times > 1, -1, ids[first])
             for bucket, h, d in split_by((hashes % np.uint64(buckets)).astype(np.int64), hashes, ids):
                 yield bucket, h.tobytes(), pack_planes(d)
 
@@ -163,7 +168,8 @@ def _private_counts(texts: DataFrame, width: int) -> DataFrame:
         alone = np.ones(hashes.size, dtype=bool)
         alone[1:] &= hashes[1:] != hashes[:-1]
         alone[:-1] &= hashes[1:] != hashes[:-1]
-        docs, counts = np.unique(ids[order][alone], return_counts=True)
+        ids = ids[order][alone]
+        docs, counts = np.unique(ids[ids != -1], return_counts=True)
         for bucket, d, c in split_by(bucket_of(docs, buckets), docs, counts):
             yield bucket, pack_planes(d), pack_planes(c)
 
@@ -176,8 +182,8 @@ def _private_counts(texts: DataFrame, width: int) -> DataFrame:
         yield from zip(found.tolist(), np.bincount(at, weights=counts).astype(np.int64).tolist())
 
     packed_schema = "bucket long, a binary, b binary"
-    dealt = arrow_rows(texts, ["doc_id", "ztext"], spread, packed_schema).repartition(buckets, "bucket")
-    counted = arrow_rows(dealt, ["bucket", "a", "b"], single, packed_schema).repartition(buckets, "bucket")
+    dealt = arrow_rows(texts, ["doc_id", "ztext"], spread, packed_schema).repartitionById(buckets, F.col("bucket").cast("int"))
+    counted = arrow_rows(dealt, ["bucket", "a", "b"], single, packed_schema).repartitionById(buckets, F.col("bucket").cast("int"))
     return arrow_rows(counted, ["bucket", "a", "b"], total, "doc_id long, private long")
 
 
@@ -201,16 +207,29 @@ def _promising(pairs: DataFrame, few: DataFrame, percent: int) -> DataFrame:
     return arrow_rows(wide, ["u", "v", "su", "sv"], run, "u long, v long")
 
 
+def pack_short(hashes: np.ndarray) -> bytes:
+    """24 bits of each hash, sorted, repeats included, as compressed differences."""
+    import zstandard
+
+    short = np.sort((hashes >> np.uint64(40)).astype(np.uint32))
+    return zstandard.ZstdCompressor(level=1).compress(pack_planes(np.diff(short, prepend=np.uint32(0)).astype(np.int64)))
+
+
+def unpack_short(packed: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.cumsum(unpack_planes(zstandard.ZstdDecompressor().decompress(packed)))
+
+
 def _short_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(doc_id, short): the sorted upper halves of the shingle hashes of each text, repeats included."""
+    """(doc_id, short): the sorted upper 24 bits of the shingle hashes of each text, repeats included."""
 
     def run(stream: Iterator[tuple]) -> Iterable[tuple]:
         import zstandard
 
         cache, opened = WordHashes(), zstandard.ZstdDecompressor()
         for doc_id, packed in stream:
-            hashes = np.unique(shingle_hashes(cache.of(opened.decompress(packed).translate(LOWER).split()), width))
-            yield doc_id, (hashes >> np.uint64(32)).astype(np.uint32).tobytes()
+            yield doc_id, pack_short(np.unique(shingle_hashes(cache.of(opened.decompress(packed).translate(LOWER).split()), width)))
 
     return arrow_rows(texts, ["doc_id", "ztext"], run, "doc_id long, short binary")
 
@@ -226,49 +245,77 @@ def _left_over(here: DataFrame, open_bands: DataFrame, texts: DataFrame, width:
     """(u, v) of different components that share an open band and are alike by their short sets.
 
     The members outside a band's largest component are dealt to blocks of about ``OUTSIDE``; each
-    block meets all members of the band, in parts of about ``ALL``. Rows repeat once per block they
-    meet, and pairs that are not alike exist only as arrays of a task.
+    block meets all members of the band, in parts of about ``ALL``. A band of one block and one part
+    travels once, other rows once per block they meet; pairs that are not alike exist only as arrays of a
+    task.
     """
-    in_open = here.select("doc_id", "component", "n_shingles", "shared", "sig", F.explode("bands").alias("band")).join(open_bands.select("band"), "band", "left_semi")
+    in_open = here.select("doc_id", F.explode("bands").alias("band")).join(open_bands.select("band"), "band", "left_semi")
     short = steps.save(_short_sets(texts.join(in_open.select("doc_id").distinct(), "doc_id", "left_semi"), width), "short")
     here = here.join(short, "doc_id")
     blocks, parts = F.ceil((F.col("m") - F.col("largest.n")) / OUTSIDE), F.ceil(F.col("m") / ALL)
     placed = here.select("doc_id", "component", "n_shingles", "shared", "sig", "short", F.explode("bands").alias("band")).join(
         open_bands.select("band", F.col("largest.component").alias("main"), blocks.alias("blocks"), parts.alias("parts")), "band")
     about = ["band", "doc_id", "component", "n_shingles", "shared", "sig", "short"]
-    outside = placed.where("component <> main").select(
+    alone = (F.col("blocks") == 1) & (F.col("parts") == 1)
+    outside = placed.where((F.col("component") != F.col("main")) & ~alone).select(
         *about, F.lit(0).alias("side"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    # In a band that travels once, side 1 stands for a row that is both outside and one of all members.
+    side = F.when(alone & (F.col("component") != F.col("main")), 1).otherwise(2)
     everyone = placed.select(
-        *about, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
+        *about, side.alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
         F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).alias("part"))
     dealt = outside.unionByName(everyone).repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", "side")
 
     def run(stream: Iterator[tuple]) -> Iterable[tuple]:
         p = percent / 100
-        key, rows, held = None, [], None
-        for band, block, part, side, doc_id, component, n, shared, sig, short in stream:
+
+        def held_of(rows: list[tuple]) -> tuple:
+            numbers = np.array([r[:4] for r in rows], dtype=np.int64)
+            return (*numbers.T, np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1))
+
+        def alike(held: tuple, rows: list[tuple], row: tuple) -> Iterable[tuple]:
+            ids, components, sizes, common, signatures = held
+            doc_id, component, n, shared, sig, short = row
+            most = np.minimum(common, shared)
+            at = np.flatnonzero((components != component) & (most * 100 >= (sizes + n - most) * percent))
+            if not at.size:
+                return
+            agree = (signatures[at] == np.frombuffer(sig, np.uint8)).mean(axis=1)
+            at = at[agree >= p - 5 * (p * (1 - p) / signatures.shape[1]) ** 0.5]
+            own = unpack_short(short) if at.size else None
+            for k in at.tolist():
+                if isinstance(rows[k][5], bytes):
+                    rows[k] = (*rows[k][:5], unpack_short(rows[k][5]))
+                both = _at_most_common(rows[k][5], own)
+                if 100 * both >= percent * (int(sizes[k]) + n - both):
+                    yield min(doc_id, rows[k][0]), max(doc_id, rows[k][0])
+
+        def among(rows: list[tuple], held: tuple) -> Iterable[tuple]:
+            """Pairs of one block's own rows, when the block is the whole band."""
+            for k in range(1, len(rows)):
+                yield from alike(tuple(x[:k] for x in held), rows, (*rows[k][:5], whole_short[k]))
+
+        key, rows, held, whole_short = None, [], None, []
+        for band, block, part, side, *row in stream:
             if (band, block, part) != key:
-                key, rows, held = (band, block, part), [], None
-            if side == 0:
-                rows.append((doc_id, component, n, shared, sig, np.frombuffer(short, np.uint32)))
+                if rows and held is None and whole_short:
+                    yield from among(rows, held_of(rows))
+                key, rows, held, whole_short = (band, block, part), [], None, []
+            if side < 2:
+                rows.append(tuple(row))
+                if side == 1:
+                    whole_short.append(row[5])
                 continue
             if held is None:
                 if not rows:
                     continue
-                numbers = np.array([r[:4] for r in rows], dtype=np.int64)
-                held = (*numbers.T, np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1))
-            ids, components, sizes, common, signatures = held
-            most = np.minimum(common, shared)
-            at = np.flatnonzero((components != component) & (most * 100 >= (sizes + n - most) * percent))
-            if at.size:
-                agree = (signatures[at] == np.frombuffer(sig, np.uint8)).mean(axis=1)
-                own = np.frombuffer(short, np.uint32)
-                for k in at[agree >= p - 5 * (p * (1 - p) / signatures.shape[1]) ** 0.5].tolist():
-                    both = _at_most_common(rows[k][5], own)
-                    if 100 * both >= percent * (int(sizes[k]) + n - both):
-                        other = rows[k][0]
-                        yield min(doc_id, other), max(doc_id, other)
+                held = held_of(rows)
+                if whole_short:
+                    yield from among(rows, held)
+            yield from alike(held, rows, tuple(row))
+        if rows and held is None and whole_short:
+            yield from among(rows, held_of(rows))
 
     return arrow_rows(dealt, ["band", "block", "part", "side", "doc_id", "component", "n_shingles", "shared", "sig", "short"], run, "u long, v long")
 
@@ -279,22 +326,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     ``n_links`` counts the confirmed links of the document's representative that were needed to
     find the component; it is at least 1 exactly if the document is linked to another document.
     """
-    spark: SparkSession = docs.sparkSession
+    found = components(keyed(docs, nulls_last=True), width, percent, rows, bands)
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("key") == F.col("root"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"), "n_links")
+
+
+def components(plain: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """(id, key, n_shingles, root, component_id, n_links) per row of ``keyed`` documents (id, key, text):
+    ``root`` is the smallest key of the component and ``component_id`` its id."""
+    spark: SparkSession = plain.sparkSession
     steps = Steps(spark, "near-dup")
+    docs = plain.select(F.col("key").alias("doc_id"), "id", "text")
     sketched = steps.save(sketches(docs, width, rows, bands), "sketches")
-    sets = sketched.where("set_key is not null and doc_id is not null")
-    first = sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    sets = sketched.where("set_key is not null")
+    first = sets.groupBy("set_key").agg(F.min(F.struct("doc_id", "id")).alias("rep"), F.count("*").alias("copies"))
+    first = first.select("set_key", F.col("rep.doc_id").alias("rep"), F.col("rep.id").alias("rep_id"), "copies")
     # Only representatives with a set of their own take part from here on.
-    chosen = first.select(F.col("rep").alias("doc_id"), "set_key")
-    single = sets.join(chosen, ["doc_id", "set_key"]).dropDuplicates(["doc_id"])
+    single = sets.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     banded = single.select("doc_id", F.explode("bands").alias("band"))
     in_common = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     met = steps.save(banded.join(in_common, "band"), "met")
     sharing = met.select("doc_id").distinct()
-    # One text per id: a repeated id with several texts is represented by one of them.
-    texts = steps.save(_packed_texts(docs.select("doc_id", "text").join(sharing, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "texts")
+    texts = steps.save(_packed_texts(docs.select("doc_id", "text").join(sharing, "doc_id", "left_semi")), "texts")
     few = steps.save(
-        sketched.select("doc_id", "n_shingles", "sig").join(texts.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        sketched.select("doc_id", "n_shingles", "sig").join(texts.select("doc_id"), "doc_id", "left_semi")
         .join(_private_counts(texts, width), "doc_id", "left")
         .withColumn("shared", F.col("n_shingles") - F.coalesce("private", F.lit(0)))
         # A text with more private shingles than this is like no other text.
@@ -327,6 +382,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
                 F.max(F.struct("n", "component")).alias("largest")).where("c > 1"), "open")
         left = open_bands.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
         if not left:
+            steps.drop(here, open_bands)
+            final = component
             break
         last = left > before / 2
         if last:
@@ -337,27 +394,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
             order = F.struct(F.xxhash64("doc_id", F.lit(turn)), F.col("doc_id"), F.col("component"))
             pivot = placed.groupBy("band").agg(F.min(order).alias("p")).select("band", F.col("p.doc_id").alias("u"), F.col("p.component").alias("pc"))
             proposed = placed.join(pivot, "band").where("component <> pc").select("u", F.col("doc_id").alias("v"))
-            promising = _promising(steps.save(_new_pairs(proposed, tried), "pairs"), few, percent)
+            proposed = steps.save(_new_pairs(proposed, tried), "pairs")
+            promising = _promising(proposed, few, percent)
         new = steps.save(_new_pairs(promising, tried), "promising")
-        links = steps.save(links.unionAll(confirm(new, texts, width, percent).select("u", "v")), "links")
+        links, old = steps.save(links.unionAll(confirm(new, texts, width, percent).select("u", "v")), "links"), links
+        steps.drop(component, here, open_bands, old, *([] if last else [proposed]))
         if last:
+            steps.drop(new)
+            final = connected_components(links, steps).withColumnRenamed("node", "doc_id")
             break
-        tried = steps.save(tried.unionAll(new), "tried")
+        tried, old = steps.save(tried.unionAll(new), "tried"), tried
+        steps.drop(new, old)
         before, turn = left, turn + 1
-    component = steps.save(connected_components(links, steps).withColumnRenamed("node", "rep"), "component")
-
+    steps.drop(tried, texts, few, members)
+    component = final.withColumnRenamed("doc_id", "rep")
     degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    about = component.join(degree, "rep")
-    copied = first.where("copies > 1").select(F.col("set_key").alias("k"), F.col("rep"))
+    ids = sketched.select(F.col("doc_id").alias("component"), F.col("id").alias("root_id"))
+    about = steps.save(component.join(degree, "rep").join(ids, "component"), "about")
+    copied = first.where("copies > 1").select(F.col("set_key").alias("k"), "rep", "rep_id")
     result = (
-        sketched.select("doc_id", "n_shingles", "set_key").join(copied, F.col("set_key") == F.col("k"), "left")
+        sketched.select("doc_id", "id", "n_shingles", "set_key").join(copied, F.col("set_key") == F.col("k"), "left")
+        .withColumns({"has_copies": F.col("rep").isNotNull().cast("int"), "rep_id": F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.col("rep_id"))})
         .withColumn("rep", F.coalesce("rep", "doc_id")).join(about, "rep", "left")
-        .join(copied.select(F.col("rep"), F.lit(1).alias("has_copies")).distinct(), "rep", "left")
     )
-    own = F.coalesce("component", "rep")
+    linked = F.col("component").isNotNull()
     return result.select(
-        "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"),
-        (F.coalesce("n_links", F.lit(0)) + F.when(F.col("has_copies") == 1, 1).otherwise(0)).alias("n_links"),
+        "id", F.col("doc_id").alias("key"), "n_shingles", F.coalesce("component", "rep").alias("root"),
+        F.when(linked, F.col("root_id")).otherwise(F.col("rep_id")).alias("component_id"),
+        (F.coalesce("n_links", F.lit(0)) + F.col("has_copies")).alias("n_links"),
     )
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -140,7 +141,7 @@ def spans_of(text: str | None) -> list[Span]:
         proposed += [("card", a, b, True) for a, b in _cards(text)]
         if "+" in text:
             proposed += [("phone", a, b, False) for a, b in _phones(text)]
-        base = sorted((a, b) for _, a, b, _ in proposed)
+        base = _merged((a, b) for _, a, b, _ in proposed)
         added = [("iban", a, b, True) for a, b in _ibans(text)]
         added += [("national_id", *m.span(), False) for m in _NATIONAL.finditer(text)]
         added += [("local_phone", *m.span(), False) for m in _LOCAL.finditer(text)]
@@ -155,8 +156,21 @@ def spans_of(text: str | None) -> list[Span]:
     return sorted(found, key=lambda s: (order[s.kind], s.start, s.end))
 
 
+def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans by start, overlapping ones joined."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _overlaps(taken: list[tuple[int, int]], a: int, b: int) -> bool:
-    return any(x < b and a < y for x, y in taken)
+    """Whether one of the disjoint ordered spans meets [a, b)."""
+    k = bisect_left(taken, (b,))
+    return k > 0 and taken[k - 1][1] > a
 
 
 def mask(text: str | None, spans: list[Span] | None = None) -> str | None:

@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 
 from .common import Steps, WordHashes, arrow_rows, shingle_hashes
 
-#: Bounds of the fit: labelled rows read, and terms of a lexicon.
-FIT_ROWS, LEXICON_TERMS = 20_000, 1_000
+#: Bound of the fit: labelled rows read. It bounds the terms and exceptions of the lexicon as well.
+FIT_ROWS = 20_000
 #: A term must be this much more frequent in toxic rows, and this unlikely to be so by chance.
 MIN_LIFT, MIN_EVIDENCE, MIN_ROWS = 12.0, 20.0, 3
-#: Words near a term that clean labelled rows use as well, left out of inexact matching.
-EXCEPTIONS = 20_000
+#: Longer words are compared with stems only: the automaton is for misspelled words.
+LONGEST_INEXACT = 40
 WINDOW = 6
 THRESHOLD = 0.3
 
@@ -81,6 +81,18 @@ class Trie:
             return True
         return len(word) > 7 and bool(self.inner) and any(word[k:k + 3] in self.inner for k in range(len(word) - 2))
 
+    def stem_of(self, word: str) -> tuple[str, int] | None:
+        """The heaviest stem that begins ``word``."""
+        node, best = self.root, None
+        for letter in word:
+            node = node.get(letter)
+            if node is None:
+                break
+            for term in node.get("", ()):
+                if term.endswith("*") and (best is None or (-self.weight[term], term) < best):
+                    best = (-self.weight[term], term)
+        return (best[1], 0) if best else None
+
     def match(self, word: str) -> tuple[str, int] | None:
         """The term nearest to ``word`` within its allowed errors, and their number.
 
@@ -158,7 +170,9 @@ class Scorer:
     def matched(self, word: str) -> tuple[str, int] | None:
         if word in self.terms:
             return word, 0
-        return None if len(word) > 40 or word in self.exceptions else self.trie.match(word)
+        if word in self.exceptions:
+            return None
+        return self.trie.match(word) if len(word) <= LONGEST_INEXACT else self.trie.stem_of(word)
 
     def features(self, text: str | None) -> list[float]:
         text = (text or "").lower()
@@ -229,7 +243,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
     def run(stream: Iterator[tuple]) -> Iterable[tuple]:
         counts: dict[str, list[int]] = {}
         for toxic, half, text in stream:
-            words = {w for w in _WORD.findall((text or "").lower()) if 3 <= len(w) <= 32}
+            words = {w for w in _WORD.findall((text or "").lower()) if len(w) >= 3}
             terms = words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
             for term in terms:
                 counts.setdefault(term, [0, 0, 0, 0])[2 * half + toxic] += 1
@@ -242,7 +256,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
     return partial.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("n00", "n01", "n10", "n11")))
 
 
-def _lexicon(counts: DataFrame, toxic: Column, clean: Column, n_toxic: int, n_clean: int, size: int) -> dict[str, float]:
+def _lexicon(counts: DataFrame, toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> dict[str, float]:
     if not n_toxic or not n_clean:
         return {}
     base = n_toxic / (n_toxic + n_clean)
@@ -252,8 +266,7 @@ def _lexicon(counts: DataFrame, toxic: Column, clean: Column, n_toxic: int, n_cl
     evidence = 2 * (F.col("p") * F.log(rate / base) + F.when(F.col("n") > 0, F.col("n") * F.log((1 - rate) / (1 - base))).otherwise(0.0))
     lift = F.log((F.col("p") + 0.5) / (n_toxic + 1)) - F.log((F.col("n") + 0.5) / (n_clean + 1))
     best = rows.where((evidence >= MIN_EVIDENCE) & (lift > math.log(MIN_LIFT)))
-    top = best.select("term", lift.alias("lift"), evidence.alias("evidence")).orderBy(F.desc("evidence"), "term").limit(size).collect()
-    return {r.term: float(r.lift) for r in top}
+    return {r.term: float(r.lift) for r in best.select("term", lift.alias("lift"), evidence.alias("evidence")).orderBy(F.desc("evidence"), "term").collect()}
 
 
 def _exceptions(counts: DataFrame, lexicon: dict[str, float], toxic: Column, clean: Column) -> frozenset:
@@ -267,7 +280,7 @@ def _exceptions(counts: DataFrame, lexicon: dict[str, float], toxic: Column, cle
 
     common = counts.select("term", toxic.alias("p"), clean.alias("n")).where((F.col("n") > 0) & (F.col("n") >= F.col("p")))
     near = arrow_rows(common, ["term", "n"], run, "term string, n long")
-    return frozenset(r.term for r in near.orderBy(F.desc("n"), "term").limit(EXCEPTIONS).collect())
+    return frozenset(r.term for r in near.select("term").collect())
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 50) -> np.ndarray:
@@ -286,7 +299,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 50
     return weights
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = FIT_ROWS, terms: int = LEXICON_TERMS, held_out: int = 2) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = FIT_ROWS, held_out: int = 2) -> Scorer:
     steps = Steps(docs.sparkSession, "toxicity")
     sample = _sample(docs, labels, label, fit_rows, held_out, steps)
     sizes = {(r.half, r.toxic): r["count"] for r in sample.groupBy("half", "toxic").count().collect()}
@@ -297,10 +310,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
     all_counts = steps.save(_term_counts(sample).where(F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11") > 1), "terms")
     counts = all_counts.where(F.col("n01") + F.col("n11") >= MIN_ROWS)
     c = F.col
-    full = _lexicon(counts, c("n01") + c("n11"), c("n00") + c("n10"), n[0, 1] + n[1, 1], n[0, 0] + n[1, 0], terms)
+    full = _lexicon(counts, c("n01") + c("n11"), c("n00") + c("n10"), n[0, 1] + n[1, 1], n[0, 0] + n[1, 0])
     halves = []
     for h in (0, 1):
-        lexicon = _lexicon(counts, c(f"n{h}1"), c(f"n{h}0"), n[h, 1], n[h, 0], terms)
+        lexicon = _lexicon(counts, c(f"n{h}1"), c(f"n{h}0"), n[h, 1], n[h, 0])
         halves.append(Scorer(lexicon, [], _exceptions(all_counts, lexicon, c(f"n{h}1"), c(f"n{h}0"))))
 
     def run(stream: Iterator[tuple]) -> Iterable[tuple]:
@@ -332,12 +345,12 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> Data
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def with_scores(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """The documents as they are with a column ``toxicity``; a text goes through Python once."""
+def score_of(scorer: Scorer):  # noqa: ANN201
+    """A column function: the score of a text."""
     from pyspark.sql.pandas.functions import pandas_udf
 
     @pandas_udf("double")
     def toxicity(text):  # noqa: ANN001, ANN202
         return text.map(scorer.score, na_action=None).astype("float64")
 
-    return docs.withColumn("toxicity", toxicity(F.coalesce("text", F.lit(""))))
+    return toxicity

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow.fs
 import pytest
 
-from epiwake.llm import cost_packing, fingerprint, near_dup, suffix_dedup, token_output, warc
+from epiwake.llm import common, cost_packing, fingerprint, near_dup, suffix_dedup, token_output, warc
 from epiwake.llm.common import Steps
 from epiwake.llm.components import connected_components
 from epiwake.llm.tokens import Encoder
@@ -84,13 +84,37 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, outside, everyone
 def test_short_sets_never_understate_the_common_part():
     rng = random.Random(3)
     for _ in range(200):
-        # Few upper halves, so that different hashes often share one.
-        a, b = ({rng.randrange(12) << 32 | rng.randrange(3) for _ in range(rng.randrange(1, 12))} for _ in range(2))
-        upper = [np.sort(np.array([h >> 32 for h in x], dtype=np.uint32)) for x in (a, b)]
+        # Few upper parts, so that different hashes often share one.
+        a, b = ({rng.randrange(12) << 40 | rng.randrange(3) for _ in range(rng.randrange(1, 12))} for _ in range(2))
+        upper = [near_dup.unpack_short(near_dup.pack_short(np.array(sorted(x), dtype=np.uint64))) for x in (a, b)]
+        assert [u.tolist() for u in upper] == [sorted(h >> 40 for h in x) for x in (a, b)]
         assert near_dup._at_most_common(*upper) >= len(a & b)
     assert near_dup._at_most_common(np.array([1, 5], np.uint32), np.array([0, 5, 9], np.uint32)) == 1
 
 
+def test_repeated_and_missing_ids_lose_no_link(spark):
+    rng = random.Random(6)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(b + ["more"])), (3, " ".join(a + ["more"])), (None, " ".join(c)), (None, " ".join(c + ["x"])),
+            (None, " ".join(a + ["y"])), (5, " ".join(words(rng, 40))), (5, "")]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found if r.doc_id) == [
+        (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (5, 5, True), (5, 5, True)]
+    assert sorted((r.component_id is None, r.kept) for r in found if r.doc_id is None) == [(False, False), (True, False), (True, True)]
+
+
+def test_keys_follow_ids_and_carry_rows(spark):
+    rows = [(k % 3 if k % 7 else None, f"text {k % 40}", k) for k in range(2000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, key int").repartition(5)
+    for last in (False, True):
+        found = common.keyed(frame, nulls_last=last, carry=True).orderBy("key").collect()
+        assert [r.key for r in found] == list(range(2000))
+        place = [(r.id is None) == last if r.id is None or last else True for r in found]
+        ids = [r.id for r in found]
+        assert ids == sorted(ids, key=lambda i: ((i is None) == last, i or 0)) and place
+        assert sorted(r.row.key for r in found) == list(range(2000)) and all(r.row.text == r.text for r in found)
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = near_dup.near_duplicates(odd_docs(spark)).collect()
     assert len(rows) == len(ODD) and all(r.component_id == r.doc_id and r.kept for r in rows)
@@ -366,6 +390,9 @@ def test_pipeline_stages(spark, tmp_path):
         docs.append((k, " ".join(text)))
         labels.append((k, 1, int(k % 5 == 0)))
     docs += [(300, docs[1][1]), (301, docs[2][1] + " more"), (302, "some words " + item + " after"), (303, "mail me a@b.org"), (304, None), (305, "")]
+    # Rows without an id: a near copy of a clean text, a benchmark passage, and a clean text of its own.
+    lost = [docs[3][1] + " tail", " ".join(words(rng, 30)) + " " + item, " ".join(words(rng, 50))]
+    docs += [(None, t) for t in lost]
     tables = {
         "documents": spark.createDataFrame([(i, t, "en", "s", len(t or ""), "extra") for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long, toxicity string"),
         "labels": spark.createDataFrame(labels, "doc_id long, quality int, toxic int"),
@@ -374,17 +401,21 @@ def test_pipeline_stages(spark, tmp_path):
     for name, frame in tables.items():
         frame.write.parquet(f"{tmp_path}/{name}.parquet")
     docs_now = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    kept = []
+    kept, without = [], []
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs_now, str(tmp_path))
         assert out.columns == docs_now.columns
         out.write.parquet(f"{tmp_path}/{name}")
         docs_now = spark.read.parquet(f"{tmp_path}/{name}")
-        kept.append({r.doc_id for r in docs_now.collect()})
+        held = docs_now.collect()
+        assert all(r.toxicity == "extra" for r in held)
+        kept.append({r.doc_id for r in held if r.doc_id is not None})
+        without.append([t for t in lost if any(r.text == t for r in held)])
     toxic = {k for k in range(0, 200, 5)}
-    everything = {i for i, _ in docs}
+    everything = {i for i, _ in docs if i is not None}
+    assert without == [lost, lost[1:], lost[2:], lost[2:]]
     assert kept[0] == everything - toxic
     assert kept[1] == kept[0] - {300, 301} and kept[2] == kept[1] - {302} and kept[3] == kept[2]
     assert next(r.text for r in docs_now.collect() if r.doc_id == 303) == "mail me [EMAIL]"
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in rows} == kept[3]
+    assert {r.doc_id for r in rows if r.doc_id is not None} == kept[3]

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -63,6 +64,12 @@ def test_pii_odd_rows(spark):
     assert pii.spans_of(long) == []
 
 
+def test_pii_time_grows_with_the_spans():
+    began = time.time()
+    assert len(pii.spans_of("call +49 30 1234567 or 555-123-4567, " * 8000)) == 16_000
+    assert time.time() - began < 10
+
+
 def test_patience_recovers_edited_templates():
     scanner = license_scan.Scanner()
     text = license_scan.TEMPLATES["MIT"]
@@ -225,3 +232,9 @@ def test_decontaminate_searches_every_text_of_the_benchmark(spark):
     for chars in (100, decontaminate.BLOCK_CHARS):
         rows = {r.doc_id: r for r in decontaminate.flags(docs, decontaminate.find(docs, table, block_chars=chars)).collect()}
         assert [rows[k].n_items for k in range(5)] == [1, 1, 1, 1, 3]
+
+
+def test_long_words_are_compared_with_stems():
+    scorer = toxicity.Scorer({"grum*": 3.0, "dolt": 2.0}, [0.0] * 7)
+    assert scorer.matched("grumbler" * 6) == ("grum*", 0)
+    assert scorer.matched("x" * 41) is None
