@@ -4,9 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 as the docs of the next one. All but the last return the columns of ``documents``.
 
 Defined results: a null or empty text is kept by the first three stages (no hits, no shingles, no
-benchmark words) and becomes one piece with only the end id; rows with a null id are kept and never
-linked; repeated rows of one id are one document for near duplicates, so one row of each id and text
-stays. Extra columns of documents pass through. An empty table gives no rows.
+benchmark words) and becomes one piece with only the end id. Where ids repeat or are missing, each row is
+a document of its own in every stage, so of equal rows with words one stays, and a row without an id that
+holds a benchmark passage goes. Extra columns of documents pass through, whatever their names. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,29 +16,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiwake.llm import cost_packing, decontaminate, near_dup, pii, toxicity
-from epiwake.llm.common import Steps, table
+from epiwake.llm.common import Steps, keyed, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator predicts as toxic go."""
     scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_scores(docs, scorer).where(F.col("toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    return docs.where(toxicity.score_of(scorer)(F.coalesce("text", F.lit(""))) < toxicity.THRESHOLD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the one with the smallest id."""
-    kept = near_dup.near_duplicates(docs, width=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    again = named.groupBy("doc_id").count().where("count > 1").limit(1).take(1)
-    if again:
-        named = named.dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    numbered = keyed(docs, nulls_last=True, carry=True)
+    gone = near_dup.components(numbered.drop("row"), width=5, percent=80).where("key <> root").select("key")
+    return numbered.join(gone, "key", "left_anti").select("row.*")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages go."""
-    hits = decontaminate.find(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    numbered = keyed(docs, carry=True)
+    texts = numbered.select(F.col("key").alias("doc_id"), "text")
+    gone = decontaminate.find(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("key")).distinct()
+    return numbered.join(gone, "key", "left_anti").select("row.*")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
