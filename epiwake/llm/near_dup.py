@@ -144,7 +144,8 @@ def _private_counts(texts: DataFrame, width: int) -> DataFrame:
             hashes = np.concatenate([h[1] for h in held])
             # A shingle of several texts leaves the block as one row that names none of them.
             hashes, first, times = np.unique(hashes, return_index=True, return_counts=True)
-            ids = np.where(times > 1, -1, ids[first])
+            by_text = np.argsort(first)  # neighbours of one text pack well
+            hashes, ids = hashes[by_text], np.where(times > 1, -1, ids[first])[by_text]
             for bucket, h, d in split_by((hashes % np.uint64(buckets)).astype(np.int64), hashes, ids):
                 yield bucket, h.tobytes(), pack_planes(d)
 
@@ -251,11 +252,11 @@ def _left_over(here: DataFrame, open_bands: DataFrame, texts: DataFrame, width:
     """
     in_open = here.select("doc_id", F.explode("bands").alias("band")).join(open_bands.select("band"), "band", "left_semi")
     short = steps.save(_short_sets(texts.join(in_open.select("doc_id").distinct(), "doc_id", "left_semi"), width), "short")
-    here = here.join(short, "doc_id")
     blocks, parts = F.ceil((F.col("m") - F.col("largest.n")) / OUTSIDE), F.ceil(F.col("m") / ALL)
-    placed = here.select("doc_id", "component", "n_shingles", "shared", "sig", "short", F.explode("bands").alias("band")).join(
-        open_bands.select("band", F.col("largest.component").alias("main"), blocks.alias("blocks"), parts.alias("parts")), "band")
-    about = ["band", "doc_id", "component", "n_shingles", "shared", "sig", "short"]
+    # Places first: rows of a few numbers. The sets follow them by document.
+    placed = steps.save(here.select("doc_id", "component", F.explode("bands").alias("band")).join(
+        open_bands.select("band", F.col("largest.component").alias("main"), blocks.alias("blocks"), parts.alias("parts")), "band"), "placed")
+    about = ["band", "doc_id"]
     alone = (F.col("blocks") == 1) & (F.col("parts") == 1)
     outside = placed.where((F.col("component") != F.col("main")) & ~alone).select(
         *about, F.lit(0).alias("side"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"),
@@ -265,7 +266,8 @@ def _left_over(here: DataFrame, open_bands: DataFrame, texts: DataFrame, width:
     everyone = placed.select(
         *about, side.alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
         F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).alias("part"))
-    dealt = outside.unionByName(everyone).repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", "side")
+    sets = here.select("doc_id", "component", "n_shingles", "shared", "sig").join(short, "doc_id")
+    dealt = outside.unionByName(everyone).join(sets, "doc_id").repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", "side")
 
     def run(stream: Iterator[tuple]) -> Iterable[tuple]:
         p = percent / 100
