@@ -402,6 +402,40 @@ labelled AS (SELECT nb.disease_id, nb.pos, min(r.root) FILTER (nb.pos = nb.other
 clustered AS (SELECT p.*, f.id AS cluster_id FROM labelled l JOIN pts p ON p.disease_id = l.disease_id AND p.pos = l.pos JOIN pts f ON f.disease_id = l.disease_id AND f.pos = coalesce(own, adjacent))"""
 
 
+TOTALS = """
+totals AS (SELECT disease_id, cluster_id, count(*) AS point_count, count(DISTINCT visit_id) AS unique_visit_count, count(DISTINCT patient_id) AS unique_patient_count, avg(latitude) AS lat, avg(longitude) AS lon,
+  min(diagnosis_date) AS diagnosis_start, max(diagnosis_date) AS diagnosis_end, string_agg(DISTINCT region_type, ',' ORDER BY region_type) AS region_types FROM clustered GROUP BY 1, 2)"""
+
+SUMMARY = f"""SELECT t.disease_id, t.cluster_id, d.disease_code, point_count, unique_visit_count, unique_patient_count, round(lat, 6) AS center_lat, round(lon, 6) AS center_long,
+  round(greatest(km, 0.1::DOUBLE), 4) AS radius_km, CASE WHEN d.rare_disease THEN 5 WHEN d.high_priority AND point_count >= 2 THEN greatest(4, least(5, d.risk_level)) WHEN point_count >= 6 THEN 5
+    WHEN point_count >= 4 THEN greatest(4, least(5, d.risk_level)) ELSE greatest(2, least(5, d.risk_level)) END AS risk_level, diagnosis_start, diagnosis_end, region_types
+FROM totals t JOIN disease d ON d.id = t.disease_id JOIN (SELECT c.cluster_id, max({HAVERSINE.format(a='m', b='c')}) AS km FROM clustered c JOIN (SELECT cluster_id, lat AS latitude, lon AS longitude FROM totals) m ON m.cluster_id = c.cluster_id GROUP BY 1) r ON r.cluster_id = t.cluster_id"""
+
+# The merge of clusters into the hotspot table, one candidate after the other within a disease. Text
+# formatting rounds the exact value, as the fold does.
+HOTSPOT_FOLD = f"""
+summary AS MATERIALIZED ({SUMMARY}),
+cand AS MATERIALIZED (SELECT *, greatest(radius_km, 3.0::DOUBLE) AS reach, row_number() OVER (PARTITION BY disease_id ORDER BY risk_level DESC, point_count DESC, cluster_id) AS n FROM summary),
+live AS (SELECT disease_id, list({{'id': id::BIGINT, 'latitude': center_lat, 'longitude': center_long, 'radius': radius, 'cases': case_count, 'risk': risk_level}} ORDER BY generated_at, id) AS spots
+  FROM geocluster WHERE generated_at >= TIMESTAMP '2024-01-01' GROUP BY 1),
+fold(disease_id, n, spots) AS (
+  SELECT c.disease_id, 0::BIGINT, coalesce(any_value(spots), []) FROM cand c LEFT JOIN live l ON l.disease_id = c.disease_id GROUP BY 1
+  UNION ALL
+  SELECT disease_id, n, CASE WHEN hit IS NULL
+      THEN list_append(spots, {{'id': NULL::BIGINT, 'latitude': center_lat, 'longitude': center_long, 'radius': format('{{:.4f}}', greatest(radius_km, 0.1))::DOUBLE, 'cases': cnt, 'risk': risk_level}})
+      ELSE list_transform(spots, lambda s, i: CASE WHEN i <> hit THEN s ELSE {{'id': s.id,
+        'latitude': format('{{:.6f}}', (s.latitude + center_lat) / 2)::DOUBLE, 'longitude': format('{{:.6f}}', (s.longitude + center_long) / 2)::DOUBLE,
+        'radius': format('{{:.4f}}', greatest(s.radius, radius_km, 0.1))::DOUBLE, 'cases': greatest(s.cases, cnt), 'risk': greatest(s.risk, risk_level)}} END) END
+  FROM (SELECT f.disease_id, c.n, f.spots, c.center_lat, c.center_long, c.radius_km, c.unique_visit_count::INT AS cnt, c.risk_level::INT AS risk_level,
+      list_max(list_filter(range(1, len(f.spots) + 1), lambda i: {HAVERSINE.format(a="{'latitude': c.center_lat, 'longitude': c.center_long}", b="f.spots[i]")} <= greatest(f.spots[i].radius, c.reach))) AS hit
+    FROM fold f JOIN cand c ON c.disease_id = f.disease_id AND c.n = f.n + 1)),
+merged AS (SELECT disease_id, unnest(spots) AS s, generate_subscripts(spots, 1) AS place FROM fold QUALIFY n = max(n) OVER (PARTITION BY disease_id))"""
+
+HOTSPOTS = """SELECT g.id, coalesce(s.latitude, center_lat) AS center_lat, coalesce(s.longitude, center_long) AS center_long, coalesce(s.radius, g.radius) AS radius, g.disease_id,
+  coalesce(s.cases, case_count) AS case_count, coalesce(s.risk, risk_level) AS risk_level, generated_at FROM geocluster g LEFT JOIN merged m ON m.s.id = g.id
+UNION ALL SELECT (SELECT coalesce(max(id), 0) FROM geocluster) + row_number() OVER (ORDER BY disease_id, place), s.latitude, s.longitude, s.radius, disease_id, s.cases, s.risk, TIMESTAMP '2024-01-31' FROM merged WHERE s.id IS NULL"""
+
+
 FEED = """
 saved AS (SELECT g.id AS seq, g.id AS geodata_id, g.visit_id, g.patient_id, v.disease_id, v.doctor_id, v.diagnosis_date, v.status FROM geodata g JOIN visit v ON v.id = g.visit_id),
 stood AS (SELECT s.*, s.visit_id = (max((diagnosis_date, visit_id)) OVER (PARTITION BY patient_id, disease_id ORDER BY seq))[2] AS latest FROM saved s),
@@ -551,12 +585,8 @@ best AS (SELECT visit_id, arg_min(label, (dist, list_position(['low','medium','h
         "case_event_routing": statement("""SELECT group_name, event_type, count(*) AS events FROM (SELECT event_type, unnest(['map.active.all', 'map.active.disease.' || upper(disease_code), 'map.active.type.' || lower(d.type)]) AS group_name
 FROM feed f JOIN disease d ON d.id = f.disease_id JOIN doctor doc ON doc.id = f.doctor_id WHERE hospital_id = 3 AND diagnosis_date >= DATE '2024-01-10') GROUP BY 1, 2""", FEED),
         "dbscan_labels": statement("SELECT id AS geodata_id, disease_id, cluster_id FROM clustered", DBSCAN, recursive=True),
-        "dbscan_summary": statement(f"""SELECT t.disease_id, t.cluster_id, d.disease_code, point_count, unique_visit_count, unique_patient_count, round(lat, 6) AS center_lat, round(lon, 6) AS center_long,
-  round(greatest(km, 0.1::DOUBLE), 4) AS radius_km, CASE WHEN d.rare_disease THEN 5 WHEN d.high_priority AND point_count >= 2 THEN greatest(4, least(5, d.risk_level)) WHEN point_count >= 6 THEN 5
-    WHEN point_count >= 4 THEN greatest(4, least(5, d.risk_level)) ELSE greatest(2, least(5, d.risk_level)) END AS risk_level, diagnosis_start, diagnosis_end, region_types
-FROM totals t JOIN disease d ON d.id = t.disease_id JOIN (SELECT c.cluster_id, max({HAVERSINE.format(a='m', b='c')}) AS km FROM clustered c JOIN (SELECT cluster_id, lat AS latitude, lon AS longitude FROM totals) m ON m.cluster_id = c.cluster_id GROUP BY 1) r ON r.cluster_id = t.cluster_id""",
-            DBSCAN, """totals AS (SELECT disease_id, cluster_id, count(*) AS point_count, count(DISTINCT visit_id) AS unique_visit_count, count(DISTINCT patient_id) AS unique_patient_count, avg(latitude) AS lat, avg(longitude) AS lon,
-  min(diagnosis_date) AS diagnosis_start, max(diagnosis_date) AS diagnosis_end, string_agg(DISTINCT region_type, ',' ORDER BY region_type) AS region_types FROM clustered GROUP BY 1, 2)""", recursive=True),
+        "dbscan_summary": statement(SUMMARY, DBSCAN, TOTALS, recursive=True),
+        "hotspot_merge": statement(HOTSPOTS, DBSCAN, TOTALS, HOTSPOT_FOLD, recursive=True),
         "forest_samples": statement("""SELECT r.id AS report_id, alert_level AS label, nearby_case_count::DOUBLE AS nearby_case_count, current_case_count::DOUBLE AS current_case_count, previous_case_count::DOUBLE AS previous_case_count,
   growth_rate, surge_ratio, risk_score AS rule_based_risk_score, d.risk_level::DOUBLE AS disease_risk_level, d.infection_score::DOUBLE AS infection_score, d.high_priority::INT::DOUBLE AS high_priority, d.rare_disease::INT::DOUBLE AS rare_disease,
   0.0::DOUBLE AS hdbscan_cluster_detected, 0.0::DOUBLE AS hdbscan_cluster_size, 0.0::DOUBLE AS hdbscan_cluster_probability, 0.0::DOUBLE AS hdbscan_cluster_radius_km FROM report r JOIN disease d ON d.id = r.disease_id"""),
