@@ -283,14 +283,10 @@ pairs AS (
 near AS (SELECT geodata_id, case_visit_id, min(round(km, 4)) AS distance_km FROM pairs GROUP BY ALL)"""
 
 
-def outbreak_sql(regional: bool) -> str:
+def outbreak_steps(regional: bool) -> list[str]:
     trend = REGION_TREND if regional else TREND
     join = "AND tr.region_type = g.region_type" if regional else ""
-    return statement(
-        """SELECT geodata_id, visit_id, disease_code, diagnosis_date, context_active, level AS alert_level, score, nearby_case_count,
-  local_case_count, current_count, previous_count, growth_rate, surge_ratio, round(sev, 2) AS severity_points, round(den, 2) AS density_points,
-  round(tre, 2) AS trend_points, round(rar, 2) AS rarity_points, level IN ('medium','high','critical') AS should_create_report,
-  level IN ('high','critical') AND local_case_count >= greatest(2, cluster_case_threshold) AS should_create_cluster FROM levelled""",
+    return [
         policy_steps("disease"), trend, nearby_steps(regional),
         f"""base AS (
   SELECT g.id AS geodata_id, g.visit_id, v.diagnosis_date, p.*, tr.current_count, tr.previous_count, tr.growth_rate, tr.surge_ratio,
@@ -318,9 +314,51 @@ levelled AS (SELECT *, CASE WHEN NOT context_active THEN 'no_alert'
     WHEN score >= 80 THEN 'critical' WHEN high_priority AND local_case_count >= cluster_case_threshold THEN 'high'
     WHEN local_case_count >= cluster_case_threshold AND grows THEN 'high' WHEN score >= 55 THEN 'high'
     WHEN score >= 35 OR grows OR local_case_count > 1 THEN 'medium' WHEN score > 0 THEN 'low' ELSE 'no_alert' END AS level FROM total)""",
+    ]
+
+
+def outbreak_sql(regional: bool) -> str:
+    return statement(
+        """SELECT geodata_id, visit_id, disease_code, diagnosis_date, context_active, level AS alert_level, score, nearby_case_count,
+  local_case_count, current_count, previous_count, growth_rate, surge_ratio, round(sev, 2) AS severity_points, round(den, 2) AS density_points,
+  round(tre, 2) AS trend_points, round(rar, 2) AS rarity_points, level IN ('medium','high','critical') AS should_create_report,
+  level IN ('high','critical') AND local_case_count >= greatest(2, cluster_case_threshold) AS should_create_cluster FROM levelled""",
+        *outbreak_steps(regional),
     )
 
 
+# The merge of results into the report table, one result after the other within a disease.
+REPORT_FOLD = """
+ana AS MATERIALIZED (SELECT disease_id, visit_id, diagnosis_date - lookback_days AS s, diagnosis_date AS f, CASE level WHEN 'no_alert' THEN 'low' ELSE level END AS lv, score AS sc, nearby_case_count::INT AS nb,
+    current_count::INT AS cu, previous_count::INT AS pr, growth_rate AS gr, surge_ratio AS su, level IN ('medium','high','critical') AS flag, NOT context_active AND current_count = 0 AS quiet,
+    row_number() OVER (PARTITION BY disease_id ORDER BY diagnosis_date, visit_id, geodata_id) AS n FROM levelled),
+held AS MATERIALIZED (SELECT * FROM report WHERE disease_id IN (SELECT disease_id FROM ana) AND (status IN ('new','reviewed') OR trigger_visit_id IN (SELECT visit_id FROM ana))),
+start AS (SELECT disease_id, list({'id': id::BIGINT, 't': trigger_visit_id::BIGINT, 's': analysis_period_start, 'f': analysis_period_end, 'lv': alert_level, 'sc': risk_score, 'nb': nearby_case_count, 'cu': current_case_count,
+    'pr': previous_case_count, 'gr': growth_rate, 'su': surge_ratio, 'st': status} ORDER BY generated_at, id) AS held FROM held GROUP BY 1),
+fold(disease_id, n, held) USING KEY (disease_id) AS (
+  SELECT a.disease_id, 0::BIGINT, coalesce(any_value(held), []) FROM ana a LEFT JOIN start USING (disease_id) GROUP BY 1
+  UNION ALL
+  SELECT disease_id, n, CASE
+      WHEN hit IS NULL AND flag THEN list_append(held, {'id': NULL::BIGINT, 't': visit_id::BIGINT, 's': s, 'f': f, 'lv': lv, 'sc': sc, 'nb': nb, 'cu': cu, 'pr': pr, 'gr': gr, 'su': su, 'st': 'new'})
+      WHEN hit IS NULL THEN held
+      ELSE list_concat(held[:hit - 1], [{'id': r.id, 't': coalesce(r.t, visit_id), 's': least(r.s, s), 'f': greatest(r.f, f),
+        'lv': CASE WHEN same OR rises OR (quiet AND NOT flag) THEN lv ELSE r.lv END, 'sc': CASE WHEN same OR rises OR (quiet AND NOT flag) THEN sc ELSE greatest(r.sc, sc) END,
+        'nb': greatest(r.nb, nb), 'cu': greatest(r.cu, cu), 'pr': greatest(r.pr, pr), 'gr': greatest(r.gr, gr), 'su': greatest(r.su, su),
+        'st': CASE WHEN flag THEN 'new' WHEN same OR quiet THEN 'resolved' ELSE r.st END}], held[hit + 1:]) END
+  FROM (SELECT *, held[hit] AS r, coalesce(held[hit].t = visit_id, false) AS same,
+      list_position(['low','medium','high','critical'], lv) >= list_position(['low','medium','high','critical'], held[hit].lv) AS rises
+    FROM (SELECT a.*, x.held, coalesce(list_max(list_filter(range(1, len(x.held) + 1), lambda i: x.held[i].t = a.visit_id)),
+          list_max(list_filter(range(1, len(x.held) + 1), lambda i: x.held[i].st IN ('new','reviewed') AND x.held[i].f >= a.s - 1 AND x.held[i].s <= a.f + 1))) AS hit
+      FROM fold x JOIN ana a ON a.disease_id = x.disease_id AND a.n = x.n + 1))),
+merged AS (SELECT disease_id, unnest(held) AS r FROM fold)"""
+
+REPORTS = """SELECT id, generated_at, disease_id, trigger_visit_id, analysis_period_start, analysis_period_end, alert_level, risk_score, nearby_case_count, current_case_count, previous_case_count, growth_rate, surge_ratio, status
+FROM report WHERE id NOT IN (SELECT id FROM held)
+UNION ALL SELECT coalesce(r.id, (SELECT coalesce(max(id), 0) FROM report) + row_number() OVER (PARTITION BY r.id IS NULL ORDER BY r.f, r.t)), coalesce(h.generated_at, TIMESTAMP '2024-01-31'), m.disease_id, r.t, r.s, r.f, r.lv, r.sc, r.nb, r.cu, r.pr, r.gr, r.su, r.st
+FROM merged m LEFT JOIN held h ON h.id = r.id"""
+
+
+
 EXPORT_ABNORMAL = """(contains(lower(result), 'abnormal') OR (NOT regexp_matches(lower(result), 'normal|negative|within range|within normal|not detected')
   AND regexp_matches(lower(result), 'abnormal|positive|high|low|reactive|detected|critical|elevated')))"""
 RISK_ABNORMAL = """(contains(lower(result), 'abnormal') OR (NOT regexp_matches(lower(result), 'normal|negative|within range|not detected')
@@ -510,6 +548,7 @@ WHERE severity <> 'low' AND (rare OR (cases >= need AND (mean = 0 OR surge >= 2
         "trend_snapshots_by_region": statement("SELECT * FROM trend", policy_steps("disease"), REGION_TREND),
         "nearby_cases": statement("SELECT geodata_id, case_visit_id, v.diagnosis_date AS case_date, distance_km FROM near JOIN visit v ON v.id = case_visit_id",
                                   policy_steps("disease"), TREND, nearby_steps(False)),
+        "report_merge": statement(REPORTS, *outbreak_steps(False), REPORT_FOLD, recursive=True),
         "outbreak_evaluation": outbreak_sql(False),
         "exposure_evaluation": outbreak_sql(True),
         "generated_reports": statement("""SELECT disease_id, s AS analysis_period_start, f AS analysis_period_end,
