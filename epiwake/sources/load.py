@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from epiwake.functions.clinical import blank_to_null, clean_text, valid_coordinates
 from epiwake.operators.policy import REFERENCE_SOURCE, classify_diseases
+from epiwake.session import cut_lineage
 from epiwake.tables import Tables
 
 # The header every disease file must have.
@@ -32,19 +33,56 @@ class Loaded:
 
 
 def read_csv(spark: SparkSession, path: str, header: list[str], sep: str = ",") -> DataFrame:
-    """All columns as text, plus ``row_number`` in file order starting at 1.
+    """All columns as text, plus ``row_number`` in order of file path and line, starting at 1.
 
-    The position is built from two parts: a count per input partition, and the sum of the
-    earlier partitions' counts. No task sees more than its own rows.
+    Fields may be quoted and then hold separators, doubled quotes and line breaks. A file is still read by
+    many tasks: whether a line begins inside a quoted field follows from the number of quotes before it,
+    which is the sum of the earlier blocks' counts and of the lines before it in its own block. Each file
+    has its header; empty lines do not count. A quote within an unquoted field must be doubled and quoted.
     """
-    # A quoted field may hold separators, doubled quotes and line breaks; for these a file is one
-    # record stream, and many files are read in parallel.
-    raw = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, encoding="UTF-8")
-    names = [c.lstrip("﻿").strip() for c in raw.columns]
+    columns = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, encoding="UTF-8").columns
+    names = [c.lstrip("\ufeff").strip() for c in columns]
     missing = sorted(set(header) - set(names))
     if missing:
         raise ImportFailed("missing columns: " + ", ".join(missing))
-    return with_row_number(raw.toDF(*names))
+    options = {"sep": sep, "quote": '"', "escape": '"'}
+    fields = F.from_csv("record", ",".join(f"c{k} string" for k in range(len(names))), options)
+    records = csv_records(spark, path).withColumn("fields", fields)
+    return records.select(*[F.col(f"fields.c{k}").alias(name) for k, name in enumerate(names)], "row_number")
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(record, row_number): the text of each record but the files' headers."""
+    block = ["_file", "_block"]
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"), (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("_quotes"))
+    in_block = Window.partitionBy(*block).orderBy("_at")
+    earlier = in_block.rowsBetween(Window.unboundedPreceding, -1)
+    lines = cut_lineage(lines.withColumn("_before", F.coalesce(F.sum("_quotes").over(earlier), F.lit(0))))
+    earlier_blocks = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy(*block).agg(F.sum("_quotes").alias("_quotes")).select(
+        *block, F.coalesce(F.sum("_quotes").over(earlier_blocks), F.lit(0)).alias("_carried"))
+    # A line begins a record unless it begins inside a quoted field.
+    inside = F.pmod(F.col("_before") + F.col("_carried"), F.lit(2)) == 1
+    begins = ~inside & ~F.col("value").isin("", "\r")
+    lines = lines.join(blocks, block).filter(inside | begins).withColumn("_begins", begins.cast("long"))
+    lines = cut_lineage(lines.withColumn("_record", F.sum("_begins").over(in_block)).drop("_before", "_carried"))
+    # Records before each block, and one header per file; a row per block and file.
+    files = Window.orderBy(*block)
+    sizes = lines.groupBy(*block).agg(F.sum("_begins").alias("_n")).select(
+        *block, F.coalesce(F.sum("_n").over(files.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
+        F.dense_rank().over(Window.orderBy("_file")).alias("_headers"))
+    firsts = sizes.groupBy("_file").agg(F.min("_start").alias("_first"))
+    sizes = sizes.join(firsts, "_file")
+    number = F.col("_start") + F.col("_record")
+    lines = lines.join(sizes, block).filter(number > F.col("_first") + 1).withColumn("row_number", number - F.col("_headers"))
+    whole = (F.col("_begins") == 1) & (F.pmod("_quotes", F.lit(2)) == 0)
+    # Only records over several lines have to be gathered.
+    parts = lines.filter(~whole).groupBy("row_number").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_block", "_at", "value"))), lambda x: x.value), "\n").alias("value"))
+    records = lines.filter(whole).select("row_number", "value").unionByName(parts)
+    return records.select(F.regexp_replace("value", "\r$", "").alias("record"), "row_number")
 
 
 def with_row_number(df: DataFrame, name: str = "row_number") -> DataFrame:

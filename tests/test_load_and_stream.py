@@ -1,6 +1,9 @@
 """Imports, fixes, quality checks, datasets, models and the change stream."""
 
+import csv
+import io
 import json
+import random
 import uuid
 from datetime import date, datetime
 
@@ -142,6 +145,35 @@ def test_csv_fields_with_quotes_and_line_breaks(spark, tmp_path):
     assert [(r.row_number, r.id, r.name) for r in rows] == [(1, "1", 'say "x, y" now'), (2, "2", "two\nlines"), (3, "3", "plain")]
 
 
+@pytest.mark.parametrize("block, line_end", [(37, "\n"), (64, "\r\n"), (1 << 20, "\n")])
+def test_csv_blocks_equal_a_plain_reader(spark, tmp_path, block, line_end):
+    """Quoted line breaks across block borders, several files, empty lines: as the standard reader in file order."""
+    rng = random.Random(block)
+    expected = []
+    for name in ("b.csv", "a.csv", "c.csv"):
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator=line_end)
+        writer.writerow(["id", "na me", "note"])
+        for k in range(rng.randint(0, 60)):
+            writer.writerow([k, rng.choice(["plain", 'say "x, y"', "", " sp "]), "".join(rng.choice(["a", "é", "\n", '"', ",", "\n\n", "x" * 30]) for _ in range(rng.randint(0, 8)))])
+            if rng.random() < 0.1:
+                out.write(line_end)
+        (tmp_path / name).write_bytes(out.getvalue().encode())
+    for name in ("a.csv", "b.csv", "c.csv"):
+        text = (tmp_path / name).read_bytes().decode()
+        expected += [tuple(r.values()) for r in csv.DictReader(io.StringIO(text, newline=""))]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        read = load.read_csv(spark, str(tmp_path), ["id", "note"])
+        got = [tuple(r) for r in read.orderBy("row_number").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [g[3] for g in got] == list(range(1, len(expected) + 1))
+    assert [tuple(x or "" for x in g[:3]) for g in got] == expected
+
+
 def test_forest_queries_train_the_whole_forest(spark, monkeypatch):
     w, models, train = World(), [], forest.train_forest
     w.visit(1, 1, 1, "2026-04-18", points=[(33.5, 36.25, "home")]).report(1, 1, "low", 5, "new").report(2, 1, "high", 70, "new")
