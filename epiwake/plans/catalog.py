@@ -14,7 +14,7 @@ from epiwake.operators import (
     active, anomaly, counts, datasets, dbscan, filters, forest, hdbscan, hotspots, outbreak, policy, quality,
     report_upkeep, reports, risk, spatial, trend,
 )
-from epiwake.plans import jobs
+from epiwake.plans import imports, jobs
 from epiwake.session import shared_dir, tune
 from epiwake.sources import fixes, load
 from epiwake.sources.adapter import StarSchemaSource
@@ -226,6 +226,95 @@ def fk_missing(s: StarSchemaSource) -> DataFrame:
     return load.missing_references(incoming, s.tables())
 
 
+def _file_of(s: StarSchemaSource, rows: DataFrame, name: str, sep: str = ",") -> str:
+    """The rows as CSV files in the order of ``key``, every field quoted."""
+    path = f"{shared_dir(s.spark)}/{name}-{uuid.uuid4().hex}.csv"
+    texts = [F.col(c).cast("string").alias(c) for c in rows.columns if c != "key"]
+    rows.orderBy("key").select(*texts).write.csv(path, header=True, sep=sep, quoteAll=True, escape='"', emptyValue="", nullValue="")
+    return path
+
+
+def _loaded(loaded: load.Loaded) -> DataFrame:
+    """Accepted rows as one text and refused rows with their reason, by position in the file."""
+    fields = [c for c in loaded.good.columns if c != "row_number"]
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in fields])
+    good = loaded.good.select("row_number", F.lit(True).alias("accepted"), text.alias("content"))
+    return good.unionByName(loaded.bad.select("row_number", F.lit(False).alias("accepted"), F.col("reason").alias("content")))
+
+
+def _case(key, cases: dict[int, str], other):  # noqa: ANN001, ANN202
+    """``cases``: the value where the key is a multiple of the number, the first that fits."""
+    out = other if not isinstance(other, str) else F.lit(other)
+    for n, value in reversed(cases.items()):
+        out = F.when(key % n == 0, F.lit(value)).otherwise(out)
+    return out
+
+
+def import_hospitals(s: StarSchemaSource) -> DataFrame:
+    """Suppliers as a file of hospitals with quotes, line breaks, missing names and bad coordinates."""
+    key = F.col("s_suppkey")
+    rows = s._read("supplier").select(
+        key.alias("key"), _case(key, {4: ""}, F.format_string(' Clinic "%d", north\nwing ', key)).alias("name"),
+        _case(key, {9: "north", 10: "", 11: "95.5"}, (key % 90).cast("double").cast("string")).alias("latitude"),
+        F.lit("36.25").alias("longitude"), F.concat(F.lit("  street "), key.cast("string")).alias("location"), F.lit(" town").alias("city"))
+    return _loaded(load.clean_hospitals(load.read_csv(s.spark, _file_of(s, rows, "hospitals"), imports.HEADERS["hospitals"])))
+
+
+def import_users(s: StarSchemaSource) -> DataFrame:
+    key = F.col("c_custkey")
+    rows = s._read("customer").select(
+        key.alias("key"), _case(key, {13: "x1"}, key.cast("string")).alias("id"), F.format_string("user%d", key).alias("username"),
+        F.format_string(" u%d@example.org ", key).alias("email"), F.lit("A").alias("first_name"), F.lit("B, C").alias("last_name"),
+        F.lit('say "hi"').alias("real_name"), F.lit("0123456789012345678901").alias("phon_number"),
+        _case(key, {7: "nurse", 5: "", 3: " admin "}, "doctor").alias("role"), F.lit("secret").alias("password"))
+    return _loaded(load.clean_users(load.read_csv(s.spark, _file_of(s, rows, "users"), imports.HEADERS["users"])))
+
+
+def import_doctors(s: StarSchemaSource) -> DataFrame:
+    """Parts as doctors; hospitals 0 to 24 are known, others are replaced by one of them."""
+    key = F.col("p_partkey")
+    rows = s._read("part").select(
+        key.alias("key"), key.cast("string").alias("id"), _case(key, {17: " "}, (key * 2).cast("string")).alias("user_id"),
+        F.col("p_size").cast("string").alias("hospital_id"), F.lit(" Internal\tMedicine ").alias("specialization"))
+    loaded = load.clean_doctors(load.read_csv(s.spark, _file_of(s, rows, "doctors"), imports.HEADERS["doctors"]), s.hospital(), 1, 20)
+    known = F.when(F.col("hospital_id").between(1, 20), "preferred").when(F.col("hospital_id").between(0, 24), "known").otherwise("unknown")
+    return _loaded(load.Loaded(loaded.good.withColumn("hospital_id", known), loaded.bad))
+
+
+def import_patients(s: StarSchemaSource) -> DataFrame:
+    key = F.col("c_custkey")
+    rows = s._read("customer").select(
+        key.alias("key"), key.cast("string").alias("id"), F.concat(F.lit(" "), F.col("c_name")).alias("national_number"),
+        F.format_string('"%d"\n, last', key).alias("name"), _case(key, {8: "31/12/1980", 9: ""}, "1980-12-31").alias("birth_date"),
+        _case(key, {6: "other", 5: " FEMALE"}, "male").alias("gender"),
+        _case(key, {7: "91", 4: " "}, "33.5").alias("residence_lat"), _case(key, {4: ""}, "36.5").alias("residence_long"),
+        _case(key, {11: "east"}, "33.25").alias("work_lat"), _case(key, {10: "-181"}, "36.25").alias("work_long"))
+    return _loaded(load.clean_patients(load.read_csv(s.spark, _file_of(s, rows, "patients"), imports.HEADERS["patients"])))
+
+
+def import_visits(s: StarSchemaSource) -> DataFrame:
+    key = F.col("o_orderkey")
+    rows = s._read("orders").select(
+        key.alias("key"), key.cast("string").alias("id"), F.col("o_custkey").cast("string").alias("patient_id"),
+        _case(key, {19: "d1"}, "3").alias("doctor_id"), (key % 5 + 1).cast("string").alias("disease_id"),
+        _case(key, {8: "2024-1-5", 9: "2024-02-30"}, " 2024-01-05 ").alias("diagnosis_date"), _case(key, {12: "ill", 5: " Cured "}, "infected").alias("status"),
+        _case(key, {10: "", 11: "600"}, "70.5").alias("weight"), _case(key, {14: "29"}, "170").alias("height"),
+        _case(key, {16: "?", 3: "Widow(er)", 2: "Divorce"}, "single").alias("marital_status"))
+    return _loaded(load.clean_visits(load.read_csv(s.spark, _file_of(s, rows, "visits"), imports.HEADERS["visits"])))
+
+
+def import_diseases(s: StarSchemaSource) -> DataFrame:
+    """The catalogue as a file of reference diseases, with blanks for numbers and spaces around codes."""
+    key = F.col("p_partkey")
+    rows = s._read("part").select(
+        key.alias("key"), _case(key, {5: ""}, key.cast("string")).alias("id"), F.format_string(" x%d ", key).alias("disease_code"),
+        F.format_string(' Fever; "%d" ', key).alias("name"), F.lit("viral ").alias("type"), F.lit("airborne").alias("transmission_vector"),
+        F.lit("a\nb").alias("symptoms"), _case(key, {3: " "}, (key % 6).cast("string")).alias("risk_level"),
+        _case(key, {4: ""}, "0.5").alias("infection_score"))
+    return load.load_diseases(s.spark, _file_of(s, rows, "diseases", ";"), " listed ").select(
+        "row_number", "disease_code", "name", "type", "symptoms", "risk_level", "infection_score", "source_record_id", "source_name")
+
+
 def visit_import_plan(s: StarSchemaSource) -> DataFrame:
     incoming = s._read("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("patient_id"))
     return load.dry_run(load.plan_visits(incoming, s.visit(), replay_existing=True))
@@ -417,7 +506,7 @@ def queries() -> dict[str, Query]:
     ]
     on_source = [
         disease_classification, alert_policies, dq_violations, duplicate_keys, geodata_derivation,
-        case_events, case_event_routing, monitor_stream, upsert_diseases, fk_missing, visit_import_plan, hospital_repair, value_fixes, merge_histories,
+        case_events, case_event_routing, monitor_stream, upsert_diseases, fk_missing, import_hospitals, import_users, import_doctors, import_patients, import_visits, import_diseases, visit_import_plan, hospital_repair, value_fixes, merge_histories,
     ]
     return {
         **{f.__name__: _on_tables(f) for f in on_tables},

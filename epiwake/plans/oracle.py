@@ -580,6 +580,25 @@ WHERE p.lat BETWEEN -90 AND 90 AND p.lon BETWEEN -180 AND 180 AND NOT EXISTS (SE
 FROM disease d FULL JOIN (SELECT * FROM classified QUALIFY row_number() OVER (PARTITION BY disease_code ORDER BY id DESC) = 1) n ON n.disease_code = d.disease_code""", CLASSIFIED),
         "fk_missing": statement("""SELECT DISTINCT 'patient_id' AS reference, l_partkey AS missing_id FROM lineitem WHERE l_partkey NOT IN (SELECT id FROM patient)
 UNION ALL SELECT DISTINCT 'doctor_id', l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT id FROM doctor) UNION ALL SELECT DISTINCT 'disease_id', l_linenumber::BIGINT FROM lineitem WHERE l_linenumber NOT IN (SELECT id FROM disease)"""),
+        "import_hospitals": """SELECT row_number() OVER (ORDER BY s_suppkey) AS row_number, NOT bad AS accepted, CASE WHEN bad THEN concat_ws('; ', text, 'coordinates are out of range')
+    ELSE concat_ws('|', row_number() OVER (ORDER BY s_suppkey), CASE WHEN s_suppkey % 4 = 0 THEN 'Hospital ' || row_number() OVER (ORDER BY s_suppkey) ELSE 'Clinic "' || s_suppkey || '", north' || chr(10) || 'wing' END, (s_suppkey % 90) || '.0', '36.25', 'street ' || s_suppkey, 'town') END AS content
+  FROM (SELECT s_suppkey, s_suppkey % 9 = 0 OR s_suppkey % 10 = 0 OR s_suppkey % 11 = 0 AS bad, CASE WHEN s_suppkey % 9 = 0 OR s_suppkey % 10 = 0 THEN 'latitude is not a number' END AS text FROM supplier)""",
+        "import_users": """SELECT row_number() OVER (ORDER BY c_custkey) AS row_number, number IS NULL AND role IS NOT NULL AS accepted, CASE WHEN number IS NOT NULL OR role IS NULL THEN concat_ws('; ', number, CASE WHEN role IS NULL THEN 'role is not in the domain' END)
+    ELSE concat_ws('|', c_custkey, 'user' || c_custkey, 'u' || c_custkey || '@example.org', 'A', 'B, C', 'say "hi"', '01234567890123456789', role, 'true', 'true', 'true') END AS content
+  FROM (SELECT c_custkey, CASE WHEN c_custkey % 13 = 0 THEN 'id is not a number' END AS number, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN 'doctor' WHEN c_custkey % 3 = 0 THEN 'admin' ELSE 'doctor' END AS role FROM customer)""",
+        "import_doctors": """SELECT row_number() OVER (ORDER BY p_partkey) AS row_number, p_partkey % 17 <> 0 AS accepted, CASE WHEN p_partkey % 17 = 0 THEN 'user_id is not a number'
+    ELSE concat_ws('|', p_partkey, p_partkey * 2, 'Internal' || chr(9) || 'Medicine', CASE WHEN p_size BETWEEN 1 AND 20 OR p_size > 24 THEN 'preferred' ELSE 'known' END) END AS content FROM part""",
+        "import_patients": """SELECT row_number() OVER (ORDER BY c_custkey) AS row_number, reasons = '' AS accepted, CASE WHEN reasons <> '' THEN reasons ELSE concat_ws('|', c_custkey, c_name, '"' || c_custkey || '"' || chr(10) || ', last', '1980-12-31',
+      CASE WHEN c_custkey % 5 = 0 THEN 'female' ELSE 'male' END, CASE WHEN c_custkey % 4 = 0 THEN '-' ELSE '33.5' END, CASE WHEN c_custkey % 4 = 0 THEN '-' ELSE '36.5' END, '33.25', '36.25') END AS content
+  FROM (SELECT c_custkey, c_name, concat_ws('; ', CASE WHEN c_custkey % 8 = 0 OR c_custkey % 9 = 0 THEN 'birth_date is not a date' END, CASE WHEN c_custkey % 11 = 0 THEN 'work_lat is not a number' END,
+      CASE WHEN c_custkey % 6 = 0 THEN 'gender is not in the domain' END, CASE WHEN c_custkey % 7 = 0 THEN 'residence_lat is out of range' END, CASE WHEN c_custkey % 10 = 0 THEN 'work_long is out of range' END) AS reasons FROM customer)""",
+        "import_visits": """SELECT row_number, reasons = '' AS accepted, CASE WHEN reasons <> '' THEN reasons ELSE concat_ws('|', k, o_custkey, 3, k % 5 + 1, '', '2024-01-05', CASE WHEN k % 5 = 0 THEN 'cured' ELSE 'infected' END, '70.5', '170.0',
+      CASE WHEN k % 3 = 0 THEN 'widow' WHEN k % 2 = 0 THEN 'divorced' ELSE 'single' END) END AS content
+  FROM (SELECT o_orderkey AS k, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS row_number, concat_ws('; ', CASE WHEN o_orderkey % 19 = 0 THEN 'doctor_id is not a number' END, CASE WHEN o_orderkey % 8 = 0 OR o_orderkey % 9 = 0 THEN 'diagnosis_date is not an ISO date' END,
+      CASE WHEN o_orderkey % 10 = 0 THEN 'weight is missing or not a number' END, CASE WHEN o_orderkey % 10 <> 0 AND o_orderkey % 11 = 0 THEN 'weight is out of range' END, CASE WHEN o_orderkey % 14 = 0 THEN 'height is out of range' END,
+      CASE WHEN o_orderkey % 12 = 0 THEN 'status is not in the domain' END, CASE WHEN o_orderkey % 16 = 0 THEN 'marital_status is not in the domain' END) AS reasons FROM orders)""",
+        "import_diseases": """SELECT row_number() OVER (ORDER BY p_partkey) AS row_number, 'X' || p_partkey AS disease_code, 'Fever; "' || p_partkey || '"' AS name, 'viral' AS type, 'a' || chr(10) || 'b' AS symptoms,
+    CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey % 6 END::INT AS risk_level, CASE WHEN p_partkey % 4 = 0 THEN 0.0 ELSE 0.5 END::DOUBLE AS infection_score, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_partkey END::INT AS source_record_id, 'listed' AS source_name FROM part""",
         "visit_import_plan": statement("""SELECT 'insert' AS action, count(*) AS visits FROM orders WHERE o_orderkey NOT IN (SELECT id FROM visit) UNION ALL SELECT 'replay', count(*) FROM orders WHERE o_orderkey IN (SELECT id FROM visit) UNION ALL SELECT 'skip', 0"""),
         "hospital_repair": statement("SELECT true AS known, count(*) AS doctors FROM part"),
         "value_fixes": statement("""SELECT id, CASE WHEN segment IN ('admin','doctor') THEN segment ELSE 'doctor' END AS role, CASE WHEN w IN ('female','f','أنثى','انثى') THEN 'female' ELSE 'male' END AS gender,

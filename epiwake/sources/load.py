@@ -26,7 +26,7 @@ class ImportFailed(ValueError):
 
 @dataclass(frozen=True)
 class Loaded:
-    """Accepted rows, and refused rows with their reason and file position."""
+    """Accepted rows, and refused rows with their reason; both with their file position."""
 
     good: DataFrame
     bad: DataFrame
@@ -107,7 +107,7 @@ def stop_after(df: DataFrame, rows: int | None) -> DataFrame:
 def _split(df: DataFrame, rules: dict[str, Column], keep: list[str]) -> Loaded:
     reasons = F.array_compact(F.array(*[F.when(test, F.lit(text)) for text, test in rules.items()]))
     judged = df.withColumn("reasons", reasons)
-    good = judged.filter(F.size("reasons") == 0).select(*keep)
+    good = judged.filter(F.size("reasons") == 0).select(*keep, "row_number")
     bad = judged.filter(F.size("reasons") > 0).select(
         "row_number", F.array_join("reasons", "; ").alias("reason")
     )
@@ -226,8 +226,9 @@ def repair_hospitals(doctors: DataFrame, hospitals: DataFrame, low: int, high: i
     slot = F.pmod(F.xxhash64("id"), F.lit(size)) + 1
     # Only the unknown ones take the detour through the numbered pool.
     marked = doctors.join(known, "hospital_id", "left").withColumn("slot", F.when(F.col("known").isNull(), slot))
+    rest = [c for c in doctors.columns if c == "row_number"]
     return marked.join(numbered, "slot", "left").select(
-        "id", "user_id", "specialization", F.coalesce("substitute", "hospital_id").alias("hospital_id")
+        "id", "user_id", "specialization", F.coalesce("substitute", "hospital_id").alias("hospital_id"), *rest
     )
 
 
@@ -400,17 +401,6 @@ def missing_histories(patients: DataFrame, histories: DataFrame) -> DataFrame:
     return absent.withColumn("has_surgical_metal_plates", F.lit(False))
 
 
-def import_delta(before: Tables, after: Tables) -> DataFrame:
-    """New report and hotspot rows of an import, with the totals after it."""
-    parts = []
-    for name in ("report", "geocluster"):
-        old, new = getattr(before, name), getattr(after, name)
-        fresh = new.select("id").join(old.select("id"), "id", "left_anti").agg(F.count(F.lit(1))).scalar()
-        parts.append(new.agg(F.count(F.lit(1)).alias("total")).select(
-            F.lit(name).alias("table_name"), fresh.alias("new_rows"), "total"))
-    return parts[0].unionByName(parts[1])
-
-
 def dry_run(plan: VisitPlan) -> DataFrame:
     """Counts of what the import would do; nothing is written."""
     parts = {"insert": plan.insert, "replay": plan.replay, "skip": plan.skip}

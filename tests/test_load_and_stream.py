@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from compare import compare, connect
 from epiwake.operators import datasets, filters, forest, quality, risk
-from epiwake.plans import catalog
+from epiwake.plans import catalog, imports
 from epiwake.session import shared_dir
 from epiwake.sources import load, sinks
 from epiwake.streaming import case_events as feed
@@ -174,6 +174,38 @@ def test_csv_blocks_equal_a_plain_reader(spark, tmp_path, block, line_end):
     assert [tuple(x or "" for x in g[:3]) for g in got] == expected
 
 
+def test_import_job_from_files_to_reports(spark, tmp_path):
+    from dataclasses import replace
+
+    texts = {
+        "hospitals": "name,latitude,longitude,location,city\n,33.5,36.2,a,b\nNorth,x,36.2,a,b\n",
+        "users": "id,username,email,first_name,last_name,real_name,phon_number,role\n900,u,u@e.org,A,B,C,1,doctor\n901,v,,A,B,C,1,nurse\n",
+        "doctors": "id,user_id,hospital_id,specialization\n900,900,77,x\n",
+        "patients": "id,national_number,name,birth_date,gender,residence_lat,residence_long,work_lat,work_long\n"
+                    + "".join(f"{p},n{p},\"P, {p}\",1990-01-01,male,33.5{p - 900},36.25,,\n" for p in range(901, 905)) + "905,n,P,?,male,,,,\n901,n901b,Last,1990-01-01,female,33.51,36.25,,\n",
+        "visits": "id,patient_id,doctor_id,disease_id,diagnosis_date,status,weight,height,marital_status\n"
+                  + "".join(f"{700 + p},{p},900,1,2026-04-1{p - 900},infected,70,170,single\n" for p in range(901, 905)) + "1,901,900,1,2026-04-11,infected,70,170,single\n",
+    }
+    paths = {group: write(tmp_path, f"{group}.csv", text) for group, text in texts.items()}
+    before = base().report(5, 1, "low", 5, "resolved").cluster(3, 2, 10.0, 10.0, 1.0, 1, 1).tables(spark)
+    before = replace(before, medical_history=spark.createDataFrame([(4, 901, True)], "id long, patient_id long, has_surgical_metal_plates boolean"))
+    dry = imports.import_files(spark, paths, before, datetime(2026, 4, 20), dry_run=True, stop_after=4)
+    assert dry.tables is before and ("visits", "insert", 4) in rows(dry.counts, "group", "action", "rows")
+    done = imports.import_files(spark, paths, before, datetime(2026, 4, 20), replay_existing=True)
+    assert rows(done.counts.filter("rows > 0"), "group", "action", "rows") == [
+        ("doctors", "created", 1), ("hospitals", "refused", 1), ("hospitals", "updated", 1), ("patients", "created", 4), ("patients", "refused", 1),
+        ("users", "created", 1), ("users", "refused", 1), ("visits", "insert", 4), ("visits", "replay", 1)]
+    assert rows(done.refused["users"], "row_number") == [(2,)]
+    t = done.tables
+    assert rows(t.patient.filter("id = 901"), "name", "gender") == [("Last", "female")]
+    assert t.visit.count() == before.visit.count() + 4 and t.geodata.count() == before.geodata.count() + 4
+    assert rows(t.medical_history.filter("patient_id > 900"), "patient_id") == [(901,), (902,), (903,), (904,)]
+    known = {r.id for r in before.report.collect()}
+    assert {r.id for r in done.delta.filter("table_name = 'report'").collect()} == {r.id for r in t.report.collect()} - known != set()
+    only = imports.import_files(spark, paths, before, datetime(2026, 4, 20), only={"users"})
+    assert rows(only.counts, "group", "action") == [("users", "created"), ("users", "refused")] and only.delta.count() == 0
+
+
 def test_forest_queries_train_the_whole_forest(spark, monkeypatch):
     w, models, train = World(), [], forest.train_forest
     w.visit(1, 1, 1, "2026-04-18", points=[(33.5, 36.25, "home")]).report(1, 1, "low", 5, "new").report(2, 1, "high", 70, "new")
