@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiwake.functions import clinical
@@ -182,6 +183,29 @@ def exposure_evaluation(t: Tables) -> DataFrame:
     ).select(*OUTBREAK_COLUMNS)
 
 
+def outbreak_texts(t: Tables) -> DataFrame:
+    """Reasons of every outbreak result and the summary that a report about it gets."""
+    analyses = outbreak.evaluate_outbreaks(t, outbreak.contexts_of(t), policy.alert_policies(t.disease))
+    told = report_upkeep.results(t, analyses)
+    return told.select("geodata_id", F.array_join("reasons", " ").alias("reasons"), "summary")
+
+
+def anomaly_texts(t: Tables) -> DataFrame:
+    return anomaly.detect_anomalies(t).select("disease_id", "region_type", "target_date", F.array_join("reasons", " ").alias("reasons"))
+
+
+def report_texts(t: Tables) -> DataFrame:
+    made = reports.generate_reports(t, region="home", date_from=date(2024, 1, 16))
+    return made.select("disease_id", F.array_join("reasons", " ").alias("reasons"), "summary")
+
+
+def visit_evaluation(t: Tables) -> DataFrame:
+    """Each visit at its first point of a region, with counts and policy of that region."""
+    chosen = outbreak.first_points(t.geodata, region="work")
+    contexts = outbreak.contexts_of(t, chosen, own_region=True)
+    return outbreak.evaluate_outbreaks(t, contexts, policy.alert_policies(t.disease), regional=True).select(*OUTBREAK_COLUMNS)
+
+
 def disease_classification(s: StarSchemaSource) -> DataFrame:
     return policy.classify_diseases(s.catalogue()).select(
         "id", "disease_code", "policy_profile", "high_priority", "rare_disease"
@@ -203,6 +227,38 @@ def dq_violations(s: StarSchemaSource) -> DataFrame:
     return quality.summarise(checked)
 
 
+def dq_every_rule(s: StarSchemaSource) -> DataFrame:
+    """Violations by rule over the given tables with a defect of each kind at every n-th key."""
+    def at(key, n):  # noqa: ANN001, ANN202
+        return key % n == 0
+
+    def spoil(df: DataFrame, key: str, defects: dict[str, tuple[int, object]]) -> DataFrame:
+        k = F.col(key)
+        return df.withColumns({c: F.when(at(k, n), value if isinstance(value, Column) else F.lit(value)).otherwise(F.col(c)) for c, (n, value) in defects.items()})
+
+    t, null = s.tables(), F.lit(None).cast("double")
+    people = spoil(s.patient().withColumn("work_long", F.coalesce("work_long", F.col("residence_long"))).withColumn("work_lat", F.coalesce("work_lat", F.col("residence_lat"))), "id", {
+        "gender": (7, "x"), "residence_lat": (11, 91.0), "residence_long": (13, null), "work_lat": (17, null), "work_long": (19, -180.5),
+        "birth_date": (23, F.lit(date(2030, 1, 1))), "name": (29, "  "), "national_number": (31, "")})
+    listed = spoil(policy.classify_diseases(s.catalogue()), "id", {
+        "risk_level": (7, F.lit(6)), "infection_score": (11, -0.5), "policy_profile": (13, "none"), "disease_code": (17, " "), "name": (19, "")})
+    lower = spoil(listed, "id", {"disease_code": (23, F.lower("disease_code"))})
+    visits = spoil(s.visit().withColumns({"weight": F.lit(70.0), "height": F.lit(170.0), "marital_status": F.lit("single")}), "id", {
+        "status": (7, "ill"), "marital_status": (11, ""), "weight": (13, 0.05), "height": (17, 251.0)})
+    points = spoil(s.geodata(), "id", {"region_type": (7, "moon"), "latitude": (11, null), "longitude": (13, 181.0), "patient_id": (17, F.lit(-1).cast("long"))})
+    clusters = spoil(s.geocluster(), "id", {"center_lat": (7, null), "center_long": (11, 180.1), "radius": (13, -1.0), "case_count": (17, F.lit(-1)), "risk_level": (19, F.lit(6))})
+    reports_ = spoil(s.report(), "id", {
+        "alert_level": (7, "none"), "status": (11, "open"), "analysis_period_end": (13, F.date_sub("analysis_period_start", 1)), "disease_id": (17, F.lit(99).cast("long")),
+        "nearby_case_count": (19, F.lit(-1)), "current_case_count": (23, F.lit(-1)), "previous_case_count": (29, F.lit(-1))})
+    bad = replace(t, patient=people, visit=visits, geodata=points, report=reports_)
+    return quality.summarise({
+        "users": quality.check_users(spoil(s.users().withColumn("role", F.lit("doctor")), "id", {"role": (7, "nurse")})),
+        "hospital": quality.check_hospitals(spoil(s.hospital(), "id", {"hospital_lat": (7, float("nan")), "hospital_long": (11, 180.5)})),
+        "patient": quality.check_patients(people, TODAY), "disease": quality.check_diseases(lower), "visit": quality.check_visits(bad),
+        "geodata": quality.check_points(bad), "geocluster": quality.check_clusters(clusters), "report": quality.check_reports(bad),
+    })
+
+
 def duplicate_keys(s: StarSchemaSource) -> DataFrame:
     return quality.duplicates(s.tables(), s.catalogue())
 
@@ -439,7 +495,9 @@ def cluster_from_analysis(t: Tables) -> DataFrame:
     policies = policy.alert_policies(t.disease)
     analyses = jobs.cut_lineage(outbreak.evaluate_outbreaks(t, outbreak.contexts_of(t), policies))
     nearby = spatial.nearby_cases(t, analyses.filter("should_create_cluster"), policies)
-    return hotspots.clusters_from_analyses(t, analyses, nearby)
+    found = hotspots.clusters_from_analyses(t, analyses, nearby)
+    # Sums of many doubles differ in their last digits with the order of the rows.
+    return found.withColumns({"center_lat": F.round("center_lat", 6), "center_long": F.round("center_long", 6), "radius_km": F.round("radius_km", 4)})
 
 
 def hdbscan_summary(t: Tables) -> DataFrame:
@@ -499,13 +557,13 @@ def queries() -> dict[str, Query]:
         active_point_list, map_active_cases, map_page, map_historical_cases, map_hospital_cases,
         patient_scope, hospital_scope, active_alerts, active_hotspots, patient_history,
         visit_page, generated_reports, anomalies, trend_snapshots, trend_snapshots_by_region,
-        nearby_cases, outbreak_evaluation, exposure_evaluation,
+        nearby_cases, outbreak_evaluation, exposure_evaluation, visit_evaluation, outbreak_texts, anomaly_texts, report_texts,
         counts.cases_by_disease, counts.cases_over_time, counts.cases_by_doctor,
         counts.cases_by_region_type, counts.disease_region_matrix, counts.alerts_by_disease,
         counts.dashboard_summary,
     ]
     on_source = [
-        disease_classification, alert_policies, dq_violations, duplicate_keys, geodata_derivation,
+        disease_classification, alert_policies, dq_violations, dq_every_rule, duplicate_keys, geodata_derivation,
         case_events, case_event_routing, monitor_stream, upsert_diseases, fk_missing, import_hospitals, import_users, import_doctors, import_patients, import_visits, import_diseases, visit_import_plan, hospital_repair, value_fixes, merge_histories,
     ]
     return {

@@ -474,6 +474,59 @@ HOTSPOTS = """SELECT g.id, coalesce(s.latitude, center_lat) AS center_lat, coale
 UNION ALL SELECT (SELECT coalesce(max(id), 0) FROM geocluster) + row_number() OVER (ORDER BY disease_id, place), s.latitude, s.longitude, s.radius, disease_id, s.cases, s.risk, TIMESTAMP '2024-01-31' FROM merged WHERE s.id IS NULL"""
 
 
+GENERATED = """
+located AS (SELECT * FROM visit WHERE diagnosis_date >= DATE '2024-01-16' AND id IN (SELECT visit_id FROM geodata WHERE region_type = 'home')),
+periods AS (SELECT disease_id, DATE '2024-01-16' AS s, max(diagnosis_date) AS f, greatest(max(diagnosis_date) - DATE '2024-01-16', 1)::INT AS days FROM located GROUP BY 1),
+cur AS (SELECT p.disease_id, v.id, v.status FROM periods p JOIN visit v ON v.disease_id = p.disease_id AND v.diagnosis_date BETWEEN s AND f
+  QUALIFY row_number() OVER (PARTITION BY v.patient_id, v.disease_id ORDER BY diagnosis_date DESC, id DESC) = 1),
+prev AS (SELECT p.disease_id, v.id, v.status FROM periods p JOIN visit v ON v.disease_id = p.disease_id AND v.diagnosis_date BETWEEN s - 1 - days AND s - 1
+  QUALIFY row_number() OVER (PARTITION BY v.patient_id, v.disease_id ORDER BY diagnosis_date DESC, id DESC) = 1),
+two AS (SELECT p.*, (SELECT count(*) FROM cur WHERE cur.disease_id = p.disease_id AND status = 'infected' AND id IN (SELECT visit_id FROM geodata WHERE region_type = 'home')) AS c,
+  (SELECT count(*) FROM prev WHERE prev.disease_id = p.disease_id AND status = 'infected' AND id IN (SELECT visit_id FROM geodata WHERE region_type = 'home')) AS p FROM periods p),
+rated AS (SELECT two.*, c * d.infection_score * d.risk_level AS risk_score,
+  round(CASE WHEN p > 0 THEN (c - p)::DOUBLE / p::DOUBLE WHEN c > 0 THEN 1.0 ELSE 0.0 END::DOUBLE, 4) AS growth_rate,
+  round(CASE WHEN p > 0 THEN c::DOUBLE / p::DOUBLE WHEN c > 0 THEN c ELSE 0 END::DOUBLE, 4) AS surge_ratio FROM two JOIN disease d ON d.id = two.disease_id)"""
+
+# A defect of each kind at every n-th key, and the rules stated once more.
+SPOILED = """
+people AS (SELECT * REPLACE (CASE WHEN id % 7 = 0 THEN 'x' ELSE gender END AS gender, CASE WHEN id % 11 = 0 THEN 91 ELSE residence_lat END AS residence_lat, CASE WHEN id % 13 = 0 THEN NULL ELSE residence_long END AS residence_long,
+    CASE WHEN id % 17 = 0 THEN NULL ELSE coalesce(work_lat, residence_lat) END AS work_lat, CASE WHEN id % 19 = 0 THEN -180.5 ELSE coalesce(work_long, residence_long) END AS work_long,
+    CASE WHEN id % 23 = 0 THEN DATE '2030-01-01' ELSE birth_date END AS birth_date, CASE WHEN id % 29 = 0 THEN '  ' ELSE name END AS name, CASE WHEN id % 31 = 0 THEN '' ELSE national_number END AS national_number) FROM patient),
+listed AS (SELECT id, CASE WHEN id % 7 = 0 THEN 6 ELSE risk_level END AS risk_level, CASE WHEN id % 11 = 0 THEN -0.5 ELSE infection_score END AS infection_score, CASE WHEN id % 13 = 0 THEN 'none' ELSE policy_profile END AS policy_profile,
+    CASE WHEN id % 17 = 0 THEN ' ' WHEN id % 23 = 0 THEN lower(disease_code) ELSE disease_code END AS disease_code, CASE WHEN id % 19 = 0 THEN '' ELSE name END AS name FROM classified),
+rules AS (
+  SELECT 'users' AS table_name, 'role' AS rule, count(*) AS violations FROM users WHERE id % 7 = 0
+  UNION ALL SELECT 'hospital', unnest(['hospital_lat', 'hospital_long']), unnest([count(*) FILTER (id % 7 = 0), count(*) FILTER (id % 11 = 0)]) FROM hospital
+  UNION ALL SELECT 'patient', unnest(['gender', 'residence_lat', 'residence_long', 'work_lat', 'work_long', 'residence_pair', 'work_pair', 'birth_date', 'name', 'national_number']), unnest([
+    count(*) FILTER (gender NOT IN ('male', 'female')), count(*) FILTER (abs(residence_lat) > 90), count(*) FILTER (abs(residence_long) > 180), count(*) FILTER (abs(work_lat) > 90), count(*) FILTER (abs(work_long) > 180),
+    count(*) FILTER ((residence_lat IS NULL) <> (residence_long IS NULL)), count(*) FILTER ((work_lat IS NULL) <> (work_long IS NULL)), count(*) FILTER (birth_date > DATE '2024-06-01'), count(*) FILTER (trim(name) = ''), count(*) FILTER (trim(national_number) = '')]) FROM people
+  UNION ALL SELECT 'disease', unnest(['risk_level', 'infection_score', 'policy_profile', 'disease_code', 'code_not_upper', 'name']), unnest([count(*) FILTER (risk_level NOT BETWEEN 0 AND 5), count(*) FILTER (infection_score < 0),
+    count(*) FILTER (policy_profile NOT IN ('general', 'high_priority', 'rare', 'cluster_sensitive', 'surge_sensitive', 'environmental_signal')), count(*) FILTER (trim(disease_code) = ''), count(*) FILTER (disease_code <> upper(trim(disease_code))), count(*) FILTER (trim(name) = '')]) FROM listed
+  UNION ALL SELECT 'visit', unnest(['status', 'marital_status', 'weight', 'height', 'before_birth']), unnest([count(*) FILTER (v.id % 7 = 0 OR v.status NOT IN ('infected', 'cured')), count(*) FILTER (v.id % 11 = 0), count(*) FILTER (v.id % 13 = 0), count(*) FILTER (v.id % 17 = 0), count(*) FILTER (diagnosis_date < birth_date)])
+    FROM visit v LEFT JOIN people p ON p.id = v.patient_id
+  UNION ALL SELECT 'geodata', unnest(['region_type', 'latitude', 'longitude', 'patient']), unnest([count(*) FILTER (id % 7 = 0), count(*) FILTER (id % 11 = 0), count(*) FILTER (id % 13 = 0), count(*) FILTER (id % 17 = 0)]) FROM geodata
+  UNION ALL SELECT 'geocluster', unnest(['center_lat', 'center_long', 'radius', 'case_count', 'risk_level']), unnest([count(*) FILTER (id % 7 = 0), count(*) FILTER (id % 11 = 0), count(*) FILTER (id % 13 = 0), count(*) FILTER (id % 17 = 0), count(*) FILTER (id % 19 = 0)]) FROM geocluster
+  UNION ALL SELECT 'report', unnest(['alert_level', 'status', 'period', 'trigger_visit', 'nearby_case_count', 'current_case_count', 'previous_case_count']), unnest([count(*) FILTER (r.id % 7 = 0), count(*) FILTER (r.id % 11 = 0),
+    count(*) FILTER (r.id % 13 = 0 OR analysis_period_start > analysis_period_end), count(*) FILTER (v.disease_id <> CASE WHEN r.id % 17 = 0 THEN 99 ELSE r.disease_id END), count(*) FILTER (r.id % 19 = 0), count(*) FILTER (r.id % 23 = 0), count(*) FILTER (r.id % 29 = 0)])
+    FROM report r LEFT JOIN visit v ON v.id = r.trigger_visit_id)"""
+
+# Wording of reasons and summaries.
+TOLD = """
+told AS (SELECT l.*, d.name AS disease_name, CASE WHEN NOT context_active THEN 'Latest patient+disease visit is not infected.' ELSE concat_ws(' ',
+    CASE WHEN l.rare_disease THEN 'Rare-disease policy is active.' END, CASE WHEN l.high_priority THEN 'High-priority disease policy is active.' END,
+    CASE WHEN nearby_case_count > 0 THEN nearby_case_count || ' nearby case(s) matched within ' || radius_km || ' km.' END,
+    CASE WHEN local_case_count >= cluster_case_threshold THEN 'Local case count reached the cluster threshold (' || cluster_case_threshold || ').' END,
+    CASE WHEN local_case_count >= critical_case_threshold THEN 'Local case count reached the critical threshold (' || critical_case_threshold || ').' END,
+    CASE WHEN previous_count = 0 AND current_count > 0 THEN 'New activity detected without a previous baseline.' WHEN surge_ratio >= 2 THEN 'Temporal surge detected with ratio ' || surge_ratio || '.'
+      WHEN growth_rate >= 0.5 THEN 'Case growth rate reached ' || growth_rate || '.' END) END AS reasons FROM levelled l JOIN disease d ON d.id = l.disease_id)"""
+
+CALLED = f"""
+called AS (SELECT l.*, g.latitude, g.longitude FROM levelled l JOIN geodata g ON g.id = l.geodata_id WHERE level IN ('high','critical') AND local_case_count >= greatest(2, cluster_case_threshold)),
+spread AS (SELECT geodata_id, latitude, longitude FROM called UNION ALL SELECT n.geodata_id, g.latitude, g.longitude FROM near n JOIN called c ON c.geodata_id = n.geodata_id JOIN geodata g ON g.visit_id = n.case_visit_id),
+middle AS (SELECT geodata_id, avg(latitude) AS latitude, avg(longitude) AS longitude FROM spread GROUP BY 1),
+wide AS (SELECT s.geodata_id, max({HAVERSINE.format(a='m', b='s')}) AS km FROM spread s JOIN middle m ON m.geodata_id = s.geodata_id GROUP BY 1)"""
+
+
 FEED = """
 saved AS (SELECT g.id AS seq, g.id AS geodata_id, g.visit_id, g.patient_id, v.disease_id, v.doctor_id, v.diagnosis_date, v.status FROM geodata g JOIN visit v ON v.id = g.visit_id),
 stood AS (SELECT s.*, s.visit_id = (max((diagnosis_date, visit_id)) OVER (PARTITION BY patient_id, disease_id ORDER BY seq))[2] AS latest FROM saved s),
@@ -554,19 +607,22 @@ WHERE severity <> 'low' AND (rare OR (cases >= need AND (mean = 0 OR surge >= 2
         "generated_reports": statement("""SELECT disease_id, s AS analysis_period_start, f AS analysis_period_end,
   CASE WHEN risk_score >= 80 OR c >= 6 OR surge_ratio >= 2.5 THEN 'critical' WHEN risk_score >= 45 OR c >= 3 OR surge_ratio >= 1.5 THEN 'high' WHEN risk_score >= 20 OR c >= 1 THEN 'medium' ELSE 'low' END AS alert_level,
   risk_score, 0 AS nearby_case_count, c AS current_case_count, p AS previous_case_count, growth_rate, surge_ratio, 'new' AS status FROM rated""",
-            """located AS (SELECT * FROM visit WHERE diagnosis_date >= DATE '2024-01-16' AND id IN (SELECT visit_id FROM geodata WHERE region_type = 'home')),
-periods AS (SELECT disease_id, DATE '2024-01-16' AS s, max(diagnosis_date) AS f, greatest(max(diagnosis_date) - DATE '2024-01-16', 1)::INT AS days FROM located GROUP BY 1),
-cur AS (SELECT p.disease_id, v.id, v.status FROM periods p JOIN visit v ON v.disease_id = p.disease_id AND v.diagnosis_date BETWEEN s AND f
-  QUALIFY row_number() OVER (PARTITION BY v.patient_id, v.disease_id ORDER BY diagnosis_date DESC, id DESC) = 1),
-prev AS (SELECT p.disease_id, v.id, v.status FROM periods p JOIN visit v ON v.disease_id = p.disease_id AND v.diagnosis_date BETWEEN s - 1 - days AND s - 1
-  QUALIFY row_number() OVER (PARTITION BY v.patient_id, v.disease_id ORDER BY diagnosis_date DESC, id DESC) = 1),
-two AS (SELECT p.*, (SELECT count(*) FROM cur WHERE cur.disease_id = p.disease_id AND status = 'infected' AND id IN (SELECT visit_id FROM geodata WHERE region_type = 'home')) AS c,
-  (SELECT count(*) FROM prev WHERE prev.disease_id = p.disease_id AND status = 'infected' AND id IN (SELECT visit_id FROM geodata WHERE region_type = 'home')) AS p FROM periods p),
-rated AS (SELECT two.*, c * d.infection_score * d.risk_level AS risk_score,
-  round(CASE WHEN p > 0 THEN (c - p)::DOUBLE / p::DOUBLE WHEN c > 0 THEN 1.0 ELSE 0.0 END::DOUBLE, 4) AS growth_rate,
-  round(CASE WHEN p > 0 THEN c::DOUBLE / p::DOUBLE WHEN c > 0 THEN c ELSE 0 END::DOUBLE, 4) AS surge_ratio FROM two JOIN disease d ON d.id = two.disease_id)"""),
+            GENERATED),
     }
     sql |= {
+        "dq_every_rule": statement("SELECT * FROM rules WHERE violations > 0", CLASSIFIED, SPOILED),
+        "outbreak_texts": statement("""SELECT geodata_id, reasons, 'Outbreak analysis for ' || disease_name || ' reached alert level ' || level || '. Risk score: ' || score || '. Current vs previous cases: ' || current_count || ' / ' || previous_count || '.'
+    || CASE WHEN reasons <> '' THEN ' Reasons: ' || reasons ELSE '' END AS summary FROM told""", *outbreak_steps(False), TOLD),
+        "anomaly_texts": statement("""SELECT disease_id, region_type, diagnosis_date AS target_date, concat_ws(' ', 'Observed ' || cases || ' case(s) against a baseline mean of ' || round(mean, 2) || '.', CASE WHEN surge >= 2 THEN 'Surge ratio reached ' || surge || '.' END,
+  CASE WHEN dev >= 3 THEN 'Deviation score reached ' || dev || '.' END, CASE WHEN rare THEN 'Rare-disease profile increases anomaly sensitivity.' WHEN hp THEN 'High-priority disease profile increases anomaly sensitivity.' END) AS reasons
+FROM final WHERE ((rare AND anomaly_score >= 25) OR anomaly_score >= 35) AND (rare OR (cases >= need AND (mean = 0 OR surge >= 2 OR dev >= 3 OR cases >= highest + 2)))""", ANOMALY),
+        "report_texts": statement("""SELECT r.disease_id, concat_ws(' ', 'Report generated for disease ' || d.name || '.', 'Current period captured ' || c || ' case(s).', 'Region type filter applied: home.',
+  CASE WHEN p = 0 AND c > 0 THEN 'Current period has no previous baseline cases.' WHEN surge_ratio >= 1.5 THEN 'Temporal surge ratio reached ' || surge_ratio || '.' WHEN growth_rate > 0 THEN 'Growth rate reached ' || growth_rate || '.' END) AS reasons,
+  'Disease ' || d.name || ' recorded ' || c || ' case(s) between ' || s || ' and ' || f || ' with alert level ' || CASE WHEN risk_score >= 80 OR c >= 6 OR surge_ratio >= 2.5 THEN 'critical' WHEN risk_score >= 45 OR c >= 3 OR surge_ratio >= 1.5 THEN 'high' WHEN risk_score >= 20 OR c >= 1 THEN 'medium' ELSE 'low' END || '.' AS summary
+FROM rated r JOIN disease d ON d.id = r.disease_id""", GENERATED),
+        "visit_evaluation": outbreak_sql(True) + "\nWHERE geodata_id IN (SELECT min(id) FROM geodata WHERE region_type = 'work' GROUP BY visit_id)",
+        "cluster_from_analysis": statement("""SELECT disease_id, c.latitude AS place_lat, c.longitude AS place_long, round(m.latitude, 6) AS center_lat, round(m.longitude, 6) AS center_long, round(km, 4) AS radius_km, 3.0::DOUBLE AS reach_km, local_case_count::INT AS case_count,
+  CASE level WHEN 'high' THEN 4 ELSE 5 END::INT AS risk_level, (diagnosis_date - DATE '1970-01-01')::BIGINT AS o1, visit_id AS o2, c.geodata_id AS o3 FROM called c JOIN middle m ON m.geodata_id = c.geodata_id JOIN wide w ON w.geodata_id = c.geodata_id""", *outbreak_steps(False), CALLED),
         "dq_violations": dq_sql(),
         "duplicate_keys": statement("""SELECT 'disease_code' AS rule, disease_code AS key_value, count(*) AS occurrences FROM classified GROUP BY 2 HAVING count(*) > 1
 UNION ALL SELECT 'national_number', national_number, count(*) FROM patient GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'email', lower(email), count(*) FROM users WHERE email <> '' GROUP BY 2 HAVING count(*) > 1""", CLASSIFIED),
