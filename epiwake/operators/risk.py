@@ -11,6 +11,7 @@ from epiwake.operators.active import active_visits, flag_active
 from epiwake.operators.datasets import labs_by_visit, points_by_visit, reports_by_visit
 from epiwake.operators.outbreak import contexts_of, evaluate_outbreaks
 from epiwake.operators.policy import alert_policies
+from epiwake.session import cut_lineage
 from epiwake.tables import Tables
 
 # Label order, policy profiles and the feature names.
@@ -137,8 +138,10 @@ def _scaled(name: str) -> Column:
 def train_centroids(samples: DataFrame) -> DataFrame:
     """One artifact row per label: centroid, feature bounds and counts.
 
-    Two aggregations: the bounds as a one-row scalar subquery, then the class means.
+    Two aggregations over the stored samples: the bounds as a one-row scalar subquery, then the class
+    means.
     """
+    samples = cut_lineage(samples)
     bounds = samples.agg(
         *[F.min(f).alias(f"min_{f}") for f in FEATURES], *[F.max(f).alias(f"max_{f}") for f in FEATURES]
     ).select(F.struct("*")).scalar()

@@ -17,7 +17,7 @@ from epiwake.operators import (
 )
 from epiwake.plans import imports, jobs
 from epiwake.session import shared_dir, tune
-from epiwake.sources import fixes, load
+from epiwake.sources import fixes, load, sinks
 from epiwake.sources.adapter import StarSchemaSource
 from epiwake.streaming import case_events as feed
 from epiwake.streaming import monitoring
@@ -445,6 +445,43 @@ def risk_predictions(t: Tables) -> DataFrame:
     return risk.predict_centroids(t, risk.visit_features(t), artifact).drop("class_distances")
 
 
+def label_counts(t: Tables) -> DataFrame:
+    """Training labels by where they come from."""
+    artifact = risk.train_centroids(risk.training_samples(t))
+    source = F.explode(F.array(*[F.struct(F.lit(n).alias("label_source"), F.col(f"from_{n}").alias("samples")) for n in ("report", "engine", "default")]))
+    return artifact.select("label", source.alias("s")).select("label", "s.*").filter("samples > 0")
+
+
+def stored_centroids(t: Tables) -> DataFrame:
+    """The risk model after it was written and read back."""
+    path = f"{shared_dir(t.visit.sparkSession)}/risk-model-{uuid.uuid4().hex}"
+    sinks.save_centroids(risk.require_trainable(risk.train_centroids(risk.training_samples(t))), path)
+    return risk.centroid_rows(sinks.load_centroids(t.visit.sparkSession, path))
+
+
+def exported_visits(t: Tables) -> DataFrame:
+    """The visit file of the training export, read back; blanks stand for nulls."""
+    spark, folder = t.visit.sparkSession, f"{shared_dir(t.visit.sparkSession)}/export-{uuid.uuid4().hex}"
+    written = {r["dataset"]: r["path"] for r in sinks.export_datasets(t, folder).collect()}
+    return spark.read.csv(written["visit_level_dataset"], header=True).select(
+        "visit_id", "diagnosis_date", "patient_id", "disease_code", "patient_age_years", "primary_region_type", "latest_report_alert_level",
+        "total_lab_test_count", "has_active_alert")
+
+
+def geojson_features(t: Tables) -> DataFrame:
+    """The map features as written to text, read back and parsed."""
+    spark, path = t.visit.sparkSession, f"{shared_dir(t.visit.sparkSession)}/features-{uuid.uuid4().hex}"
+    sinks.write_features(filters.map_cases(t), path)
+    shape = "type string, id long, geometry struct<type:string,coordinates:array<double>>, properties struct<id:long,visit_id:long,disease_code:string,region_type:string,latitude:double>"
+    read = spark.read.text(path).select(F.from_json("value", shape).alias("f"))
+    return read.select(
+        F.col("f.id").alias("geodata_id"), F.col("f.type").alias("kind"), F.col("f.geometry.type").alias("shape"),
+        F.col("f.geometry.coordinates")[0].alias("longitude"), F.col("f.geometry.coordinates")[1].alias("latitude"),
+        F.col("f.properties.id").alias("property_id"), F.col("f.properties.visit_id").alias("visit_id"),
+        F.col("f.properties.disease_code").alias("disease_code"), F.col("f.properties.region_type").alias("region_type"),
+        F.col("f.properties.latitude").alias("latitude_property"))
+
+
 def forest_samples(t: Tables) -> DataFrame:
     return forest.report_samples(t)
 
@@ -552,7 +589,7 @@ def queries() -> dict[str, Query]:
         hotspot_merge, report_merge, cluster_from_analysis, hdbscan_summary,
         dbscan_labels, dbscan_summary,
         visit_level_dataset, disease_region_day_dataset, risk_features, risk_labels,
-        risk_centroids, risk_predictions, forest_samples, forest_predictions, outbreak_with_forest,
+        risk_centroids, risk_predictions, label_counts, stored_centroids, exported_visits, geojson_features, forest_samples, forest_predictions, outbreak_with_forest,
         active_visits_global, active_visits_window, visit_activity, active_points_case_mode,
         active_point_list, map_active_cases, map_page, map_historical_cases, map_hospital_cases,
         patient_scope, hospital_scope, active_alerts, active_hotspots, patient_history,

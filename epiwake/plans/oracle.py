@@ -705,4 +705,10 @@ FROM feed f JOIN disease d ON d.id = f.disease_id JOIN doctor doc ON doc.id = f.
   growth_rate, surge_ratio, risk_score AS rule_based_risk_score, d.risk_level::DOUBLE AS disease_risk_level, d.infection_score::DOUBLE AS infection_score, d.high_priority::INT::DOUBLE AS high_priority, d.rare_disease::INT::DOUBLE AS rare_disease,
   0.0::DOUBLE AS hdbscan_cluster_detected, 0.0::DOUBLE AS hdbscan_cluster_size, 0.0::DOUBLE AS hdbscan_cluster_probability, 0.0::DOUBLE AS hdbscan_cluster_radius_km FROM report r JOIN disease d ON d.id = r.disease_id"""),
     }
+    sql["stored_centroids"] = sql["risk_centroids"]
+    sql["exported_visits"] = f"""SELECT visit_id::VARCHAR AS visit_id, diagnosis_date::VARCHAR AS diagnosis_date, patient_id::VARCHAR AS patient_id, disease_code, patient_age_years::VARCHAR AS patient_age_years,
+  primary_region_type, latest_report_alert_level, total_lab_test_count::VARCHAR AS total_lab_test_count, has_active_alert::VARCHAR AS has_active_alert FROM ({sql['visit_level_dataset']})"""
+    sql["geojson_features"] = f"""SELECT m.geodata_id, 'Feature' AS kind, 'Point' AS shape, g.longitude, g.latitude, m.geodata_id AS property_id, m.visit_id, m.disease_code, m.region_type, NULL::DOUBLE AS latitude_property
+  FROM ({sql['map_active_cases']}) m JOIN ({statement('SELECT id, longitude, latitude FROM geodata')}) g ON g.id = m.geodata_id"""
+    sql["label_counts"] = statement("SELECT label, label_source, count(*) AS samples FROM labelled l WHERE visit_id IN (SELECT id FROM active) GROUP BY 1, 2", *label_steps())
     return sql

@@ -46,8 +46,13 @@ def features(cases: DataFrame) -> DataFrame:
     )
 
 
-def feature_collection(cases: DataFrame) -> DataFrame:
-    """The collection document of one map page; a page has at most 10,000 cases."""
+def feature_collection(cases: DataFrame, most: int = 10_000) -> DataFrame:
+    """The collection document of one map page; ``write_features`` is for feeds without a limit.
+
+    A page of more than ``most`` cases is refused, because the document is one row.
+    """
+    if len(cases.select("geodata_id").take(most + 1)) > most:
+        raise ValueError(f"a page holds at most {most} cases; write longer feeds as lines")
     listed = features(cases).agg(
         F.sort_array(F.collect_list(F.struct("geodata_id", "feature"))).alias("f")
     )
