@@ -21,7 +21,7 @@ from epiwake.sources import fixes, load, sinks
 from epiwake.sources.adapter import StarSchemaSource
 from epiwake.streaming import case_events as feed
 from epiwake.streaming import monitoring
-from epiwake.tables import Tables
+from epiwake.tables import SCHEMAS, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 HOSPITAL = 3
@@ -575,13 +575,20 @@ def case_events_full(s: StarSchemaSource) -> DataFrame:
 
 
 def monitor_stream(s: StarSchemaSource) -> DataFrame:
-    """Saved points as a stream; each micro-batch writes new alert and hotspot versions."""
+    """Saved points as a stream over the stored tables: each micro-batch writes new alert and hotspot versions.
+
+    The points of the first half of the month arrive before those of the second, so there are two batches.
+    """
     base = f"{shared_dir(s.spark)}/monitor-{uuid.uuid4().hex}"
-    points = s.geodata(_stream_visits(s))
-    query = monitoring.start_monitoring(points, s.tables, base, lambda: AS_OF, f"{base}/checkpoint")
-    query.awaitTermination()
-    table = monitoring.VersionedTable(s.spark, base, "report")
-    return table.before(table.versions()[-1] + 1).drop("reasons", "summary")
+    points = s.geodata(s.visit(), keep=("diagnosis_date",))
+    early = F.col("diagnosis_date") < F.lit(date(2024, 1, 16))
+    for arrived in (early, ~early):
+        points.filter(arrived).drop("diagnosis_date").write.mode("append").parquet(f"{base}/points")
+        stream = s.spark.readStream.schema(SCHEMAS["geodata"]).parquet(f"{base}/points")
+        monitoring.start_monitoring(stream, s.tables, base, lambda: AS_OF, f"{base}/checkpoint", start=s.tables()).awaitTermination()
+    tables = {n: monitoring.VersionedTable(s.spark, base, n) for n in ("report", "geocluster")}
+    newest = {n: v.before(v.versions()[-1] + 1).withColumn("table_name", F.lit(n)) for n, v in tables.items()}
+    return newest["report"].drop("reasons", "summary").unionByName(newest["geocluster"], allowMissingColumns=True)
 
 
 def queries() -> dict[str, Query]:

@@ -334,17 +334,17 @@ ana AS MATERIALIZED (SELECT disease_id, visit_id, diagnosis_date - lookback_days
     row_number() OVER (PARTITION BY disease_id ORDER BY diagnosis_date, visit_id, geodata_id) AS n FROM levelled),
 held AS MATERIALIZED (SELECT * FROM report WHERE disease_id IN (SELECT disease_id FROM ana) AND (status IN ('new','reviewed') OR trigger_visit_id IN (SELECT visit_id FROM ana))),
 start AS (SELECT disease_id, list({'id': id::BIGINT, 't': trigger_visit_id::BIGINT, 's': analysis_period_start, 'f': analysis_period_end, 'lv': alert_level, 'sc': risk_score, 'nb': nearby_case_count, 'cu': current_case_count,
-    'pr': previous_case_count, 'gr': growth_rate, 'su': surge_ratio, 'st': status} ORDER BY generated_at, id) AS held FROM held GROUP BY 1),
+    'pr': previous_case_count, 'gr': growth_rate, 'su': surge_ratio, 'st': status, 'o': NULL::DATE} ORDER BY generated_at, id) AS held FROM held GROUP BY 1),
 fold(disease_id, n, held) USING KEY (disease_id) AS (
   SELECT a.disease_id, 0::BIGINT, coalesce(any_value(held), []) FROM ana a LEFT JOIN start USING (disease_id) GROUP BY 1
   UNION ALL
   SELECT disease_id, n, CASE
-      WHEN hit IS NULL AND flag THEN list_append(held, {'id': NULL::BIGINT, 't': visit_id::BIGINT, 's': s, 'f': f, 'lv': lv, 'sc': sc, 'nb': nb, 'cu': cu, 'pr': pr, 'gr': gr, 'su': su, 'st': 'new'})
+      WHEN hit IS NULL AND flag THEN list_append(held, {'id': NULL::BIGINT, 't': visit_id::BIGINT, 's': s, 'f': f, 'lv': lv, 'sc': sc, 'nb': nb, 'cu': cu, 'pr': pr, 'gr': gr, 'su': su, 'st': 'new', 'o': f})
       WHEN hit IS NULL THEN held
       ELSE list_concat(held[:hit - 1], [{'id': r.id, 't': coalesce(r.t, visit_id), 's': least(r.s, s), 'f': greatest(r.f, f),
         'lv': CASE WHEN same OR rises OR (quiet AND NOT flag) THEN lv ELSE r.lv END, 'sc': CASE WHEN same OR rises OR (quiet AND NOT flag) THEN sc ELSE greatest(r.sc, sc) END,
         'nb': greatest(r.nb, nb), 'cu': greatest(r.cu, cu), 'pr': greatest(r.pr, pr), 'gr': greatest(r.gr, gr), 'su': greatest(r.su, su),
-        'st': CASE WHEN flag THEN 'new' WHEN same OR quiet THEN 'resolved' ELSE r.st END}], held[hit + 1:]) END
+        'st': CASE WHEN flag THEN 'new' WHEN same OR quiet THEN 'resolved' ELSE r.st END, 'o': r.o}], held[hit + 1:]) END
   FROM (SELECT *, held[hit] AS r, coalesce(held[hit].t = visit_id, false) AS same,
       list_position(['low','medium','high','critical'], lv) >= list_position(['low','medium','high','critical'], held[hit].lv) AS rises
     FROM (SELECT a.*, x.held, coalesce(list_max(list_filter(range(1, len(x.held) + 1), lambda i: x.held[i].t = a.visit_id)),
@@ -354,7 +354,7 @@ merged AS (SELECT disease_id, unnest(held) AS r FROM fold)"""
 
 REPORTS = """SELECT id, generated_at, disease_id, trigger_visit_id, analysis_period_start, analysis_period_end, alert_level, risk_score, nearby_case_count, current_case_count, previous_case_count, growth_rate, surge_ratio, status
 FROM report WHERE id NOT IN (SELECT id FROM held)
-UNION ALL SELECT coalesce(r.id, (SELECT coalesce(max(id), 0) FROM report) + row_number() OVER (PARTITION BY r.id IS NULL ORDER BY r.f, r.t)), coalesce(h.generated_at, TIMESTAMP '2024-01-31'), m.disease_id, r.t, r.s, r.f, r.lv, r.sc, r.nb, r.cu, r.pr, r.gr, r.su, r.st
+UNION ALL SELECT coalesce(r.id, (SELECT coalesce(max(id), 0) FROM report) + row_number() OVER (PARTITION BY r.id IS NULL ORDER BY r.o, r.t)), coalesce(h.generated_at, TIMESTAMP '2024-01-31'), m.disease_id, r.t, r.s, r.f, r.lv, r.sc, r.nb, r.cu, r.pr, r.gr, r.su, r.st
 FROM merged m LEFT JOIN held h ON h.id = r.id"""
 
 
@@ -451,27 +451,37 @@ FROM totals t JOIN disease d ON d.id = t.disease_id JOIN (SELECT c.cluster_id, m
 
 # The merge of clusters into the hotspot table, one candidate after the other within a disease. Text
 # formatting rounds the exact value, as the fold does.
-HOTSPOT_FOLD = f"""
-summary AS MATERIALIZED ({SUMMARY}),
-cand AS MATERIALIZED (SELECT *, greatest(radius_km, 3.0::DOUBLE) AS reach, row_number() OVER (PARTITION BY disease_id ORDER BY risk_level DESC, point_count DESC, cluster_id) AS n FROM summary),
-live AS (SELECT disease_id, list({{'id': id::BIGINT, 'latitude': center_lat, 'longitude': center_long, 'radius': radius, 'cases': case_count, 'risk': risk_level}} ORDER BY generated_at, id) AS spots
+def hotspot_fold(candidates: str) -> str:
+    return candidates + f""",
+live AS (SELECT disease_id, list({{'id': id::BIGINT, 'latitude': center_lat, 'longitude': center_long, 'radius': radius, 'cases': case_count, 'risk': risk_level, 'o': NULL::BIGINT[]}} ORDER BY generated_at, id) AS spots
   FROM geocluster WHERE generated_at >= TIMESTAMP '2024-01-01' GROUP BY 1),
-fold(disease_id, n, spots) AS (
+merging(disease_id, n, spots) USING KEY (disease_id) AS (
   SELECT c.disease_id, 0::BIGINT, coalesce(any_value(spots), []) FROM cand c LEFT JOIN live l ON l.disease_id = c.disease_id GROUP BY 1
   UNION ALL
   SELECT disease_id, n, CASE WHEN hit IS NULL
-      THEN list_append(spots, {{'id': NULL::BIGINT, 'latitude': center_lat, 'longitude': center_long, 'radius': format('{{:.4f}}', greatest(radius_km, 0.1))::DOUBLE, 'cases': cnt, 'risk': risk_level}})
+      THEN list_append(spots, {{'id': NULL::BIGINT, 'latitude': format('{{:.6f}}', center_lat)::DOUBLE, 'longitude': format('{{:.6f}}', center_long)::DOUBLE, 'radius': format('{{:.4f}}', greatest(radius_km, 0.1))::DOUBLE, 'cases': cnt, 'risk': risk_level, 'o': o}})
       ELSE list_transform(spots, lambda s, i: CASE WHEN i <> hit THEN s ELSE {{'id': s.id,
         'latitude': format('{{:.6f}}', (s.latitude + center_lat) / 2)::DOUBLE, 'longitude': format('{{:.6f}}', (s.longitude + center_long) / 2)::DOUBLE,
-        'radius': format('{{:.4f}}', greatest(s.radius, radius_km, 0.1))::DOUBLE, 'cases': greatest(s.cases, cnt), 'risk': greatest(s.risk, risk_level)}} END) END
-  FROM (SELECT f.disease_id, c.n, f.spots, c.center_lat, c.center_long, c.radius_km, c.unique_visit_count::INT AS cnt, c.risk_level::INT AS risk_level,
-      list_max(list_filter(range(1, len(f.spots) + 1), lambda i: {HAVERSINE.format(a="{'latitude': c.center_lat, 'longitude': c.center_long}", b="f.spots[i]")} <= greatest(f.spots[i].radius, c.reach))) AS hit
-    FROM fold f JOIN cand c ON c.disease_id = f.disease_id AND c.n = f.n + 1)),
-merged AS (SELECT disease_id, unnest(spots) AS s, generate_subscripts(spots, 1) AS place FROM fold QUALIFY n = max(n) OVER (PARTITION BY disease_id))"""
+        'radius': format('{{:.4f}}', greatest(s.radius, radius_km, 0.1))::DOUBLE, 'cases': greatest(s.cases, cnt), 'risk': greatest(s.risk, risk_level), 'o': s.o}} END) END
+  FROM (SELECT f.disease_id, c.n, f.spots, c.center_lat, c.center_long, c.radius_km, c.cnt::INT AS cnt, c.risk_level::INT AS risk_level, c.o,
+      list_max(list_filter(range(1, len(f.spots) + 1), lambda i: {HAVERSINE.format(a="{'latitude': c.place_lat, 'longitude': c.place_long}", b="f.spots[i]")} <= greatest(f.spots[i].radius, c.reach))) AS hit
+    FROM merging f JOIN cand c ON c.disease_id = f.disease_id AND c.n = f.n + 1)),
+spots AS (SELECT disease_id, unnest(spots) AS s FROM merging)"""
+
+
+CLUSTER_CANDIDATES = f"""
+summary AS MATERIALIZED ({SUMMARY}),
+cand AS MATERIALIZED (SELECT *, center_lat AS place_lat, center_long AS place_long, unique_visit_count AS cnt, greatest(radius_km, 3.0::DOUBLE) AS reach, [-risk_level, -point_count, cluster_id]::BIGINT[] AS o,
+    row_number() OVER (PARTITION BY disease_id ORDER BY risk_level DESC, point_count DESC, cluster_id) AS n FROM summary)"""
+
+CALL_CANDIDATES = """
+cand AS MATERIALIZED (SELECT disease_id, c.latitude AS place_lat, c.longitude AS place_long, m.latitude AS center_lat, m.longitude AS center_long, km AS radius_km, 3.0::DOUBLE AS reach, local_case_count AS cnt,
+    CASE level WHEN 'high' THEN 4 ELSE 5 END AS risk_level, [diagnosis_date - DATE '1970-01-01', visit_id, c.geodata_id]::BIGINT[] AS o, row_number() OVER (PARTITION BY disease_id ORDER BY diagnosis_date, visit_id, c.geodata_id) AS n
+  FROM called c JOIN middle m ON m.geodata_id = c.geodata_id JOIN wide w ON w.geodata_id = c.geodata_id)"""
 
 HOTSPOTS = """SELECT g.id, coalesce(s.latitude, center_lat) AS center_lat, coalesce(s.longitude, center_long) AS center_long, coalesce(s.radius, g.radius) AS radius, g.disease_id,
-  coalesce(s.cases, case_count) AS case_count, coalesce(s.risk, risk_level) AS risk_level, generated_at FROM geocluster g LEFT JOIN merged m ON m.s.id = g.id
-UNION ALL SELECT (SELECT coalesce(max(id), 0) FROM geocluster) + row_number() OVER (ORDER BY disease_id, place), s.latitude, s.longitude, s.radius, disease_id, s.cases, s.risk, TIMESTAMP '2024-01-31' FROM merged WHERE s.id IS NULL"""
+  coalesce(s.cases, case_count) AS case_count, coalesce(s.risk, risk_level) AS risk_level, generated_at FROM geocluster g LEFT JOIN spots m ON m.s.id = g.id
+UNION ALL SELECT (SELECT coalesce(max(id), 0) FROM geocluster) + row_number() OVER (ORDER BY s.o, disease_id), s.latitude, s.longitude, s.radius, disease_id, s.cases, s.risk, TIMESTAMP '2024-01-31' FROM spots WHERE s.id IS NULL"""
 
 
 GENERATED = """
@@ -523,7 +533,7 @@ told AS (SELECT l.*, d.name AS disease_name, CASE WHEN NOT context_active THEN '
 CALLED = f"""
 called AS (SELECT l.*, g.latitude, g.longitude FROM levelled l JOIN geodata g ON g.id = l.geodata_id WHERE level IN ('high','critical') AND local_case_count >= greatest(2, cluster_case_threshold)),
 spread AS (SELECT geodata_id, latitude, longitude FROM called UNION ALL SELECT n.geodata_id, g.latitude, g.longitude FROM near n JOIN called c ON c.geodata_id = n.geodata_id JOIN geodata g ON g.visit_id = n.case_visit_id),
-middle AS (SELECT geodata_id, avg(latitude) AS latitude, avg(longitude) AS longitude FROM spread GROUP BY 1),
+middle AS (SELECT geodata_id, sum(latitude::DECIMAL(18,12))::DOUBLE / count(*) AS latitude, sum(longitude::DECIMAL(18,12))::DOUBLE / count(*) AS longitude FROM spread GROUP BY 1),
 wide AS (SELECT s.geodata_id, max({HAVERSINE.format(a='m', b='s')}) AS km FROM spread s JOIN middle m ON m.geodata_id = s.geodata_id GROUP BY 1)"""
 
 
@@ -700,7 +710,7 @@ best AS (SELECT visit_id, arg_min(label, (dist, list_position(['low','medium','h
 FROM feed f JOIN disease d ON d.id = f.disease_id JOIN doctor doc ON doc.id = f.doctor_id WHERE hospital_id = 3 AND diagnosis_date >= DATE '2024-01-10') GROUP BY 1, 2""", FEED),
         "dbscan_labels": statement("SELECT id AS geodata_id, disease_id, cluster_id FROM clustered", DBSCAN, recursive=True),
         "dbscan_summary": statement(SUMMARY, DBSCAN, TOTALS, recursive=True),
-        "hotspot_merge": statement(HOTSPOTS, DBSCAN, TOTALS, HOTSPOT_FOLD, recursive=True),
+        "hotspot_merge": statement(HOTSPOTS, DBSCAN, TOTALS, hotspot_fold(CLUSTER_CANDIDATES), recursive=True),
         "forest_samples": statement("""SELECT r.id AS report_id, alert_level AS label, nearby_case_count::DOUBLE AS nearby_case_count, current_case_count::DOUBLE AS current_case_count, previous_case_count::DOUBLE AS previous_case_count,
   growth_rate, surge_ratio, risk_score AS rule_based_risk_score, d.risk_level::DOUBLE AS disease_risk_level, d.infection_score::DOUBLE AS infection_score, d.high_priority::INT::DOUBLE AS high_priority, d.rare_disease::INT::DOUBLE AS rare_disease,
   0.0::DOUBLE AS hdbscan_cluster_detected, 0.0::DOUBLE AS hdbscan_cluster_size, 0.0::DOUBLE AS hdbscan_cluster_probability, 0.0::DOUBLE AS hdbscan_cluster_radius_km FROM report r JOIN disease d ON d.id = r.disease_id"""),
@@ -711,4 +721,6 @@ FROM feed f JOIN disease d ON d.id = f.disease_id JOIN doctor doc ON doc.id = f.
     sql["geojson_features"] = f"""SELECT m.geodata_id, 'Feature' AS kind, 'Point' AS shape, g.longitude, g.latitude, m.geodata_id AS property_id, m.visit_id, m.disease_code, m.region_type, NULL::DOUBLE AS latitude_property
   FROM ({sql['map_active_cases']}) m JOIN ({statement('SELECT id, longitude, latitude FROM geodata')}) g ON g.id = m.geodata_id"""
     sql["label_counts"] = statement("SELECT label, label_source, count(*) AS samples FROM labelled l WHERE visit_id IN (SELECT id FROM active) GROUP BY 1, 2", *label_steps())
+    sql["monitor_stream"] = statement(f"SELECT *, 'report' AS table_name FROM ({REPORTS}) UNION ALL BY NAME SELECT *, 'geocluster' AS table_name FROM ({HOTSPOTS})",
+                                      *outbreak_steps(False), REPORT_FOLD, CALLED, hotspot_fold(CALL_CANDIDATES), recursive=True)
     return sql
