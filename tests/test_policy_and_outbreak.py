@@ -81,8 +81,9 @@ def test_nearby_cases(spark):
     assert rows(spatial.nearby_counts(t, contexts, spans(spark)), "nearby_case_count") == [(2,)]
 
 
+@pytest.mark.parametrize("leaf", [spatial.LEAF_PLACES, 0.05])
 @pytest.mark.parametrize("own_region", [False, True])
-def test_nearby_counts_equal_brute_force(spark, own_region):
+def test_nearby_counts_equal_brute_force(spark, own_region, leaf):
     from test_clustering import km
 
     rng = random.Random(11)
@@ -114,7 +115,7 @@ def test_nearby_counts_equal_brute_force(spark, own_region):
             expected[gid] = len({p[2] for p in w.points if p[2] in live and p[2] != vid and (not own_region or p[5] == region)
                                  and km(lat, lon, p[3], p[4]) <= radius})
     contexts = outbreak.contexts_of(t, own_region=own_region).filter(F.col("geodata_id").isin(list(expected)))
-    got = {r["geodata_id"]: r["nearby_case_count"] for r in spatial.nearby_counts(t, contexts, policies).collect()}
+    got = {r["geodata_id"]: r["nearby_case_count"] for r in spatial.nearby_counts(t, contexts, policies, leaf).collect()}
     assert got == expected
 
 
