@@ -35,8 +35,8 @@ from .tokens import DEFAULT_VOCABULARY, Encoder, vocabulary_path
 
 #: Piece vocabulary of the B side.
 DEFAULT_PIECES = "piece_bpe_32k.model"
-#: Links after which a block ends; they are held in memory (a few bytes each).
-BLOCK_LINKS = 4_000_000
+#: Links after which a block ends. A task holds them with their sort order, some 50 bytes each.
+BLOCK_LINKS = 1_000_000
 
 _DOC = "doc_id long, n_a long, n_b long, n_groups long, n_links long"
 

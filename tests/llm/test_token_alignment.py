@@ -89,3 +89,18 @@ def test_whole_smoke_table(spark):
 
 def test_empty_table(spark):
     assert token_alignment.align(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_full_block_is_small():
+    import tracemalloc
+
+    block = token_alignment.Block(0)
+    rng = np.random.default_rng(1)
+    while block.n_links < token_alignment.BLOCK_LINKS:
+        block.add((1, 1, 1, 1, 1, ""), rng.integers(0, 1 << 40, 50_000))
+    tracemalloc.start()
+    list(block.rows())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Six such tasks share an executor with their tokenizers.
+    assert peak < 250 << 20
