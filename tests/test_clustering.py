@@ -7,7 +7,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from epiwake.operators import dbscan, hdbscan
+from epiwake.operators import active, dbscan, hdbscan
 from epiwake.operators.components import connected_components
 from world import World
 
@@ -199,3 +199,30 @@ def test_too_few_points_are_noise(spark):
     points = [(i, i, i, 1, date(2026, 4, 1), 33.5, 36.2 + i / 100, "home") for i in (1, 2)]
     got = hdbscan.hdbscan(spark.createDataFrame(points, POINTS), 3)
     assert got.filter(F.col("cluster_id").isNull()).count() == 2
+
+
+def test_rows_multiplied_by_cells_are_not_broadcast(spark, monkeypatch):
+    from epiwake.operators import hdbscan as module
+
+    plans, store = [], module.cut_lineage
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df)
+
+    monkeypatch.setattr(module, "cut_lineage", noted)
+    places = module._places(spark.createDataFrame(cloud(random.Random(3), 40), POINTS), 2)
+    module.spanning_tree(places, module.core_distances(places)).count()
+    lines = [line for plan in plans for line in plan.split("\n") if "cell" in line]
+    assert any("SortMergeJoin" in line for line in lines)
+    assert not any("BroadcastHashJoin" in line for line in lines)
+
+
+def test_summary_reads_labels_once(spark):
+    w = World()
+    for k in range(4):
+        w.visit(k + 1, k + 1, 1, "2026-04-01", points=[(33.5, 36.25, "home")])
+    t = w.tables(spark)
+    points = active.collect_points(t).filter("region_type <> 'nowhere'")
+    plan = dbscan.summarise_clusters(points.withColumn("cluster_id", F.lit(1)), t)._jdf.queryExecution().executedPlan().toString()
+    assert "nowhere" not in plan
