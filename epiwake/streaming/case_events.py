@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from datetime import date
 
@@ -30,66 +31,99 @@ EVENT_SCHEMA = (
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# A state holds the pairs of this many neighbouring patient ids, two to the power of ``PATIENT_BITS``.
+PATIENT_BITS = 6
+
+
 class CaseState(StatefulProcessor):
-    """Visits and points of one (patient, disease) pair, in keyed state.
+    """Visits and points of one disease and some neighbouring patients, in keyed state.
+
+    Each call to the state is a round trip, so pairs share a state and a micro-batch reads and appends a
+    state's lists as a whole. A later entry of a list replaces an earlier one of the same id.
 
     A visit with an older date never becomes the latest of its pair, however late it arrives,
     so its points come out as removed; no watermark is needed.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.visits = handle.getMapState("visits", "visit_id long", "day date, status string, doctor_id long")
-        self.points = handle.getMapState("points", "geodata_id long", "visit_id long, region string, lat double, lon double")
+        self.visits = handle.getListState("visits", "patient_id long, visit_id long, day date, status string, doctor_id long")
+        self.points = handle.getListState("points", "patient_id long, geodata_id long, visit_id long, region string, lat double, lon double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        patient, disease = int(key[0]), int(key[1])
+        disease = None if key[0] is None else int(key[0])
         changes = pd.concat(list(rows)).sort_values(["seq", "kind", "geodata_id"], ascending=[True, False, True])
-        visits = {k[0]: tuple(v) for k, v in self.visits.iterator()}
-        points = {k[0]: tuple(v) for k, v in self.points.iterator()}
+        visits_of, points_of = defaultdict(dict), defaultdict(dict)
+        sizes = [_read(self.visits, visits_of), _read(self.points, points_of)]
+        new_visits: list[tuple] = []
+        new_points: list[tuple] = []
         out: list[tuple] = []
-
-        def emit(kind: str, change, point_id: int) -> None:
-            visit_id, region, lat, lon = points[point_id]
-            day, status, doctor = visits[visit_id]
-            out.append((int(change.seq), kind, int(change.geodata_id) if pd.notna(change.geodata_id) else None, point_id,
-                        visit_id, patient, disease, doctor, day, status, region, lat, lon))
-
-        for change in changes.itertuples():
-            visit_id = int(change.visit_id)
-            visits[visit_id] = (change.diagnosis_date, change.status, int(change.doctor_id))
-            self.visits.updateValue((visit_id,), visits[visit_id])
-            if change.kind == "geodata":
-                point_id = int(change.geodata_id)
-                points[point_id] = (visit_id, change.region_type, float(change.latitude), float(change.longitude))
-                self.points.updateValue((point_id,), points[point_id])
-                affected = [point_id]
-            elif change.created:
+        names = ["seq", "kind", "created", "visit_id", "patient_id", "doctor_id", "diagnosis_date", "status", "geodata_id", "region_type", "latitude", "longitude"]
+        for seq, kind, created, visit_id, patient, doctor, day, status, point_id, region, lat, lon in zip(*(changes[c].tolist() for c in names)):
+            patient, visit_id = None if pd.isna(patient) else int(patient), int(visit_id)
+            cause = int(point_id) if pd.notna(point_id) else None
+            visits, points = visits_of[patient], points_of[patient]
+
+            def emit(event: str, point: int) -> None:
+                of, *place = points[point]
+                seen, state, by = visits[of]
+                out.append((int(seq), event, cause, point, of, patient, disease, by, seen, state, *place))
+
+            visits[visit_id] = (day, status, int(doctor))
+            new_visits.append((patient, visit_id, *visits[visit_id]))
+            if kind == "geodata":
+                points[cause] = (visit_id, region, float(lat), float(lon))
+                new_points.append((patient, cause, *points[cause]))
+                affected = [cause]
+            elif created:
                 continue
             else:
                 affected = sorted(p for p, v in points.items() if v[0] == visit_id)
             latest = max(visits, key=lambda v: (visits[v][0], v))
-            live = latest == visit_id and str(visits[visit_id][1]).lower() == "infected"
-            fresh = change.kind == "geodata" and bool(change.created)
-            for point_id in affected:
-                emit((ADDED if fresh else UPDATED) if live else REMOVED, change, point_id)
+            live = latest == visit_id and str(status).lower() == "infected"
+            fresh = kind == "geodata" and bool(created)
+            for point in affected:
+                emit((ADDED if fresh else UPDATED) if live else REMOVED, point)
             if latest == visit_id:
-                for point_id in sorted(p for p, v in points.items() if v[0] != visit_id):
-                    emit(REMOVED, change, point_id)
+                for point in sorted(p for p, v in points.items() if v[0] != visit_id):
+                    emit(REMOVED, point)
+        _store(self.visits, visits_of, new_visits, sizes[0])
+        _store(self.points, points_of, new_points, sizes[1])
         if out:
-            names = [f.strip().split(" ")[0] for f in EVENT_SCHEMA.split(",")]
-            frame = pd.DataFrame(out, columns=names)
-            frame["cause_id"] = frame["cause_id"].astype("Int64")
+            frame = pd.DataFrame(out, columns=[f.strip().split(" ")[0] for f in EVENT_SCHEMA.split(",")])
+            for name in ("cause_id", "patient_id", "disease_id"):
+                frame[name] = frame[name].astype("Int64")
             yield frame
 
     def close(self) -> None:
         pass
 
 
+def _read(state, held: dict[int | None, dict]) -> int:
+    """Fill ``held`` (entry by patient and id) from a list state; the number of its entries."""
+    size = 0
+    if state.exists():
+        for patient, name, *entry in state.get():
+            held[patient][name] = tuple(entry)
+            size += 1
+    return size
+
+
+def _store(state, held: dict[int | None, dict], added: list[tuple], size: int) -> None:
+    """Append the new entries; a list of which more than half is replaced is written anew."""
+    if not added:
+        return
+    live = sum(len(of) for of in held.values())
+    if size and size + len(added) > 2 * live:
+        state.put([(patient, name, *entry) for patient, of in held.items() for name, entry in of.items()])
+    else:
+        state.appendList(added)
+
+
 def case_events(changes: DataFrame) -> DataFrame:
     """Events of a change stream; the session must use the RocksDB state store."""
-    return changes.groupBy("patient_id", "disease_id").transformWithStateInPandas(
-        CaseState(), outputStructType=EVENT_SCHEMA, outputMode="Append", timeMode="None"
-    )
+    return changes.withColumn("patients", F.shiftright("patient_id", PATIENT_BITS)).groupBy(
+        "disease_id", "patients"
+    ).transformWithStateInPandas(CaseState(), outputStructType=EVENT_SCHEMA, outputMode="Append", timeMode="None")
 
 
 def use_rocksdb(spark) -> None:

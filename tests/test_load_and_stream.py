@@ -128,6 +128,56 @@ def test_change_stream(spark):
     assert {r["group_name"] for r in feed.route(described).select("group_name").distinct().collect()} == {"map.active.all", "map.active.disease.MEA", "map.active.type.viral"}
 
 
+def test_pairs_share_state_calls():
+    """A micro-batch of many pairs makes a few calls to the state, and later batches see what it held."""
+    import pandas as pd
+
+    class Held:
+        def __init__(self):
+            self.rows, self.calls = [], 0
+
+        def exists(self):
+            self.calls += 1
+            return bool(self.rows)
+
+        def get(self):
+            self.calls += 1
+            return iter(self.rows)
+
+        def appendList(self, rows):
+            self.calls += 1
+            self.rows = self.rows + list(rows)
+
+        def put(self, rows):
+            self.calls += 1
+            self.rows = list(rows)
+
+    class Handle:
+        def __init__(self):
+            self.lists = {}
+
+        def getListState(self, name, schema):
+            return self.lists.setdefault(name, Held())
+
+    def change(seq, patient, visit, day, kind="geodata", created=True):
+        return (seq, kind, created, visit, patient, 1, 7, date(2026, 4, day), "infected", seq if kind == "geodata" else None, "home", 33.5, 36.25)
+
+    names = [f.strip().split(" ")[0] for f in feed.CHANGE_SCHEMA.split(",")]
+    handle, state = Handle(), feed.CaseState()
+    state.init(handle)
+    first = pd.DataFrame([change(p, p, p, 2) for p in range(1, 61)], columns=names)
+    events = pd.concat(state.handleInputRows((1, 0), iter([first]), None))
+    assert list(events["event_type"]) == [feed.ADDED] * 60 and sum(h.calls for h in handle.lists.values()) <= 4
+    for day in (3, 4):
+        again = pd.DataFrame([change(200 * day + p, p, 100 * day + p, day) for p in range(1, 61, 2)] + [change(200 * day + 90, 2, 2, 2, "visit", False)], columns=names)
+        events = pd.concat(state.handleInputRows((1, 0), iter([again]), None))
+        assert (events["event_type"] == feed.ADDED).sum() == 30 and (events["event_type"] == feed.REMOVED).sum() == 30 * (day - 2)
+        assert list(events[events["event_type"] == feed.UPDATED]["geodata_id"]) == [2]
+    for _ in range(200):
+        list(state.handleInputRows((1, 0), iter([again.tail(1)]), None))
+    assert len(handle.lists["visits"].rows) <= 2 * 120
+
+
 @pytest.mark.parametrize("name", ["cases_by_disease", "active_visits_window", "anomalies", "outbreak_evaluation", "visit_level_dataset"])
 def test_registered_query_equals_sql(spark, name):
     folder = entry.SMOKE_DIR
