@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,33 +55,63 @@ def read_csv(spark: SparkSession, path: str, header: list[str], sep: str = ",")
     return records.select(*[F.col(f"fields.c{k}").alias(name) for k, name in enumerate(names)], "row_number")
 
 
+LINES = "value string, _file string, _block long, _at long, _quotes long, _odd long, _seen array<long>"
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with their place in the block, whether the quotes before them in it are odd, and the records
+    begun in it up to them, if the block begins outside and if it begins inside a quoted field.
+
+    A task reads the lines of a block one after the other.
+    """
+    block, at, odd, seen = None, 0, 0, [0, 0]
+    for batch in batches:
+        n, value, file, start = batch.num_rows, batch.column(0), batch.column(1), batch.column(2)
+        if not n:
+            continue
+        quotes = pc.count_substring(value, '"').to_numpy(zero_copy_only=False).astype(np.int64)
+        blank = pc.is_in(value, pa.array(["", "\r"], value.type)).to_numpy(zero_copy_only=False)
+        fresh = np.ones(n, bool)
+        fresh[1:] = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(start[1:], start[:-1])).to_numpy(zero_copy_only=False)
+        firsts = np.flatnonzero(fresh)
+        place, before, records = np.empty(n, np.int64), np.empty(n, np.int64), np.empty((n, 2), np.int64)
+        for a, b in zip(firsts, [*firsts[1:], n]):
+            if (file[a], start[a]) != block:
+                block, at, odd, seen = (file[a], start[a]), 0, 0, [0, 0]
+            total = odd + np.cumsum(quotes[a:b])
+            before[a:b] = (total - quotes[a:b]) % 2
+            place[a:b] = np.arange(at, at + b - a)
+            for inside in (0, 1):
+                records[a:b, inside] = seen[inside] + np.cumsum((before[a:b] == inside) & ~blank[a:b])
+                seen[inside] = int(records[b - 1, inside])
+            at, odd = at + int(b - a), int(total[-1]) % 2
+        pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * n + 1, 2, dtype=np.int32)), pa.array(records.ravel()))
+        yield pa.RecordBatch.from_arrays([value, file, start, pa.array(place), pa.array(quotes), pa.array(before), pairs], ["value", "_file", "_block", "_at", "_quotes", "_odd", "_seen"])
+
+
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """(record, row_number): the text of each record but the files' headers."""
     block = ["_file", "_block"]
     lines = spark.read.option("lineSep", "\n").text(path).select(
-        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_at"), (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("_quotes"))
-    in_block = Window.partitionBy(*block).orderBy("_at")
-    earlier = in_block.rowsBetween(Window.unboundedPreceding, -1)
-    lines = cut_lineage(lines.withColumn("_before", F.coalesce(F.sum("_quotes").over(earlier), F.lit(0))))
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    lines = cut_lineage(lines.mapInArrow(_in_blocks, LINES))
+    # A row per block and file: whether it begins inside a field, records before it, headers up to its file.
+    totals = lines.groupBy(*block).agg(F.sum("_quotes").alias("_quotes"), F.max("_seen").alias("_seen"))
     earlier_blocks = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = lines.groupBy(*block).agg(F.sum("_quotes").alias("_quotes")).select(
-        *block, F.coalesce(F.sum("_quotes").over(earlier_blocks), F.lit(0)).alias("_carried"))
+    carried = F.pmod(F.coalesce(F.sum("_quotes").over(earlier_blocks), F.lit(0)), F.lit(2)).cast("int")
+    sizes = totals.withColumn("_carried", carried).withColumn("_n", F.get("_seen", F.col("_carried")))
+    earlier = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut_lineage(sizes.select(*block, "_carried", "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")))
+    files = sizes.groupBy("_file").agg(F.min("_start").alias("_first"), F.sum("_n").alias("_n")).select(
+        "_file", "_first", F.sum((F.col("_n") > 0).cast("long")).over(Window.orderBy("_file")).alias("_headers"))
+    # A row per block of a file is small whatever the input, so the lines stay where they are.
+    lines = lines.join(F.broadcast(sizes.drop("_n").join(files, "_file")), block)
     # A line begins a record unless it begins inside a quoted field.
-    inside = F.pmod(F.col("_before") + F.col("_carried"), F.lit(2)) == 1
+    inside = F.col("_odd") != F.col("_carried")
     begins = ~inside & ~F.col("value").isin("", "\r")
-    lines = lines.join(blocks, block).filter(inside | begins).withColumn("_begins", begins.cast("long"))
-    lines = cut_lineage(lines.withColumn("_record", F.sum("_begins").over(in_block)).drop("_before", "_carried"))
-    # Records before each block, and one header per file; a row per block and file.
-    files = Window.orderBy(*block)
-    sizes = lines.groupBy(*block).agg(F.sum("_begins").alias("_n")).select(
-        *block, F.coalesce(F.sum("_n").over(files.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
-        F.dense_rank().over(Window.orderBy("_file")).alias("_headers"))
-    firsts = sizes.groupBy("_file").agg(F.min("_start").alias("_first"))
-    sizes = sizes.join(firsts, "_file")
-    number = F.col("_start") + F.col("_record")
-    lines = lines.join(sizes, block).filter(number > F.col("_first") + 1).withColumn("row_number", number - F.col("_headers"))
-    whole = (F.col("_begins") == 1) & (F.pmod("_quotes", F.lit(2)) == 0)
+    number = F.col("_start") + F.get("_seen", F.col("_carried"))
+    lines = lines.filter((inside | begins) & (number > F.col("_first") + 1)).withColumn("row_number", number - F.col("_headers"))
+    whole = begins & (F.pmod("_quotes", F.lit(2)) == 0)
     # Only records over several lines have to be gathered.
     parts = lines.filter(~whole).groupBy("row_number").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_block", "_at", "value"))), lambda x: x.value), "\n").alias("value"))

@@ -224,6 +224,28 @@ def test_csv_blocks_equal_a_plain_reader(spark, tmp_path, block, line_end):
     assert [tuple(x or "" for x in g[:3]) for g in got] == expected
 
 
+def test_csv_lines_are_not_shuffled(spark, tmp_path):
+    """Blocks are numbered where they are read: no window over lines, and only records over several lines move."""
+    (tmp_path / "a.csv").write_text('id,name\n1,x\n2,"two\nlines"\n\n3,y\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("\n\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("id,name\n4,z\n", encoding="utf-8")
+    records = load.csv_records(spark, str(tmp_path))
+    assert [r.record for r in records.orderBy("row_number").collect()] == ["1,x", '2,"two\nlines"', "3,y", "4,z"]
+    assert sorted(r.row_number for r in records.collect()) == [1, 2, 3, 4]
+    plan = load.csv_records(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and not any("value#" in line for line in plan.split("\n") if "Window [" in line)
+
+
+def test_forest_rows_are_dealt_to_tasks(spark, monkeypatch):
+    fitted, vector = [], forest._vector
+    monkeypatch.setattr(forest, "_vector", lambda df: fitted.append(df.rdd.getNumPartitions()) or vector(df))
+    monkeypatch.setattr(forest, "TASK_ROWS", 5, raising=False)
+    columns = ["report_id", "label", *forest.FEATURES]
+    rows = spark.createDataFrame([(k, forest.LABELS[k % 2], *[float(k % 7)] * len(forest.FEATURES)) for k in range(40)], columns)
+    model, meta = forest.train_forest(rows.coalesce(1), trees=2, max_depth=2)
+    assert meta["sample_count"] == 40 and fitted == [8]
+
+
 def test_import_job_from_files_to_reports(spark, tmp_path):
     from dataclasses import replace
 
