@@ -11,7 +11,7 @@ from epiwake.operators.active import active_visits, flag_active
 from epiwake.operators.datasets import labs_by_visit, points_by_visit, reports_by_visit
 from epiwake.operators.outbreak import contexts_of, evaluate_outbreaks
 from epiwake.operators.policy import alert_policies
-from epiwake.session import cut_lineage
+from epiwake.session import cut_lineage, shuffled
 from epiwake.tables import Tables
 
 # Label order, policy profiles and the feature names.
@@ -48,10 +48,10 @@ def visit_features(t: Tables, visits: DataFrame | None = None) -> DataFrame:
     )
     d = (
         visits.withColumnRenamed("id", "visit_id")
-        .join(points_by_visit(t), "visit_id", "left")
-        .join(labs_by_visit(t, risk_abnormal), "visit_id", "left")
-        .join(reports_by_visit(t), "visit_id", "left")
-        .join(patient, "patient_id")
+        .join(shuffled(points_by_visit(t)), "visit_id", "left")
+        .join(shuffled(labs_by_visit(t, risk_abnormal)), "visit_id", "left")
+        .join(shuffled(reports_by_visit(t)), "visit_id", "left")
+        .join(shuffled(patient), "patient_id")
         .join(disease, "disease_id")
         .join(newest_clusters(t), "disease_id", "left")
     )
@@ -103,10 +103,11 @@ def report_labels(t: Tables) -> DataFrame:
 
 def visit_labels(t: Tables, visits: DataFrame) -> DataFrame:
     """Label and its source for each visit: report, else outbreak engine, else low."""
-    labelled = visits.select(F.col("id").alias("visit_id")).join(report_labels(t), "visit_id", "left")
+    labelled = visits.select(F.col("id").alias("visit_id")).join(shuffled(report_labels(t)), "visit_id", "left")
     open_ids = labelled.filter("report_label is null").select("visit_id")
     start = points_by_visit(t).select("visit_id", F.col("point.id").alias("id"))
-    points = t.geodata.join(start.join(open_ids, "visit_id", "left_semi"), ["visit_id", "id"], "left_semi")
+    asked = start.join(shuffled(open_ids), "visit_id", "left_semi")
+    points = t.geodata.join(shuffled(asked), ["visit_id", "id"], "left_semi")
     analyses = evaluate_outbreaks(t, contexts_of(t, points), alert_policies(t.disease))
     engine = analyses.select(
         "visit_id",
@@ -117,16 +118,16 @@ def visit_labels(t: Tables, visits: DataFrame) -> DataFrame:
         .when(F.col("engine_label").isNotNull(), "engine")
         .otherwise("default")
     )
-    return labelled.join(engine, "visit_id", "left").select(
+    return labelled.join(shuffled(engine), "visit_id", "left").select(
         "visit_id", F.coalesce("report_label", "engine_label", F.lit("low")).alias("label"),
         source.alias("label_source"),
     )
 
 
 def training_samples(t: Tables) -> DataFrame:
-    """Features and labels of all globally active visits."""
-    visits = active_visits(t.visit)
-    return visit_features(t, visits).join(visit_labels(t, visits), "visit_id")
+    """Features and labels of all globally active visits, which are worked out once for both."""
+    visits = cut_lineage(active_visits(t.visit))
+    return visit_features(t, visits).join(shuffled(visit_labels(t, visits)), "visit_id")
 
 
 def _scaled(name: str) -> Column:
