@@ -140,7 +140,7 @@ def train_centroids(samples: DataFrame) -> DataFrame:
     """One artifact row per label: centroid, feature bounds and counts.
 
     Two aggregations over the stored samples: the bounds as a one-row scalar subquery, then the class
-    means.
+    means. The artifact is stored as well, because it is checked, saved and read apart.
     """
     samples = cut_lineage(samples)
     bounds = samples.agg(
@@ -155,7 +155,7 @@ def train_centroids(samples: DataFrame) -> DataFrame:
         *[F.count_if(F.col("label_source") == s).alias(f"from_{s}") for s in ("report", "engine", "default")],
     )
     names = F.array(*[F.lit(f) for f in FEATURES])
-    return means.withColumn("feature_names", names)
+    return cut_lineage(means.withColumn("feature_names", names))
 
 
 def require_trainable(artifact: DataFrame) -> DataFrame:
