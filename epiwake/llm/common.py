@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Parquet looks at the size of a page or row group only after 100 rows unless told otherwise, and a reader
+# unpacks a row group at once.
+_LARGE_ROWS = {"parquet.block.row.count.limit": 4, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+
+
 class Steps:
     """The stored steps of one job, in one folder below ``spark.checkpoint.dir``.
 
@@ -39,9 +44,12 @@ class Steps:
         self._count += 1
         return f"{self.folder}/{self._count}-{name}"
 
-    def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    def save(self, df: DataFrame, name: str, partition_by: str | None = None, large_rows: bool = False) -> DataFrame:
+        """``large_rows``: rows of megabytes, of which Parquet shall never hold many at a time, writing or reading."""
         path = self.path(name)
         writer = df.write.option("compression", "zstd")
+        if large_rows:
+            writer = writer.options(**_LARGE_ROWS)
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         stored = self.spark.read.schema(df.schema).parquet(path)
         stored._step_path = path

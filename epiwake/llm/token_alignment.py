@@ -207,7 +207,7 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
 def align(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, pieces: str = DEFAULT_PIECES, block_links: int = BLOCK_LINKS) -> DataFrame:
     """One row per document of (doc_id, text); see the module's docstring."""
     steps = Steps(docs.sparkSession, "token-alignment")
-    blocks = steps.save(_aligned_blocks(docs, vocabulary, pieces, block_links), "blocks")
+    blocks = steps.save(_aligned_blocks(docs, vocabulary, pieces, block_links), "blocks", large_rows=True)
     judged = pair_counts(blocks.select("block", "a", "b", "times"))
     out = pa.schema([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
                      ("n_best", pa.int64()), ("count_sum", pa.int64()), ("groups_sha256", pa.string())])

@@ -104,3 +104,17 @@ def test_a_full_block_is_small():
     tracemalloc.stop()
     # Six such tasks share an executor with their tokenizers.
     assert peak < 250 << 20
+
+
+def test_stored_blocks_are_few_per_row_group(spark, tmp_path, monkeypatch):
+    # A block is a row of megabytes, and a row group is held whole; Parquet would put 100 rows and more into one.
+    import pyarrow.parquet as pq
+
+    from epiwake.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    docs = spark.createDataFrame([(k, f"word {k}") for k in range(60)], "doc_id long, text string").coalesce(1)
+    assert token_alignment.align(docs, block_links=1).count() == 60
+    files = [pq.ParquetFile(f).metadata for f in tmp_path.rglob("*-blocks/part*.parquet")]
+    groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert sum(groups) == 60 and max(groups) <= 4
