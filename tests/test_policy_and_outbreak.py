@@ -119,6 +119,42 @@ def test_nearby_counts_equal_brute_force(spark, own_region, leaf):
     assert got == expected
 
 
+@pytest.mark.parametrize("own_region", [False, True])
+def test_listed_cases_equal_brute_force(spark, own_region):
+    from test_clustering import km
+
+    rng = random.Random(12)
+    w = World()
+    spots = [(33.5 + rng.random() / 25, 36.2 + rng.random() / 25) for _ in range(12)]
+    for i in range(1, 110):
+        # Some visits have points at one place, or of an unknown region, so that distances are equal.
+        points = [(*rng.choice(spots), rng.choice(["home", "work", "work", None])) for _ in range(rng.choice([1, 1, 2, 2, 3, 5]))]
+        w.visit(i, i, rng.randint(1, 2), f"2026-04-{rng.randint(1, 25):02d}", "infected", points)
+    t = w.tables(spark)
+    policies = spark.createDataFrame([(1, 7, 2.0), (2, 12, 0.8)], "disease_id long, lookback_days int, radius_km double")
+    settings, visits = {1: (7, 2.0), 2: (12, 0.8)}, {v[0]: v for v in w.visits}
+    expected = []
+    for gid, _, vid, lat, lon, region in w.points:
+        wanted = region if own_region else None
+        back, radius = settings[visits[vid][3]]
+        for other, v in visits.items():
+            near = [(round(km(lat, lon, p[3], p[4]), 4), p[0], p[5], km(lat, lon, p[3], p[4])) for p in w.points if p[2] == other]
+            if other == vid or v[3] != visits[vid][3] or not 0 <= (visits[vid][5] - v[5]).days <= back:
+                continue
+            # A point of an unknown region is in nobody's reach, but hides those further off.
+            rivals = sorted(p for p in near if wanted is None or p[2] in (wanted, None))
+            if rivals and rivals[0][3] <= radius and (wanted is None or rivals[0][2] == wanted):
+                expected.append((gid, other, rivals[0][0], rivals[0][2] or ""))
+    contexts = outbreak.contexts_of(t, own_region=own_region)
+    pairs = spatial.nearby_cases(t, contexts, policies)
+    got = [(r["geodata_id"], r["case_visit_id"], r["distance_km"], r["case_region"] or "") for r in pairs.collect()]
+    assert len(got) > 300 and sorted(got) == sorted(expected)
+    few = spatial.nearby_cases(t, contexts, policies, columns=["distance_km", "geodata_id"])
+    assert few.columns == ["distance_km", "geodata_id"] and rows(few, "geodata_id", "distance_km") == sorted((g[0], g[2]) for g in expected)
+    # Small tables can hold much work, so it is not put into few tasks.
+    assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def evaluate(spark, w, visit):
     t = w.tables(spark)
     out = outbreak.evaluate_outbreaks(t, outbreak.contexts_of(t), policy.alert_policies(t.disease))
