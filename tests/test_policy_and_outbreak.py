@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from epiwake.operators import outbreak, policy, spatial
+from epiwake.operators import hotspots, outbreak, policy, spatial
 from world import D, World, base, rows
 
 POLICY_IN = "id long, disease_code string, risk_level int, infection_score double, high_priority boolean, rare_disease boolean, policy_profile string"
@@ -155,6 +155,28 @@ def test_listed_cases_equal_brute_force(spark, own_region):
     assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_the_spread_of_cases_is_that_of_their_pairs(spark):
+    rng = random.Random(13)
+    w = World()
+    for i in range(1, 90):
+        points = [(33.5 + rng.random() / 20, 36.2 + rng.random() / 20, region) for region in ("home", "work")[: rng.randint(1, 2)]]
+        w.visit(i, i, 1 + i % 2, f"2026-04-{rng.randint(1, 25):02d}", "infected", points)
+    w.points.append((len(w.points) + 1, 1, 1, None, None, "home"))
+    t = w.tables(spark)
+    policies = spark.createDataFrame([(1, 7, 2.0), (2, 12, 1.5)], "disease_id long, lookback_days int, radius_km double")
+    contexts = outbreak.contexts_of(t)
+    calling = contexts.withColumns({"should_create_cluster": F.col("geodata_id") % 3 > 0, "local_case_count": F.lit(3).cast("long"), "alert_level": F.lit("high")})
+    chosen = calling.filter("should_create_cluster and latitude is not null")
+    both = [
+        hotspots.clusters_from_analyses(t, chosen, spatial.nearby_cases(t, chosen, policies, **how)) for how in ({}, {"spread": True})
+    ]
+    pairs, summed = ({r["o3"]: r for r in df.collect()} for df in both)
+    assert len(pairs) == chosen.count() and max(r["radius_km"] for r in pairs.values()) > 1
+    for key, r in pairs.items():
+        assert r.asDict() | {"radius_km": 0} == summed[key].asDict() | {"radius_km": 0}
+        assert summed[key]["radius_km"] == pytest.approx(r["radius_km"], abs=1e-9)
+
+
 def evaluate(spark, w, visit):
     t = w.tables(spark)
     out = outbreak.evaluate_outbreaks(t, outbreak.contexts_of(t), policy.alert_policies(t.disease))
