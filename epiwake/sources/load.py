@@ -140,8 +140,11 @@ def stop_after(df: DataFrame, rows: int | None) -> DataFrame:
 
 def _split(df: DataFrame, rules: dict[str, Column], keep: list[str]) -> Loaded:
     reasons = F.array_compact(F.array(*[F.when(test, F.lit(text)) for text, test in rules.items()]))
-    judged = df.withColumn("reasons", reasons)
-    good = judged.filter(F.size("reasons") == 0).select(*keep, "row_number")
+    kept = [k if isinstance(k, Column) else F.col(k) for k in keep]
+    # Stored, because a filter on the reasons would be pushed down to the lines, with the parsing of the record
+    # once for each time that a rule names one of its fields.
+    judged = cut_lineage(df.select(F.struct(*kept).alias("kept"), "row_number", reasons.alias("reasons")))
+    good = judged.filter(F.size("reasons") == 0).select("kept.*", "row_number")
     bad = judged.filter(F.size("reasons") > 0).select(
         "row_number", F.array_join("reasons", "; ").alias("reason")
     )

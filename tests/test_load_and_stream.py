@@ -236,6 +236,15 @@ def test_csv_lines_are_not_shuffled(spark, tmp_path):
     assert "SortMergeJoin" not in plan and not any("value#" in line for line in plan.split("\n") if "Window [" in line)
 
 
+def test_records_are_parsed_once(spark, tmp_path):
+    # The filters of good and bad rows parsed a record again for each field that a rule names.
+    lines = ["id,patient_id,doctor_id,disease_id,diagnosis_date,status,weight,height,marital_status", "1,1,1,1,2024-01-05,infected,70,170,single", "x,1,1,1,2024-01-05,ill,70,170,single"]
+    loaded = load.clean_visits(load.read_csv(spark, write(tmp_path, "v.csv", "\n".join(lines)), imports.HEADERS["visits"]))
+    for part, n in ((loaded.good, 1), (loaded.bad, 1)):
+        assert "from_csv" not in part._jdf.queryExecution().executedPlan().toString() and part.count() == n
+    assert loaded.bad.first()["reason"] == "id is not a number; status is not in the domain"
+
+
 def test_forest_rows_are_dealt_to_tasks(spark, monkeypatch):
     fitted, vector = [], forest._vector
     monkeypatch.setattr(forest, "_vector", lambda df: fitted.append(df.rdd.getNumPartitions()) or vector(df))
