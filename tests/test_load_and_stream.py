@@ -255,6 +255,11 @@ def test_forest_rows_are_dealt_to_tasks(spark, monkeypatch):
     assert meta["sample_count"] == 40 and fitted == [8]
 
 
+def test_forest_tasks_are_as_many_as_cores():
+    # Each task sends on a table of all nodes, so a task per 100,000 rows made the tables grow with the rows.
+    assert [forest._tasks(n, 8) for n in (1, 100_000, 100_001, 900_000, 8_000_000, 9_000_000)] == [1, 1, 2, 8, 8, 16]
+
+
 def test_import_job_from_files_to_reports(spark, tmp_path):
     from dataclasses import replace
 
